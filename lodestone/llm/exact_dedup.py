@@ -63,7 +63,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     tested = hit(hit(rows, 0), 1).select("doc_id", "digest", (F.col("hit0") & F.col("hit1")).alias("maybe"))
     maybe = tested.filter("maybe").select("doc_id", "digest")
-    groups = maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # a table of its own: a hot digest then meets in a plain join, which Spark splits
+    groups = scratch.table(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     again = maybe.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest")
     alone = tested.filter("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     return alone.union(again).select(

@@ -76,6 +76,45 @@ def frequencies(words: DataFrame) -> dict[str, float]:
     return {w: log((1 + row["n"]) / (1 + row[f"w{i}"])) for i, w in enumerate(names)}
 
 
+def _literals(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _starts(phrase: str) -> Column:
+    """Where the words of a phrase stand consecutively in `words`."""
+    p = phrase.split()
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - len(p), F.lit(0))), lambda i: F.slice(F.col("words"), i + 1, F.lit(len(p))) == _literals(p))
+    return F.when(F.contains(F.col("s"), F.lit(_phrase(phrase))), at).otherwise(F.array().cast("array<int>"))
+
+
+def _hit(label: str, words: list[str], key: list[str], weight: Column) -> Column:
+    """label and the largest share of template words in place, where the template is found; else null."""
+    shift = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    distinct = sorted(set(words))
+    postings = F.create_map(*[x for w in distinct for x in (F.lit(w), F.array(*[F.lit(i) for i, y in enumerate(words) if y == w]))])
+    mine = F.filter(_literals(distinct), lambda w: F.exists(F.col("here"), lambda x: x["w"] == w))
+    # highest inverse document frequency first, then by the alphabet
+    rare = F.slice(
+        F.array_sort(mine, lambda a, b: F.when(F.element_at(weight, a) > F.element_at(weight, b), -1).when(F.element_at(weight, a) < F.element_at(weight, b), 1).when(a < b, -1).otherwise(1)),
+        1, RAREST,
+    )
+
+    def proposed(word: Column) -> Column:
+        places = F.filter(F.col("here"), lambda x: x["w"] == word)
+        return F.flatten(F.transform(places, lambda x: F.transform(F.element_at(postings, word), lambda o: x["i"] - o)))
+
+    # the rarest word proposes starts; every other looked-up word must propose the same
+    common = F.aggregate(F.slice(rare, 2, RAREST), proposed(F.get(rare, F.lit(0))), lambda acc, w: F.array_intersect(acc, proposed(w)))
+    true = F.filter(common, lambda s: (s + shift >= 0) & (F.slice(F.col("words"), F.greatest(s + (shift + 1), F.lit(1)), F.lit(len(key))) == _literals(key)))
+    template = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(words)])
+
+    def share(s: Column) -> Column:
+        return F.aggregate(template, F.lit(0), lambda acc, x: acc + F.when(F.get(F.col("words"), s + x["o"]) == x["w"], 1).otherwise(0)) / len(words)
+
+    best = F.array_max(F.transform(true, share))
+    return F.when(F.col("suspect") & F.contains(F.col("s"), F.lit(_phrase(" ".join(key)))), F.struct(F.lit(label).alias("label"), best.alias("share")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of docs.
 
@@ -100,46 +139,16 @@ def scan(docs: DataFrame) -> DataFrame:
     starts = F.array().cast("array<int>")
     found_base = []
     for label, phrase in BASE:
-        p = phrase.split()
-        at = F.filter(
-            F.sequence(F.lit(0), F.size("words") - len(p)),
-            lambda i, p=p: F.slice(F.col("words"), i + 1, F.lit(len(p))) == F.array(*[F.lit(w) for w in p]),
-        )
-        at = F.when(F.contains(F.col("s"), F.lit(_phrase(phrase))), at).otherwise(F.array().cast("array<int>"))
-        base = base.withColumn(f"at_{label}", at)
+        base = base.withColumn(f"at_{label}", _starts(phrase))
         starts = F.concat(starts, F.col(f"at_{label}"))
         found_base.append(F.when(F.size(f"at_{label}") > 0, F.lit(label)))
-    base = base.withColumn("starts", starts)
-
-    # places of template words in the document, and its rarest words for each template
+    # places of template words in the document
     here = F.when(
         F.col("suspect"),
         F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(known, x["w"])),
     )
-    base = base.withColumn("here", here)
-    hits = []
-    for label, notice, key in TEMPLATES:
-        words = notice.split()
-        k = key.split()
-        shift = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
-        distinct = sorted(set(words))
-        mine = F.filter(F.array(*[F.lit(w) for w in distinct]), lambda w: F.exists(F.col("here"), lambda x: x["w"] == w))
-        rare = F.slice(F.array_sort(mine, lambda a, b: F.when(F.element_at(weight, a) > F.element_at(weight, b), -1).when(F.element_at(weight, a) < F.element_at(weight, b), 1).otherwise(0)), 1, RAREST)
-        postings = F.create_map(*[x for w in distinct for x in (F.lit(w), F.array(*[F.lit(i) for i, y in enumerate(words) if y == w]))])
-        # the rarest word proposes starts; every other looked-up word must propose the same
-        proposed = lambda w, postings=postings: F.flatten(F.transform(F.filter(F.col("here"), lambda x: x["w"] == w), lambda x: F.transform(F.element_at(postings, w), lambda o: x["i"] - o)))
-        common = F.aggregate(F.slice(rare, 2, RAREST), proposed(F.get(rare, F.lit(0))), lambda acc, w, proposed=proposed: F.array_intersect(acc, proposed(w)))
-        true = F.filter(
-            common,
-            lambda s, k=k, shift=shift: (s + shift >= 0) & (F.slice(F.col("words"), F.greatest(s + shift + 1, F.lit(1)), F.lit(len(k))) == F.array(*[F.lit(w) for w in k])),
-        )
-        share = lambda s, words=words: F.aggregate(
-            F.array(*[F.struct(F.lit(i).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(words)]),
-            F.lit(0),
-            lambda acc, x, s=s: acc + F.when(F.get(F.col("words"), s + x["o"]) == x["w"], 1).otherwise(0),
-        ) / len(words)
-        best = F.array_max(F.transform(true, share))
-        hits.append(F.when(F.col("suspect") & F.contains(F.col("s"), F.lit(_phrase(key))), F.struct(F.lit(label).alias("label"), best.alias("share"))))
+    base = base.withColumn("starts", starts).withColumn("here", here)
+    hits = [_hit(label, notice.split(), key.split(), weight) for label, notice, key in TEMPLATES]
     base = base.withColumn("hits", F.filter(F.array(*hits), lambda h: h.isNotNull() & h["share"].isNotNull()))
     base_labels = F.array_sort(F.array_compact(F.array(*found_base)))
     labels = F.array_sort(F.array_union(base_labels, F.transform("hits", lambda h: h["label"])))

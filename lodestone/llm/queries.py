@@ -4,13 +4,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, exact_dedup, language, licences, line_dedup, near_dedup
+from lodestone.llm import decontamination, exact_dedup, language, licences, line_dedup, near_dedup, pieces, pii, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """The SentencePiece model at path, by default the installed public one; about 0.5 MB, read on the driver."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.read_model(path)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_read(spark, sf_dir, "documents"), piece_model())
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=5, threshold=(85, 100))
 
@@ -41,6 +54,69 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_language_id, op4_decontamination, op5_licence_scan, op6_line_dedup, op7_exact_dedup)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl records of the pages, resolved: record_id, canonical_url, ts, resolution, refers_to, headers (as sorted text)."""
+    found = warc.resolve(warc.records_of_pages(_read(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.withColumn("headers", F.array_join(lines, ";"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(spark.createDataFrame(urls.LABELLED, "url string, label int"))
+    return urls.judge(_read(spark, sf_dir, "pages"), model)
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text masked: doc_id, n_entities, text."""
+    return pii.mask(_read(spark, sf_dir, "documents"), key=PII_KEY).select("doc_id", "n_entities", "text")
+
+
+#: The key of the registered query; in production it comes from a secret store.
+PII_KEY = "registered-query"
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_near_dedup, op3_language_id, op4_decontamination, op5_licence_scan,
+        op6_line_dedup, op7_exact_dedup, op8_warc_revisits, op9_url_filter, op10_pii_surrogates,
+    )
+}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+  lines AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS line, translate(trim(unnest(l), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '{UPPER}', '{LOWER}') AS s FROM cut),
+  long AS (SELECT doc_id, line, hex(encode(s)) AS h FROM lines WHERE octet_length(encode(s)) >= {line_dedup.MIN_BYTES}),
+  firsts AS (SELECT h, min({{'d': doc_id, 'l': line}}) AS w FROM long GROUP BY h),
+  places AS (SELECT h, w, unnest(range(length(h) // 2)) AS p FROM firsts),
+  variants AS (SELECT h, w, p, substr(h, 1, 2 * p) || substr(h, 2 * p + 3) AS v FROM places),
+  replaced AS (SELECT h, min(other) AS other FROM (SELECT h, w, min(w) OVER (PARTITION BY v, p) AS other FROM variants) WHERE other < w GROUP BY h),
+  shorter AS (SELECT a.h, min(b.w) AS other FROM variants a JOIN firsts b ON a.v = b.h WHERE b.w < a.w GROUP BY a.h),
+  longer AS (SELECT b.h, min(a.w) AS other FROM variants a JOIN firsts b ON a.v = b.h WHERE a.w < b.w GROUP BY b.h),
+  near AS (SELECT h, min(other) AS other FROM (FROM replaced UNION ALL FROM shorter UNION ALL FROM longer) GROUP BY h),
+  found AS (SELECT doc_id, line, CASE WHEN {{'d': doc_id, 'l': line}} > f.w THEN f.w ELSE n.other END AS place, {{'d': doc_id, 'l': line}} > f.w AS exact
+    FROM long JOIN firsts f USING (h) LEFT JOIN near n USING (h))
+SELECT doc_id, line, place.d AS of_doc, place.l AS of_line, exact FROM found WHERE place IS NOT NULL""",
+    "op7_exact_dedup": f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS s FROM documents),
+  g AS (SELECT s, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY s)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM t JOIN g USING (s)""",
+    "op8_warc_revisits": f"""
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, '"' || substr(md5(coalesce(html, '')), 1, 12) || '"' AS tag FROM pages),
+  records AS (
+    SELECT page_id * 2 AS record_id, url, page_id * 10 AS ts, CASE WHEN page_id % 5 = 0 THEN 304 ELSE 200 END AS status, tag, tag AS raw_tag, n AS size, false AS again FROM p
+    UNION ALL SELECT page_id * 2 + 1, url, page_id * 10 + 5, 304, CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE tag END, CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE 'W/' || tag END, 0, true FROM p),
+  bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS b FROM records),
+  canon AS (SELECT *, regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www[.]|:(80|443)$', '', 'g') || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') ||
+      coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{warc.TRACKING}'))), '&'), ''), '') AS canonical_url FROM bare),
+  fulls AS (SELECT canonical_url, ts, record_id, tag, raw_tag, size FROM canon WHERE status = 200),
+  joined AS (SELECT c.*, f.record_id AS ref, f.tag AS ref_tag, f.size AS ref_size FROM canon c ASOF LEFT JOIN fulls f ON c.canonical_url = f.canonical_url AND c.ts > f.ts),
+  judged AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN ref IS NULL THEN 'missing' WHEN tag = ref_tag THEN 'resolved' ELSE 'validator-mismatch' END AS resolution FROM joined)
+SELECT record_id, canonical_url, ts, resolution, CASE WHEN resolution = 'resolved' THEN ref END AS refers_to,
+  (CASE WHEN again THEN 'cache-control=max-age=60;' ELSE '' END) || 'content-length=' || (CASE WHEN resolution = 'resolved' THEN ref_size ELSE size END) ||
+  (CASE WHEN NOT again OR resolution = 'resolved' THEN ';content-type=text/html' ELSE '' END) || ';date=' || ts || ';etag=' || raw_tag AS headers
+FROM judged""",
+    "op9_url_filter": urls.oracle(),
+}
