@@ -1,3 +1,13 @@
 """Registered queries over the driver's tables, and the SQL that each must equal."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestone.plans import (  # noqa: F401
+    aggregating,
+    domain,
+    joining,
+    ranking,
+    reshaping,
+    scalar,
+    scoring,
+    series,
+    streams,
+)
+from lodestone.plans.common import ORACLE_SQL, QUERIES  # noqa: F401
