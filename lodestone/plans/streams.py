@@ -1,0 +1,27 @@
+"""Streams run once over the events table."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.plans.common import plan
+from lodestone.streaming import windows
+
+
+@plan("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.run_once(windows.tumbling(windows.read_stream(spark, f"{sf_dir}/events.parquet"), "ts", ["event_type"], "1 day", "1 day"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@plan("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g FROM events),
+s AS (SELECT user_id, ts, sum(g) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""")
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.run_once(windows.sessions(windows.read_stream(spark, f"{sf_dir}/events.parquet"), "ts", ["user_id"], "6 hours", "1 day"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@plan("SELECT user_id, event_type FROM events GROUP BY 1, 2")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = windows.deduplicated(windows.read_stream(spark, f"{sf_dir}/events.parquet"), "ts", ["user_id", "event_type"], "365 days")
+    return windows.run_once(stream.select("user_id", "event_type"), "append")
