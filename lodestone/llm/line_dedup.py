@@ -9,8 +9,9 @@ insertion apart exactly when one of them is a variant of the other, so minima by
 each line its earliest neighbour, without pairs within a key.  The pair is then verified
 by edit distance on the lines themselves.
 
-Before that, a filter: an edit leaves a line's first or last quarter at least unchanged,
-so only lines that share their head or tail with a different line emit variants.
+Before that, a filter: an edit leaves the first or the last half of a line unchanged, so only
+lines that share half with a different line of the same length, or one byte more or
+less, emit variants.
 
 A line goes when an equal line, or a line within the bound, stands earlier: in a smaller
 doc_id, or further up in the same document; whether the earlier line itself stays does
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import kernel, scratch
 
 MIN_BYTES = 24
+#: So many lines, of 16 bytes each, may be broadcast.
+FEW = 1_000_000
+#: Variants made at a time.
+SLICE = 1 << 18
 U = kernel.U
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -55,12 +60,6 @@ def line_bounds(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(blank, start, at), np.where(blank, start, to), row, number
 
 
-def edge_length(n: np.ndarray) -> np.ndarray:
-    """Bytes of a line's head and tail that the filter compares: a power of two, at most half of what the shorter of two lines has."""
-    half = np.maximum((n - 1) // 2, 1)
-    return np.left_shift(1, np.frexp(half.astype(np.float64))[1] - 1)
-
-
 def _lines(min_bytes: int):
     def run(batches):
         for batch in batches:
@@ -72,59 +71,75 @@ def _lines(min_bytes: int):
                 start, end, row, number = start[keep], end[keep], row[keep], number[keep]
                 roll = kernel.Rolling(low)
                 n = end - start
+                # head and tail of half the length that the shorter of two lines has: this line's, or one byte less
                 edges = []
-                for size in (edge_length(n), edge_length(n - 1)):
-                    edges += [roll.hash(start, start + size), kernel.mix(roll.hash(end - size, end) + U(1))]
-                edges = [e.view(np.int64) for e in edges]
-                same = edge_length(n) == edge_length(n - 1)
+                for size in (n, n - 1):
+                    half, tag = (size - 1) // 2, size.astype(U) << U(1)
+                    edges += [kernel.mix(roll.hash(start, start + half) + tag), kernel.mix(roll.hash(end - half, end) + tag + U(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[first + row]), pa.array(number), pa.array(roll.hash(start, end).view(np.int64)),
-                        pa.array(edges[0]), pa.array(edges[1]), pa.array(edges[2], mask=same), pa.array(edges[3], mask=same),
-                    ],
+                    [pa.array(ids[first + row]), pa.array(number), pa.array(roll.hash(start, end).view(np.int64)), *[pa.array(e.view(np.int64)) for e in edges]],
                     ["doc_id", "line", "hash", "e0", "e1", "e2", "e3"],
-                )
+                )
 
     return run
 
 
+def _chosen(batch: pa.RecordBatch, min_bytes: int):
+    """Bytes, document and number, start and end of the lines of a batch that `wanted` names, by chunk."""
+    wanted, ids = batch.column("wanted").to_pylist(), batch.column("doc_id").to_numpy(zero_copy_only=False)
+    for first, data, offsets in kernel.text_chunks(batch.column("text")):
+        low = kernel.LOWER[data]
+        start, end, row, number = line_bounds(low, offsets)
+        named = {(i, x) for i in range(len(offsets) - 1) for x in wanted[first + i]}
+        keep = np.fromiter(((r, x) in named for r, x in zip(row.tolist(), number.tolist(), strict=True)), bool, len(row)) & (end - start >= min_bytes)
+        yield low, ids[first + row[keep]], number[keep], start[keep], end[keep]
+
+
 def _variants(min_bytes: int):
-    """The deletion neighbourhood of the lines named in `wanted`; kind 0: the line itself, kind p + 1: the byte at p deleted."""
+    """The deletion neighbourhood of the named lines; kind 0: the line itself, kind p + 1: the byte at p deleted."""
 
     def run(batches):
         for batch in batches:
-            wanted = batch.column("wanted").to_pylist()
-            for first, data, offsets in kernel.text_chunks(batch.column("text")):
-                low = kernel.LOWER[data]
-                start, end, row, number = line_bounds(low, offsets)
-                named = {(i, x) for i in range(len(offsets) - 1) for x in wanted[first + i]}
-                keep = np.fromiter(((r, x) in named for r, x in zip(row.tolist(), number.tolist(), strict=True)), bool, len(row)) & (end - start >= min_bytes)
-                start, end = start[keep], end[keep]
+            for low, doc, number, start, end in _chosen(batch, min_bytes):
                 roll = kernel.Rolling(low)
-                hashes = roll.hash(start, end)
-                for at in range(0, len(start), 4096):
-                    s, e, h = start[at : at + 4096], end[at : at + 4096], hashes[at : at + 4096]
-                    n = e - s
-                    who = np.repeat(np.arange(len(s)), n)
-                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    p = s[who] + place
-                    up = kernel.powers(int(n.max(initial=0)) + 1, kernel.BASE)
-                    raw = roll.raw(s[who], p) + roll.raw(p + 1, e[who]) * up[place]
-                    cut = kernel.mix(raw + (n[who] - 1).astype(U) * U(0xD1B54A32D192ED03))
-                    texts = [low[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                size = end - start
+                # kind 0 first: a line has size + 1 variants, laid out one line after the other
+                total = np.concatenate([[0], np.cumsum(size + 1)])
+                up = kernel.powers(int(size.max(initial=0)) + 1, kernel.BASE)
+                for at in range(0, int(total[-1]), SLICE):
+                    flat = np.arange(at, min(at + SLICE, int(total[-1])))
+                    who = np.searchsorted(total, flat, "right") - 1
+                    kind = flat - total[who]
+                    s, e, place = start[who], end[who], np.maximum(kind - 1, 0)
+                    raw = roll.raw(s, s + place) + roll.raw(s + place + 1, e) * up[place]
+                    cut = kernel.mix(raw + (e - s - 1).astype(U) * U(0xD1B54A32D192ED03))
+                    variant = np.where(kind == 0, roll.hash(s, e), cut)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([h, cut]).view(np.int64)),
-                            pa.array(np.concatenate([np.zeros(len(s), np.int64), place + 1])),
-                            pa.array(np.concatenate([h, h[who]]).view(np.int64)),
-                            pa.array(texts + [None] * len(who), pa.binary()),
-                        ],
-                        ["variant", "kind", "hash", "body"],
-                    )
+                        [pa.array(variant.view(np.int64)), pa.array(kind), pa.array(doc[who]), pa.array(number[who])], ["variant", "kind", "doc_id", "line"]
+                    )
+
+    return run
+
+
+def _bodies(min_bytes: int):
+    def run(batches):
+        for batch in batches:
+            for low, doc, number, start, end in _chosen(batch, min_bytes):
+                texts = [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(texts, pa.binary())], ["doc_id", "line", "body"])
 
     return run
 
 
+def _with_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """docs (doc_id, text) that have a place (doc_id, line), with their lines as `wanted`.
+
+    Up to FEW places are broadcast, so that texts don't shuffle; more are joined by shuffle.
+    """
+    wanted = places.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
+    return docs.join(F.broadcast(wanted) if places.count() <= FEW else wanted, "doc_id").select("doc_id", "text", "wanted")
+
+
 def within_one(a: bytes, b: bytes) -> bool:
     """Edit distance of at most one, by common prefix and suffix."""
     if abs(len(a) - len(b)) > 1:
@@ -139,7 +154,7 @@ def within_one(a: bytes, b: bytes) -> bool:
 def _check(batches):
     for batch in batches:
         ok = [within_one(a, b) for a, b in zip(batch.column("body").to_pylist(), batch.column("other").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["hash", "doc_id", "line"])
+        yield batch.filter(pa.array(ok, pa.bool_())).select(["doc_id", "line", "of_doc", "of_line"])
 
 
 def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -152,32 +167,31 @@ def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         .select("hash", "first.*", (F.col("first") != F.col("last")).alias("many"), "e0", "e1", "e2", "e3"),
         "distinct",
     )
-    edges = distinct.select("hash", F.explode(F.array_compact(F.array("e0", "e1", "e2", "e3"))).alias("edge"))
+    edges = distinct.select("hash", F.explode(F.array("e0", "e1", "e2", "e3")).alias("edge"))
     shared = edges.groupBy("edge").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi").select("edge")
     suspects = edges.join(shared, "edge", "left_semi").select("hash").distinct()
-    suspects = distinct.join(suspects, "hash", "left_semi").select("doc_id", "line", "hash")
-    wanted = suspects.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    variants = scratch.table(
-        docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_variants(min_bytes), "variant long, kind long, hash long, body binary"), "variants"
-    )
-    where = distinct.select("hash", F.struct("doc_id", "line", "hash").alias("at"))
-    keyed = variants.select("variant", "kind", "hash").distinct().join(where, "hash")
+    suspects = scratch.table(distinct.join(suspects, "hash", "left_semi").select("doc_id", "line"), "suspects")
+    variants = scratch.table(_with_lines(docs, suspects).mapInArrow(_variants(min_bytes), "variant long, kind long, doc_id long, line long"), "variants")
+    met = variants.groupBy("variant").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "line") for n, f in (("lo", F.min), ("hi", F.max))])
+    # few of them are left, as a table of known size
+    met = scratch.table(met.filter("lo_doc_id <> hi_doc_id OR lo_line <> hi_line").select("variant"), "met")
+    keyed = scratch.table(variants.join(met, "variant", "left_semi").select("variant", "kind", place.alias("at")), "keyed")
     # replaced: same variant, same place; inserted or deleted: one line is the other's variant
-    classes = keyed.groupBy("variant", "kind").agg(F.min("at").alias("low"), F.count("*").alias("n"))
-    whole = classes.groupBy("variant").agg(F.min(F.when(F.col("kind") == 0, F.col("low"))).alias("self"), F.min(F.when(F.col("kind") > 0, F.col("low"))).alias("longer"), F.sum("n").alias("n")).filter("n > 1")
-    best = classes.filter("n > 1 AND kind > 0").select("variant", "kind", "low")
+    classes = keyed.groupBy("variant", "kind").agg(F.min("at").alias("low"))
+    whole = classes.groupBy("variant").agg(F.min(F.when(F.col("kind") == 0, F.col("low"))).alias("self"), F.min(F.when(F.col("kind") > 0, F.col("low"))).alias("longer"))
     near = (
-        keyed.join(whole.drop("n"), "variant").join(best, ["variant", "kind"], "left")
-        .select("hash", "at", F.when(F.col("kind") == 0, F.col("longer")).otherwise(F.least("self", "low")).alias("other"))
-        .filter("other < at").groupBy("hash").agg(F.min("other").alias("other"))
+        keyed.join(whole, "variant").join(classes.filter("kind > 0"), ["variant", "kind"], "left")
+        .select("at", F.when(F.col("kind") == 0, F.col("longer")).otherwise(F.least("self", "low")).alias("other"))
+        .filter("other < at").groupBy("at").agg(F.min("other").alias("other"))
     )
-    bodies = variants.filter("kind = 0").groupBy("hash").agg(F.min("body").alias("body"))
-    near = near.join(bodies, "hash").join(bodies.select(F.col("hash").alias("h2"), F.col("body").alias("other_body")), F.col("other.hash") == F.col("h2"))
-    near = scratch.table(
-        near.select("hash", "body", F.col("other_body").alias("other"), F.col("other.doc_id").alias("doc_id"), F.col("other.line").alias("line")).mapInArrow(_check, "hash long, doc_id long, line long"), "near"
-    )
+    near = scratch.table(near.select("at.doc_id", "at.line", F.col("other.doc_id").alias("of_doc"), F.col("other.line").alias("of_line")), "pairs")
+    places = near.select("doc_id", "line").union(near.select("of_doc", "of_line")).distinct()
+    bodies = scratch.table(_with_lines(docs, places).mapInArrow(_bodies(min_bytes), "doc_id long, line long, body binary"), "bodies").dropDuplicates(["doc_id", "line"])
+    other = bodies.select(F.col("doc_id").alias("of_doc"), F.col("line").alias("of_line"), F.col("body").alias("other"))
+    near = near.join(bodies, ["doc_id", "line"]).join(other, ["of_doc", "of_line"])
+    near = scratch.table(near.select("doc_id", "line", "of_doc", "of_line", "body", "other").mapInArrow(_check, "doc_id long, line long, of_doc long, of_line long"), "near")
     firsts = (
-        distinct.join(near.select("hash", F.struct("doc_id", "line").alias("near")), "hash", "left")
+        distinct.join(near.select("doc_id", "line", F.struct(F.col("of_doc").alias("doc_id"), F.col("of_line").alias("line")).alias("near")), ["doc_id", "line"], "left")
         .filter("many OR near IS NOT NULL")
         .select("hash", F.struct("doc_id", "line").alias("first"), "near")
     )

@@ -7,13 +7,16 @@ equal bands make candidates; a candidate's Jaccard similarity is estimated from
 registers, less the share expected to agree by chance, and what may reach the
 threshold is verified on the full sets.
 
+Buckets that a small set leaves empty borrow, for the bands only, from other buckets in a
+fixed order for each bucket, so that every band rests on five registers.
+
 No group is expanded into all pairs.  Identical sets collapse to one representative.
 Members of a band bucket are tested against one central member; only members that
 are still in another component than most of their bucket are then tested against the
-rest of it, and only where sizes and shingles that occur in one document alone leave
-the threshold within reach.  That bound is exact, so no link between different
-texts that share a band is lost.  With 32 bands of 5 registers a pair at 0.85 shares
-no band with a probability of 7e-9.
+rest of it, and only where sizes and parity sketches leave the threshold within reach:
+sets whose sketches of PARITY_BITS parities differ in d bits differ in d shingles at least.
+That bound is exact, so no link between different texts that share a band is lost.
+With 32 bands of 5 registers a pair at 0.85 shares no band with a probability of 7e-9.
 
 Nulls, empty and blank texts have empty sets and link with nothing.  Of rows that repeat a
 doc_id each gets the component of its own text.  A null doc_id gets a null component and is
@@ -33,6 +36,7 @@ from lodestone.llm.graph import components
 BANDS, ROWS, MANTISSA_BITS = 32, 5, 10
 BUCKETS = BANDS * ROWS
 EMPTY = 0xFFFF
+PARITY_BITS = 512
 #: Chance that two unrelated full registers agree: equal leading zeros (about 0.4) times equal mantissas.
 CHANCE = 0.4 / (1 << MANTISSA_BITS)
 
@@ -56,6 +60,39 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(full, (zeros.astype(U) << U(MANTISSA_BITS)) | mantissa, U(EMPTY)).astype(np.uint16).reshape(len(sets), BUCKETS)
 
 
+def lenders() -> np.ndarray:
+    """For each bucket the order in which it asks the others."""
+    return np.random.default_rng(20).permuted(np.tile(np.arange(BUCKETS), (BUCKETS, 1)), axis=1)
+
+
+def band_hashes(regs: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of each row, after empty buckets have borrowed; rows need one full bucket."""
+    regs, filled, order = regs, regs.copy(), lenders()
+    row, col = np.nonzero(regs == EMPTY)
+    for k in range(BUCKETS):
+        if not len(row):
+            break
+        filled[row, col] = regs[row, order[col, k]]
+        still = filled[row, col] == EMPTY
+        row, col = row[still], col[still]
+    out = np.tile(np.arange(BANDS, dtype=kernel.U), (len(regs), 1))
+    for k in range(ROWS):
+        out = kernel.mix(out * kernel.U(0x100000001B3) + filled[:, k::ROWS].astype(kernel.U) + kernel.U(1))
+    return out
+
+
+def _bands(batches):
+    for batch in batches:
+        regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        ids = batch.column("rep").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(band_hashes(regs).view(np.int64).ravel())], ["rep", "band"])
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    bits = np.bincount((s >> kernel.U(64 - 9)).view(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(width: int):
     def run(batches):
         for batch in batches:
@@ -81,8 +118,11 @@ def _sets(width: int):
             sets = [s.view(np.int64) for s in kernel.shingle_sets(batch.column("text"), width)]
             regs = registers([s.view(np.uint64) for s in sets]) if sets else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary())],
-                ["id", "shingles", "registers"],
+                [
+                    batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary()),
+                    pa.array([parities(s.view(np.uint64)) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["id", "shingles", "registers", "parity"],
             )
 
     return run
@@ -141,20 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.select("print", "n_shingles", F.col("rep").alias("doc_id")), ["print", "n_shingles", "doc_id"], "left_semi")
-    step = ROWS * 2
-    empty = F.lit(bytes([0xFF] * step))
-    bands = reps.select(
-        F.col("doc_id").alias("rep"),
-        F.explode(
-            F.filter(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                    lambda k: F.when(F.substring(F.col("registers"), k * step + 1, F.lit(step)) != empty, F.xxhash64(F.substring(F.col("registers"), k * step + 1, F.lit(step)), k)),
-                ),
-                lambda h: h.isNotNull(),
-            )
-        ).alias("band"),
-    )
+    bands = reps.select(F.col("doc_id").alias("rep"), "registers").mapInArrow(_bands, "rep long, band long")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = scratch.table(bands.join(shared, "band").distinct(), "members")
     # the central member of a bucket: the one whose buckets are largest in all
@@ -167,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         .distinct()
     )
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.table(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>, registers binary"), "sets")
+    sets = scratch.table(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>, registers binary, parity array<long>"), "sets")
     links = scratch.table(_links(first, sets, num, den), "links")
     found = components(links)
 
@@ -177,16 +204,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     open_ = per.groupBy("band").agg(F.max(F.struct("n", -F.col("comp"))).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
     placed = scratch.table(placed.join(open_.select("band", (-F.col("top.col2")).alias("main")), "band"), "placed")
     alive = placed.select(F.col("rep").alias("id")).distinct()
-    grams = sets.join(alive, "id", "left_semi").select("id", F.explode("shingles").alias("g"))
-    lone = grams.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    bound = (
-        sets.join(alive, "id", "left_semi").select("id", F.size("shingles").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"))
-    )
-    placed = placed.join(bound, placed.rep == bound.id).select("band", "rep", "comp", "main", "n", "m").filter(f"{den} * m >= {num} * n")
+    words = [F.element_at("parity", k + 1).alias(f"p{k}") for k in range(PARITY_BITS // 64)]
+    placed = placed.join(sets.join(alive, "id", "left_semi").select(F.col("id").alias("rep"), F.size("shingles").cast("long").alias("n"), *words), "rep")
     x, y = placed.filter("comp <> main").alias("x"), placed.alias("y")
-    most = F.least("x.m", "y.m")
+    differ = sum(F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_BITS // 64))
+    total = F.col("x.n") + F.col("y.n")
+    apart = F.greatest(differ, F.abs(F.col("x.n") - F.col("y.n")))
     second = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & (most * den >= (F.col("x.n") + F.col("y.n") - most) * num))
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & (apart * (num + den) <= total * (den - num)))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
