@@ -568,5 +568,5 @@ def _with_ids(blob: bytes, ids_name: str, same_name: str):
 def with_ids(docs: DataFrame, model: bytes) -> DataFrame:
     """docs with all their columns, ids, and round_trip: whether ids decode to the text again (names that are taken get an underscore)."""
     ids, same = scratch.fresh("ids", docs.columns), scratch.fresh("round_trip", docs.columns)
-    schema = T.StructType([*docs.schema.fields]).add(ids, "array<int>").add(same, "boolean")
+    schema = T.StructType([*docs.schema.fields]).add(ids, T.ArrayType(T.IntegerType())).add(same, T.BooleanType())
     return docs.mapInArrow(_with_ids(model, ids, same), schema)
