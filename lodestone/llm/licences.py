@@ -55,8 +55,8 @@ def _phrase(words: str) -> str:
 
 def _spread(text: Column) -> Column:
     """The words, each between two spaces of its own, so that phrases that follow each other don't share one."""
-    inner = F.regexp_replace(F.regexp_replace(lowered(text), SEPARATORS, "  "), "^ +| +$", "")
-    return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
+    inner = F.trim(F.regexp_replace(lowered(text), SEPARATORS, "  "))
+    return F.coalesce(F.concat(F.lit(" "), F.nullif(inner, F.lit("")), F.lit(" ")), F.lit(""))
 
 
 def _words(spread: Column) -> Column:
@@ -68,12 +68,15 @@ def _places(spread: Column, phrase: str) -> Column:
 
 
 def frequencies(words: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of each template word over all rows of words (bag array<string>); one row goes to the driver."""
-    names = vocabulary()
-    row = words.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("bag", w)).alias(f"w{i}") for i, w in enumerate(names)]).first()
+    """Inverse document frequency of each template word over all rows of words (bag array<string>); a row for each word goes to the driver.
+
+    Every row also counts for the empty word, which gives their number.
+    """
+    found = words.select(F.explode(F.concat(F.array(F.lit("")), "bag")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    n = {r["w"]: r["n"] for r in found}
     from math import log
 
-    return {w: log((1 + row["n"]) / (1 + row[f"w{i}"])) for i, w in enumerate(names)}
+    return {w: log((1 + n.get("", 0)) / (1 + n.get(w, 0))) for w in vocabulary()}
 
 
 def _literals(words: list[str]) -> Column:
