@@ -2,7 +2,9 @@
 from lodestone.plans import (  # noqa: F401
     aggregating,
     domain,
+    evidence,
     joining,
+    predicates,
     ranking,
     reshaping,
     scalar,
