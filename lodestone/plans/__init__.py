@@ -1,6 +1,7 @@
 """Registered queries over the driver's tables, and the SQL that each must equal."""
 from lodestone.plans import (  # noqa: F401
     aggregating,
+    contrasting,
     domain,
     evidence,
     joining,
