@@ -4,7 +4,12 @@ A text becomes a vector of hashed character 1- to 3-grams over its letters, weig
 log term frequency and inverse document frequency and scaled to length one.  Each
 language has several centroids, from spherical k-means; the nearest centroid by cosine
 names the language, and its cosine is the score.  A text whose cosine stays under the
-model's `floor` is rejected as unlike all that was learned.
+floor of that language for texts of its length is rejected as unlike all that was learned.
+
+Floors come from held-out cosines: each half of the sample is scored against centroids of
+the other half, whole and cut to every power of two of letters, and a floor is SLACK of
+the 1% quantile in its band.  A band that no held-out text reached takes the floor of the
+nearest shorter one.  Texts of a few letters have floors near 0: they are too short to reject.
 
 Document frequencies and the number of documents come from all training rows; the centroids are fitted on a
 bounded sample: SAMPLE rows a language at about, chosen by a hash of doc_id.  Texts that
@@ -23,10 +28,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import scratch
 
-DIMENSIONS, SAMPLE, CENTROIDS, MAX_LANGUAGES = 1 << 12, 250, 4, 1000
-#: Share of the sample's least own-language cosine that a text must reach.
-SLACK = 0.25
+BITS, SAMPLE, CENTROIDS, MAX_LANGUAGES = 16, 250, 4, 1000
+DIMENSIONS = 1 << BITS
+#: Share of the 1% quantile of held-out own-language cosines that a text must reach.
+SLACK = 0.5
 GRAMS = 3
+#: Bands of text length: band b has texts of 2**b characters to twice that, the last one all longer texts.
+BANDS = 18
 
 
 def letter_table() -> np.ndarray:
@@ -34,8 +42,8 @@ def letter_table() -> np.ndarray:
     return np.array([chr(i).isalpha() or 0xD800 <= i < 0xE000 for i in range(1 << 16)])
 
 
-def gram_counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
-    """Counts of hashed 1- to 3-grams of the letters, other characters as one space; None without letters."""
+def codes(text: str | None, letters: np.ndarray) -> np.ndarray | None:
+    """Code units of the lower-cased letters, other runs as one space, without the outer spaces; None without letters."""
     if not text:
         return None
     code = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
@@ -45,18 +53,34 @@ def gram_counts(text: str | None, letters: np.ndarray) -> np.ndarray | None:
     code = np.where(ok, code, np.uint16(32))
     keep = np.ones(len(code), bool)
     keep[1:] = ok[1:] | ok[:-1]
-    code = np.concatenate([[32], code[keep], [32]]).astype(np.uint64)
-    out = np.zeros(DIMENSIONS, np.int64)
+    code = code[keep]
+    return code[int(code[0] == 32) : len(code) - int(code[-1] == 32)]
+
+
+def count_grams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and counts of the hashed 1- to 3-grams of codes."""
+    code = np.concatenate([[32], code, [32]]).astype(np.uint64)
+    slots = []
     rolled = np.zeros(len(code), np.uint64)
     for n in range(1, GRAMS + 1):
         rolled = rolled[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
-        slot = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-        out += np.bincount(slot.view(np.int64), minlength=DIMENSIONS)
-    return out
+        slots.append((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
+    counts = np.bincount(np.concatenate(slots).view(np.int64), minlength=DIMENSIONS)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+def gram_counts(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    code = codes(text, letters)
+    return None if code is None else count_grams(code)
 
 
-def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = (np.log1p(counts) * idf).astype(np.float32)
+def band(n: int) -> int:
+    return min(BANDS - 1, n.bit_length() - 1)
+
+
+def weights(slots: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = (np.log1p(counts) * idf[slots]).astype(np.float32)
     n = float(np.sqrt(np.dot(v, v)))
     return v / n if n else v
 
@@ -65,16 +89,19 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]
     owner: np.ndarray  # language of each centroid
-    centroids: np.ndarray
+    centroids: np.ndarray  # slot by centroid
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray  # language by band of length
 
-    def score(self, counts: np.ndarray) -> tuple[str, float]:
-        cos = self.centroids @ vector(counts, self.idf)
+    def score(self, code: np.ndarray) -> tuple[str, float, bool]:
+        """Language, cosine and whether it is under the floor."""
+        slots, counts = count_grams(code)
+        cos = weights(slots, counts, self.idf) @ self.centroids[slots]
         best = np.full(len(self.languages), -1.0, np.float32)
         np.maximum.at(best, self.owner, cos)
         k = int(np.argmax(best))
-        return self.languages[k], min(1.0, max(0.0, float(best[k])))
+        score = min(1.0, max(0.0, float(best[k])))
+        return self.languages[k], score, score < self.floors[k, band(len(code))]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -96,22 +123,67 @@ def _frequencies(batches):
         for text in batch.column("text"):
             counts = gram_counts(text.as_py(), letters)
             if counts is not None:
-                total += counts > 0
+                total[counts[0]] += 1
                 n += 1
     slots = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(total[slots], n))], ["slot", "n"])
 
 
 def _vectors(idf: np.ndarray):
+    """Slots and weights of each text (band -1), and of its letters up to each power of two."""
+
     def run(batches):
         letters = letter_table()
         for batch in batches:
-            rows = [(lang, vector(c, idf)) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (c := gram_counts(t, letters)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["lang", "v"])
+            rows = []
+            for lang, text, half in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "half")), strict=True):
+                code = codes(text, letters)
+                for b in range(-1, 0 if code is None else band(len(code)) + 1):
+                    if code is not None:
+                        slots, counts = count_grams(code if b < 0 else code[: 1 << b])
+                        rows.append((lang, half, b, len(code), slots.astype(np.int32).tobytes(), weights(slots, counts, idf).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "half", "band", "n", "slots", "v"])
 
     return run
 
 
+def dense(rows: list, seen: np.ndarray) -> np.ndarray:
+    """Rows (slots, v) as a matrix over the slots of `seen`, which has all of theirs that matter."""
+    x = np.zeros((len(rows), len(seen)), np.float32)
+    for i, r in enumerate(rows):
+        slots = np.frombuffer(r.slots, np.int32)
+        at = np.minimum(np.searchsorted(seen, slots), len(seen) - 1)
+        ok = seen[at] == slots
+        x[i, at[ok]] = np.frombuffer(r.v, np.float32)[ok]
+    return x
+
+
+def held_out_cosines(rows: list, cut: list, seen: np.ndarray) -> list[list[float]]:
+    """By band, cosines of the texts of each half, whole and cut, with centroids of the other half."""
+    found = [[] for _ in range(BANDS)]
+    for half in (0, 1):
+        fitted, judged = [r for r in rows if r.half != half], [r for r in rows + cut if r.half == half]
+        if not fitted or not judged:
+            continue
+        c = k_means(dense(fitted, seen), CENTROIDS)
+        for at in range(0, len(judged), SAMPLE):
+            part = judged[at : at + SAMPLE]
+            for r, best in zip(part, (dense(part, seen) @ c.T).max(1).tolist(), strict=True):
+                found[band(r.n) if r.band < 0 else r.band].append(best)
+    return found
+
+
+def floors_of(found: list[list[list[float]]]) -> np.ndarray:
+    """Floors by language and band; a language without held-out texts takes the least floor of the others, or 0."""
+    out = np.full((len(found), BANDS), np.nan)
+    for k, bands in enumerate(found):
+        for b, cosines in enumerate(bands):
+            out[k, b] = SLACK * float(np.quantile(cosines, 0.01)) if cosines else out[k, b - 1] if b else np.nan
+    least = np.fmin.reduce(out, 0)
+    return np.nan_to_num(np.where(np.isnan(out), least, out), nan=0.0)
+
+
 def fit(train: DataFrame) -> Model | None:
     """A model from train (doc_id, text, lang); rows with a null lang teach nothing."""
     train = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -131,34 +203,39 @@ def fit(train: DataFrame) -> Model | None:
     idf = np.log((1 + total) / (1 + df)) + 0.05
     grain = 1 << 30
     wanted = F.lit(False)
+    draw = F.xxhash64("doc_id", "text")
     for lang, n in counts:
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain)) < int(grain * min(1.0, SAMPLE / n))))
-    rows = train.filter(wanted).select("text", "lang").mapInArrow(_vectors(idf), "lang string, v binary").orderBy("lang", "v").limit(3 * SAMPLE * len(counts)).collect()
+        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(draw, F.lit(grain)) < int(grain * min(1.0, SAMPLE / n))))
+    half = F.pmod(F.shiftright(draw, 40), F.lit(2)).cast("int").alias("half")
+    rows = train.filter(wanted).select("text", "lang", half).mapInArrow(_vectors(idf), "lang string, half int, band int, n long, slots binary, v binary")
+    rows = rows.orderBy("band", "lang", "v", "slots").limit(3 * SAMPLE * len(counts) * (1 + BANDS)).collect()
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
-    owner, centres, floors = [], [], []
+    owner, centres, found = [], [], []
     for k, lang in enumerate(languages):
-        x = np.stack([np.frombuffer(r.v, np.float32) for r in rows if r.lang == lang])
-        c = k_means(x, CENTROIDS)
+        whole, cut = ([r for r in rows if r.lang == lang and (r.band < 0) == w] for w in (True, False))
+        seen = np.unique(np.concatenate([np.frombuffer(r.slots, np.int32) for r in whole]))
+        c = k_means(dense(whole, seen), CENTROIDS)
         owner += [k] * len(c)
-        centres.append(c)
-        floors.append(float(np.quantile((x @ c.T).max(1), 0.01)))
-    return Model(languages, np.array(owner), np.concatenate(centres), idf.astype(np.float32), SLACK * min(floors))
+        centroids = np.zeros((DIMENSIONS, len(c)), np.float32)
+        centroids[seen] = c.T
+        centres.append(centroids)
+        found.append(held_out_cosines(whole, cut, seen))
+    return Model(languages, np.array(owner), np.concatenate(centres, 1), idf.astype(np.float32), floors_of(found))
 
 
 def _predict(model: Model | None):
     def run(batches):
         letters = letter_table()
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, gone = [], [], []
             for text in batch.column("text"):
-                counts = gram_counts(text.as_py(), letters) if model else None
-                lang, score = ("und", 0.0) if counts is None else model.score(counts)
+                code = codes(text.as_py(), letters) if model else None
+                lang, score, under = ("und", 0.0, True) if code is None else model.score(code)
                 langs.append(lang)
                 scores.append(score)
-            floor = model.floor if model else 0.0
-            gone = [lang == "und" or s < floor for lang, s in zip(langs, scores, strict=True)]
+                gone.append(bool(under))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run

@@ -1,4 +1,6 @@
 """Language ID: held-out accuracy, rejection and edge cases."""
+import random
+
 import pytest
 
 from lodestone.llm import language, queries
@@ -48,6 +50,20 @@ def test_rejection_leaves_clean_documents(spark):
     assert language.predict(foreign, model).first().rejected
 
 
+def test_unlearned_texts_of_any_length_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(1)
+    scripts = [(0x430, 32), (0x3B1, 17), (0x4E00, 3000), (0x627, 20), (0x61, 26)]  # Cyrillic, Greek, Chinese, Arabic, random Latin letters
+    odd = [" ".join("".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(2, 9))) for _ in range(words)) for first, n in scripts for words in (20, 100, 500, 3000)]
+    texts = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    held = language.held_out(docs.doc_id)
+    model = language.fit(docs.filter(~held))
+    assert [r.doc_id for r in language.predict(texts, model).collect() if not r.rejected] == []
+    prose = {d.doc_id for d in docs.filter(held).collect() if d.lang is not None and len((d.text or "").split()) >= 20}
+    kept = language.predict(docs.filter(held), model).filter("not rejected").collect()
+    assert len(prose) > 50 and len(prose & {r.doc_id for r in kept}) / len(prose) >= 0.99
+
+
 @pytest.mark.parametrize("text,want", [("", None), ("1 2", None)])
 def test_no_letters(text, want):
     assert language.gram_counts(text, language.letter_table()) is want
