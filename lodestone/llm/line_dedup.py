@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared after stripping and A-Z lower-casing; only lines of at least
-`min_bytes` bytes take part.  Equal lines are counted by hash.  Lines at one edit
+Lines are compared after stripping and A-Z lower-casing.  Lines of at least `exact_bytes`
+bytes (1: every line that is not blank; by default `min_bytes`) are compared for equality,
+counted by hash; only lines of at least `min_bytes` are compared with an edit.  Lines at one edit
 (a byte inserted, deleted or replaced) are found through their deletion neighbourhoods:
 every variant with one byte deleted is emitted as a hashed key.  Two lines are one
 replacement apart exactly when they share a variant deleted at the same place, and one
@@ -60,24 +61,27 @@ def line_bounds(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(blank, start, at), np.where(blank, start, to), row, number
 
 
-def _lines(min_bytes: int):
+def _lines(min_bytes: int, exact_bytes: int):
+    """The lines of at least exact_bytes; those shorter than min_bytes have no edges."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, data, offsets in kernel.text_chunks(batch.column("text")):
                 low = kernel.LOWER[data]
                 start, end, row, number = line_bounds(low, offsets)
-                keep = end - start >= min_bytes
+                keep = end - start >= exact_bytes
                 start, end, row, number = start[keep], end[keep], row[keep], number[keep]
                 roll = kernel.Rolling(low)
                 n = end - start
                 # head and tail of half the length that the shorter of two lines has: this line's, or one byte less
                 edges = []
+                short = n < min_bytes
                 for size in (n, n - 1):
-                    half, tag = (size - 1) // 2, size.astype(U) << U(1)
+                    half, tag = np.maximum(size - 1, 0) // 2, size.astype(U) << U(1)
                     edges += [kernel.mix(roll.hash(start, start + half) + tag), kernel.mix(roll.hash(end - half, end) + tag + U(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + row]), pa.array(number), pa.array(roll.hash(start, end).view(np.int64)), *[pa.array(e.view(np.int64)) for e in edges]],
+                    [pa.array(ids[first + row]), pa.array(number), pa.array(roll.hash(start, end).view(np.int64)), *[pa.array(e.view(np.int64), mask=short) for e in edges]],
                     ["doc_id", "line", "hash", "e0", "e1", "e2", "e3"],
                 )
 
@@ -157,17 +161,18 @@ def _check(batches):
         yield batch.filter(pa.array(ok, pa.bool_())).select(["doc_id", "line", "of_doc", "of_line"])
 
 
-def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, line, of_doc, of_line, exact: each line that goes, and the earliest line it repeats."""
+    exact_bytes = min_bytes if exact_bytes is None else max(1, exact_bytes)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    lines = scratch.table(docs.mapInArrow(_lines(min_bytes), "doc_id long, line long, hash long, e0 long, e1 long, e2 long, e3 long"), "lines")
+    lines = scratch.table(docs.mapInArrow(_lines(min_bytes, exact_bytes), "doc_id long, line long, hash long, e0 long, e1 long, e2 long, e3 long"), "lines")
     place = F.struct("doc_id", "line")
     distinct = scratch.table(
         lines.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("e0").alias("e0"), F.first("e1").alias("e1"), F.first("e2").alias("e2"), F.first("e3").alias("e3"))
         .select("hash", "first.*", (F.col("first") != F.col("last")).alias("many"), "e0", "e1", "e2", "e3"),
         "distinct",
     )
-    edges = distinct.select("hash", F.explode(F.array("e0", "e1", "e2", "e3")).alias("edge"))
+    edges = distinct.select("hash", F.explode(F.array("e0", "e1", "e2", "e3")).alias("edge")).filter("edge IS NOT NULL")
     shared = edges.groupBy("edge").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi").select("edge")
     suspects = edges.join(shared, "edge", "left_semi").select("hash").distinct()
     suspects = scratch.table(distinct.join(suspects, "hash", "left_semi").select("doc_id", "line"), "suspects")
@@ -224,9 +229,9 @@ def _without(batches, name: str):
         yield batch.set_column(place, "text", pa.array(out, batch.schema.field("text").type)).drop_columns([name]).filter(pa.array(left, pa.bool_()))
 
 
-def drop_repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """docs with the repeated lines cut out of text; documents left without any line go.  Other columns are unchanged; n_chars, if there, is counted again."""
     name = scratch.fresh("gone", docs.columns)
-    gone = repeated_lines(docs, min_bytes).groupBy("doc_id").agg(F.collect_set("line").alias(name))
+    gone = repeated_lines(docs, min_bytes, exact_bytes).groupBy("doc_id").agg(F.collect_set("line").alias(name))
     cut = docs.join(gone, "doc_id", "left").select(*docs.columns, name).mapInArrow(_cut(name), docs.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut

@@ -190,6 +190,20 @@ def test_repeated_lines(spark):
     assert [g for g in got if not g[4]] == [w for w in want if not w[4]]
 
 
+def test_short_lines_are_compared_exactly(spark):
+    import corpus_pipeline
+
+    a = "the first long line of the text"
+    texts = [(1, f"les.\n{a}\n\nx"), (2, f" LES. \nlex.\n{a}!\n\nx"), (3, "les."), (4, "own\n\n\nles."), (5, None), (6, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    least = line_dedup.MIN_BYTES
+    want = [w for w in lines_by_force(texts, 1) if w[4]] + [w for w in lines_by_force(texts, least) if not w[4]]
+    assert sorted(map(tuple, line_dedup.repeated_lines(docs, exact_bytes=1).collect())) == sorted(want) and len(want) == 5
+    assert sorted(map(tuple, line_dedup.repeated_lines(docs).collect())) == lines_by_force(texts, least)
+    kept = corpus_pipeline.lines(spark, docs, SF).orderBy("doc_id").collect()
+    assert [tuple(r) for r in kept] == [(1, texts[0][1]), (2, "lex.\n"), (4, "own\n\n"), (5, None), (6, "")]
+
+
 def test_drop_repeated_lines(spark):
     a, b = "the first long line of the text", "another long line that stands here"
     docs = spark.createDataFrame([(1, f"{a}\n{b}", 0), (2, f"{a}!\nshort\n{b}", 0), (3, a, 0), (4, None, 0), (5, "", 0), (6, "short", 0)], "doc_id long, text string, n_chars int")
