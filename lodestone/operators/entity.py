@@ -84,7 +84,8 @@ def fuzzy_edges(df: DataFrame, key: str, name: str, block: list[str], least: flo
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     a, b = sorted_(F.col("_na")), sorted_(F.col("_nb"))
     # a ratio of r needs a common subsequence, so an edit distance of at most (1 - r / 100) of both lengths
-    near = pairs.filter(F.levenshtein(a, b) <= (1 - least / 100) * (F.length(a) + F.length(b)))
+    # in hundredths and with a little room, as a pair exactly at the bound must not be lost to rounding
+    near = pairs.filter(F.levenshtein(a, b) * 100 <= (100 - least) * (F.length(a) + F.length(b)) + 1e-6)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -143,3 +143,9 @@ def test_contract_and_provenance(spark):
 def test_phenotype_refuses_unknown_transform():
     with pytest.raises(ValueError):
         scoring.load_phenotype('{"intercept": 0, "threshold": 0, "features": [{"transform": "cube"}]}')
+
+
+def test_fuzzy_edges_at_exactly_the_bound(spark):
+    names = spark.createDataFrame([(1, "abcdefghij", 0), (2, "bcdefghija", 0), (3, "cdefghijab", 0)], "k long, name string, g int")
+    got = entity.fuzzy_edges(names, "k", "name", ["g"], 90.0).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 90.0), (2, 3, 90.0)]
