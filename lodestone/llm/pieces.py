@@ -30,7 +30,7 @@ from lodestone.llm import kernel, scratch
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Texts are encoded together in runs of so many characters; a longer text is a run of its own.
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 19
 
 
 def fields(data: bytes):
@@ -320,6 +320,29 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def distinct_segments(code: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of segments that differ, and for every segment which of these it equals; those that hash alike are compared."""
+    hashes = kernel.Rolling(code).hash(start, start + length) if len(code) else np.zeros(0, np.uint64)
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    like = one[which]
+    wrong = length != length[like]
+    tested = np.flatnonzero(~wrong & (like != np.arange(len(like))))
+    n = length[tested]
+    differ = code[ranges(start[tested], n)] != code[ranges(start[like[tested]], n)]
+    wrong[np.repeat(tested, n)[differ]] = True
+    if wrong.any():
+        own: dict[bytes, int] = {}
+        one = one.tolist()
+        for k in np.flatnonzero(wrong).tolist():
+            text = code[start[k] : start[k] + length[k]].tobytes()
+            if text not in own:
+                own[text] = len(one)
+                one.append(k)
+            which[k] = own[text]
+        one = np.array(one)
+    return one, which
+
+
 class Codec:
     """Encodes many texts at once and decodes, with one model."""
 
@@ -399,8 +422,7 @@ class Codec:
             cut[heads] = True
             start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(code)))
-        hashes = kernel.Rolling(code).hash(start, start + length) if len(code) else np.zeros(0, np.uint64)
-        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        one, which = distinct_segments(code, start, length)
         owner, at, symbol = self._merged(code, start[one], length[one]) if len(one) else (np.zeros(0, np.int64),) * 3
         # symbols to ids; a character without a piece becomes its bytes, or unknown
         end = np.append(at[1:], 0)
@@ -540,6 +562,7 @@ def _digests(blob: bytes):
                 span_sum.append(hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest())
             columns = [pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in (ids_sum, text_sum, span_sum)]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+        kernel.release()
 
     return run
 
@@ -561,6 +584,7 @@ def _with_ids(blob: bytes, ids_name: str, same_name: str):
                     same.append(codec.decode(found.tolist()) == (text or ""))
             batch = batch.append_column(ids_name, pa.array(ids, pa.list_(pa.int32())))
             yield batch.append_column(same_name, pa.array(same, pa.bool_()))
+        kernel.release()
 
     return run
 

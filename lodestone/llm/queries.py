@@ -88,16 +88,16 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": f"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
   lines AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS line, translate(trim(unnest(l), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '{UPPER}', '{LOWER}') AS s FROM cut),
-  long AS (SELECT doc_id, line, hex(encode(s)) AS h FROM lines WHERE octet_length(encode(s)) >= {line_dedup.MIN_BYTES}),
-  firsts AS (SELECT h, min({{'d': doc_id, 'l': line}}) AS w FROM long GROUP BY h),
-  places AS (SELECT h, w, unnest(range(length(h) // 2)) AS p FROM firsts),
-  variants AS (SELECT h, w, p, substr(h, 1, 2 * p) || substr(h, 2 * p + 3) AS v FROM places),
-  replaced AS (SELECT h, min(other) AS other FROM (SELECT h, w, min(w) OVER (PARTITION BY v, p) AS other FROM variants) WHERE other < w GROUP BY h),
-  shorter AS (SELECT a.h, min(b.w) AS other FROM variants a JOIN firsts b ON a.v = b.h WHERE b.w < a.w GROUP BY a.h),
-  longer AS (SELECT b.h, min(a.w) AS other FROM variants a JOIN firsts b ON a.v = b.h WHERE a.w < b.w GROUP BY b.h),
-  near AS (SELECT h, min(other) AS other FROM (FROM replaced UNION ALL FROM shorter UNION ALL FROM longer) GROUP BY h),
+  whole AS (SELECT doc_id, line, s FROM lines WHERE s <> ''),
+  firsts AS (SELECT s, min({{'d': doc_id, 'l': line}}) AS w FROM whole GROUP BY s),
+  places AS (SELECT s, w, unnest(range(length(s))) AS p FROM firsts WHERE length(s) >= {line_dedup.NEAR_CHARS}),
+  variants AS (SELECT s, w, p, substr(s, 1, p) || substr(s, p + 2) AS v FROM places),
+  replaced AS (SELECT s, min(other) AS other FROM (SELECT s, w, min(w) OVER (PARTITION BY v, p) AS other FROM variants) WHERE other < w GROUP BY s),
+  shorter AS (SELECT a.s, min(b.w) AS other FROM variants a JOIN firsts b ON a.v = b.s WHERE b.w < a.w AND length(b.s) >= {line_dedup.NEAR_CHARS} GROUP BY a.s),
+  longer AS (SELECT b.s, min(a.w) AS other FROM variants a JOIN firsts b ON a.v = b.s WHERE a.w < b.w AND length(b.s) >= {line_dedup.NEAR_CHARS} GROUP BY b.s),
+  near AS (SELECT s, min(other) AS other FROM (FROM replaced UNION ALL FROM shorter UNION ALL FROM longer) GROUP BY s),
   found AS (SELECT doc_id, line, CASE WHEN {{'d': doc_id, 'l': line}} > f.w THEN f.w ELSE n.other END AS place, {{'d': doc_id, 'l': line}} > f.w AS exact
-    FROM long JOIN firsts f USING (h) LEFT JOIN near n USING (h))
+    FROM whole JOIN firsts f USING (s) LEFT JOIN near n USING (s))
 SELECT doc_id, line, place.d AS of_doc, place.l AS of_line, exact FROM found WHERE place IS NOT NULL""",
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS s FROM documents),

@@ -73,3 +73,61 @@ def test_frames(spark):
     assert sorted(r.text for r in pieces.decode(encoded, model).collect()) == ["", "a b", "a b"]
     assert pieces.with_ids(docs, model).columns == ["doc_id", "text", "ids", "_ids", "round_trip"]
     assert pieces.encode(docs.limit(0), model).count() == 0
+
+
+def with_map(squeeze, prefix):
+    """The public model with a compiled character map (NFKC and more), as the library's own normalizer compiles it."""
+    spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=prefix, escape_whitespaces=True, remove_extra_whitespaces=squeeze).serialized_model_proto()
+    spec = next(v for n, v in pieces.fields(spec) if n == 3)
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    out = b"".join(varint(n << 3 | 2) + varint(len(v)) + v for n, v in pieces.fields(queries.piece_model()) if n in (1, 2))
+    return out + varint(3 << 3 | 2) + varint(len(spec)) + spec
+
+
+MAPPED = [*ODD, "ﬁne ﬀ ½ ㍿ Å", "ａｂｃ　ｄ", "カ゛ガ ｶﾞ", "é é ǅ ſt", "  lead and   trail ﬁ  ", "①②③ 𝔄𝔅 ℌ", "  x​y", "한국어 각"]
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("prefix", [True, False])
+def test_longest_prefix_normalisation(squeeze, prefix):
+    """Ids, texts and spans through the compiled map equal the library's."""
+    blob = with_map(squeeze, prefix)
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=blob), pieces.Codec(pieces.Model(blob))
+    assert codec.model.map.units and codec.model.squeeze == squeeze
+    for text, (ids, spans) in zip(MAPPED, codec.encode_many(MAPPED), strict=True):
+        want = library.encode(text, add_bos=True, add_eos=True)
+        assert ids.tolist() == want, text
+        assert codec.decode(want) == library.decode(want), text
+        proto = library.encode(text, return_type="proto")
+        raw = text.encode()
+        assert [(p.id, p.surface) for p in proto.pieces if p.surface] == [(i, raw[a:b].decode()) for i, (a, b) in zip(ids[1:-1].tolist(), spans[1:-1].tolist(), strict=True) if a < b and i not in set(codec.model.byte_ids)] or set(ids.tolist()) & set(codec.model.byte_ids), text
+
+
+def test_a_ligature_projects_to_its_own_bytes():
+    codec = pieces.Codec(pieces.Model(with_map(True, True)))
+    ids, spans = codec.encode("ﬁx")
+    assert "".join(codec.model.pieces[i] for i in ids[1:-1]) == "▁fix" and codec.model.normalise("ﬁx")[1].tolist() == [0, 0, 0, 3, 4]
+    assert spans[-2].tolist()[1] == 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=4))
+def test_any_text_through_the_map(texts):
+    blob = with_map(True, True)
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=blob), pieces.Codec.of(blob)
+    for text, (ids, spans) in zip(texts, codec.encode_many(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True), repr(text)
+        assert (spans[1:, 0] >= spans[:-1, 0]).all() and (spans[:, 0] <= spans[:, 1]).all()
+
+
+@pytest.mark.parametrize("n", [11, 13])
+def test_segments_that_hash_alike_are_compared(library, codec, monkeypatch, n):
+    word = [0]
+    for _ in range(n):
+        word += [1 - x for x in word]
+    a = "".join("ab"[x] for x in word)
+    texts = [a, a.translate({97: 98, 98: 97}), f"{a} x {a.translate({97: 98, 98: 97})}", "one two one"]
+    check(library, codec, texts)
+    # even if every segment hashes alike
+    monkeypatch.setattr(pieces.kernel.Rolling, "hash", lambda self, start, end: start.astype("u8") * 0)
+    check(library, codec, [*texts, *ODD])
