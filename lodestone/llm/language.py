@@ -12,21 +12,25 @@ the 1% quantile in its band.  A band that no held-out text reached takes the flo
 nearest shorter one.  Texts of a few letters have floors near 0: they are too short to reject.
 
 Document frequencies and the number of documents come from all training rows; the centroids are fitted on a
-bounded sample: SAMPLE rows a language at about, chosen by a hash of doc_id.  Texts that
-are null or have no letter get `und`, score 0, and are rejected.  With nothing to learn
-from, every text gets `und`.  Ties go to the language that sorts first.
+bounded sample: SAMPLE rows a language at about, chosen by a hash of doc_id and text, repeated rows once.  Each
+language is fitted in a task of its own; only centroids and floors go to the driver, so their size grows with the
+number of languages, which MAX_LANGUAGES bounds (more is an error: such labels name no languages).  Texts that
+are null or have no letter (a symbol such as an emoji is none) get `und`, score 0, and are rejected.
+With nothing to learn from, every text gets `und`.  Ties go to the language that sorts first.
+Rows are judged each for themselves, whatever their doc_id; extra columns don't matter.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import scratch
+from lodestone.llm import kernel, scratch
 
 BITS, SAMPLE, CENTROIDS, MAX_LANGUAGES = 16, 250, 4, 1000
 DIMENSIONS = 1 << BITS
@@ -38,19 +42,21 @@ BANDS = 18
 
 
 def letter_table() -> np.ndarray:
-    """For each code unit below 2**16 whether it is a letter; surrogates count as letters."""
-    return np.array([chr(i).isalpha() or 0xD800 <= i < 0xE000 for i in range(1 << 16)])
+    """For each code point whether it is a letter; planes from the fourth on have none."""
+    table = np.zeros(0x110000, bool)
+    table[:0x40000] = [chr(i).isalpha() for i in range(0x40000)]
+    return table
 
 
 def codes(text: str | None, letters: np.ndarray) -> np.ndarray | None:
-    """Code units of the lower-cased letters, other runs as one space, without the outer spaces; None without letters."""
+    """Code points of the lower-cased letters, other runs as one space, without the outer spaces; None without letters."""
     if not text:
         return None
-    code = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     ok = letters[code]
     if not ok.any():
         return None
-    code = np.where(ok, code, np.uint16(32))
+    code = np.where(ok, code, np.uint32(32))
     keep = np.ones(len(code), bool)
     keep[1:] = ok[1:] | ok[:-1]
     code = code[keep]
@@ -174,14 +180,30 @@ def held_out_cosines(rows: list, cut: list, seen: np.ndarray) -> list[list[float
     return found
 
 
-def floors_of(found: list[list[list[float]]]) -> np.ndarray:
+def floors_of(raw: np.ndarray) -> np.ndarray:
     """Floors by language and band; a language without held-out texts takes the least floor of the others, or 0."""
-    out = np.full((len(found), BANDS), np.nan)
-    for k, bands in enumerate(found):
-        for b, cosines in enumerate(bands):
-            out[k, b] = SLACK * float(np.quantile(cosines, 0.01)) if cosines else out[k, b - 1] if b else np.nan
-    least = np.fmin.reduce(out, 0)
-    return np.nan_to_num(np.where(np.isnan(out), least, out), nan=0.0)
+    with np.errstate(all="ignore"):
+        least = np.fmin.reduce(raw, 0)
+    return np.nan_to_num(np.where(np.isnan(raw), least, raw), nan=0.0)
+
+
+def raw_floors(found: list[list[float]]) -> np.ndarray:
+    """One language's floors by band, NaN before the first band that a held-out text reached."""
+    out = np.full(BANDS, np.nan)
+    for b, cosines in enumerate(found):
+        out[b] = SLACK * float(np.quantile(cosines, 0.01)) if cosines else out[b - 1] if b else np.nan
+    return out
+
+
+def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Centroids (at 0, 1, ..) and floors (at -1) of one language's sample."""
+    rows = list(pdf.sort_values(["band", "v", "slots"]).itertuples(index=False))
+    whole, cut = ([r for r in rows if (r.band < 0) == w] for w in (True, False))
+    seen = np.unique(np.concatenate([np.frombuffer(r.slots, np.int32) for r in whole]))
+    c = k_means(dense(whole, seen), CENTROIDS)
+    floors = raw_floors(held_out_cosines(whole, cut, seen))
+    out = [(rows[0].lang, -1, b"", floors.tobytes()), *[(rows[0].lang, k, seen.astype(np.int32).tobytes(), row.tobytes()) for k, row in enumerate(c)]]
+    return pd.DataFrame(out, columns=["lang", "at", "slots", "v"])
 
 
 def fit(train: DataFrame) -> Model | None:
@@ -202,27 +224,24 @@ def fit(train: DataFrame) -> Model | None:
         return None
     idf = np.log((1 + total) / (1 + df)) + 0.05
     grain = 1 << 30
-    wanted = F.lit(False)
-    draw = F.xxhash64("doc_id", "text")
-    for lang, n in counts:
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(draw, F.lit(grain)) < int(grain * min(1.0, SAMPLE / n))))
-    half = F.pmod(F.shiftright(draw, 40), F.lit(2)).cast("int").alias("half")
-    rows = train.filter(wanted).select("text", "lang", half).mapInArrow(_vectors(idf), "lang string, half int, band int, n long, slots binary, v binary")
-    rows = rows.orderBy("band", "lang", "v", "slots").limit(3 * SAMPLE * len(counts) * (1 + BANDS)).collect()
-    languages = sorted({r.lang for r in rows})
+    share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(int(grain * min(1.0, SAMPLE / n))))])
+    drawn = train.withColumn("draw", F.xxhash64("doc_id", "text")).filter(F.pmod("draw", F.lit(grain)) < share[F.col("lang")]).dropDuplicates(["lang", "draw"])
+    half = F.pmod(F.shiftright("draw", 40), F.lit(2)).cast("int").alias("half")
+    rows = drawn.select("text", "lang", half).mapInArrow(_vectors(idf), "lang string, half int, band int, n long, slots binary, v binary")
+    parts = rows.groupBy("lang").applyInPandas(_fit_language, "lang string, at int, slots binary, v binary").collect()
+    languages = sorted({r["lang"] for r in parts})
     if not languages:
         return None
-    owner, centres, found = [], [], []
-    for k, lang in enumerate(languages):
-        whole, cut = ([r for r in rows if r.lang == lang and (r.band < 0) == w] for w in (True, False))
-        seen = np.unique(np.concatenate([np.frombuffer(r.slots, np.int32) for r in whole]))
-        c = k_means(dense(whole, seen), CENTROIDS)
-        owner += [k] * len(c)
-        centroids = np.zeros((DIMENSIONS, len(c)), np.float32)
-        centroids[seen] = c.T
-        centres.append(centroids)
-        found.append(held_out_cosines(whole, cut, seen))
-    return Model(languages, np.array(owner), np.concatenate(centres, 1), idf.astype(np.float32), floors_of(found))
+    owner, centres, floors = [], [], []
+    for r in sorted(parts, key=lambda r: (r["lang"], r["at"])):
+        if r["at"] < 0:
+            floors.append(np.frombuffer(r["v"], float))
+            continue
+        owner.append(languages.index(r["lang"]))
+        one = np.zeros(DIMENSIONS, np.float32)
+        one[np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["v"], np.float32)
+        centres.append(one)
+    return Model(languages, np.array(owner), np.stack(centres, 1), idf.astype(np.float32), floors_of(np.stack(floors)))
 
 
 def _predict(model: Model | None):
@@ -237,6 +256,7 @@ def _predict(model: Model | None):
                 scores.append(score)
                 gone.append(bool(under))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+        kernel.release()
 
     return run
 

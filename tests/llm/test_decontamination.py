@@ -53,10 +53,11 @@ def test_against_dynamic_programming(spark):
         body = decontamination.normal(text or "")
         for item, t in items:
             p = decontamination.normal(t)
-            if len(p) >= decontamination.MIN_BYTES and (d := least(p, body)) <= min(int(len(p) * decontamination.RATE), len(p) // 8 - 1):
+            budget = max(0, min(int(len(p) * decontamination.RATE), len(p) // 8 - 1))
+            if p and budget and (d := least(p, body)) <= budget:
                 want.add((doc, item, d))
     docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([*items, (900, None), (901, ""), (902, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (900, None), (901, ""), (902, " \n"), (903, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.distance) for r in decontamination.leaks(docs, bench).collect()}
     assert got == want and len({x[2] for x in want}) > 2
     left = decontamination.drop_leaks(docs, bench)
@@ -83,3 +84,32 @@ def test_verbatim_passages_are_found(spark, case):
         body = decontamination.normal(text or "")
         for item, p in items:
             assert p not in body or (doc, item) in found
+
+
+SHORT = [
+    (1, "Yes"), (2, "a b"), (3, "is it so?"), (4, "what is the capital of x"), (5, "ΟΔΟΣ ΚΑΙ ΠΟΛΙΣ"), (6, "ΟΔΟΣ ΚΑΙ ΠΟΛΙΣ ΚΑΙ ΧΩΡΑ ΚΑΙ ΘΑΛΑΣΣΑ ΜΕΓΑΛΗ"), (7, "İSTANBUL'DA BİR GÜN GEÇİRMEK İSTİYORUM VE DENİZİ GÖRMEK"), (8, "?!"),
+]
+
+
+def test_items_of_any_length_and_script(spark):
+    """Items under 20 bytes stand verbatim as whole words; longer ones within their budget; one lower-casing for all."""
+    texts = [
+        (1, "yes", {1}), (2, "yesterday, yes-men", {1}), (3, "yesterday eyes", set()), (4, "xa b", set()), (5, "a  B", {2}), (6, "so: is it\nso?", {3}), (7, "This it so? no", set()),
+        (8, "what is the capitol of x", {4}), (9, "what is a capitol of xs", set()), (10, "ΟΔΟΣ ΚΑΙ ΠΟΛΙΣ", {5}), (11, "οδος και πολις", {5}), (12, SHORT[5][1], {5, 6}), (13, SHORT[5][1].lower(), {5, 6}), (14, SHORT[6][1], {7}),
+        (15, "what?!", {8}), (16, None, set()), (17, "", set()), (18, "w " * 300_000 + "yes", {1}),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    bench = spark.createDataFrame(SHORT, "item_id long, text string")
+    got = {}
+    for r in decontamination.leaks(docs, bench).collect():
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    assert got == {i: w for i, _, w in texts if w}
+    assert all(r.distance == 0 for r in decontamination.leaks(docs, bench).filter("doc_id IN (12, 13, 14)").collect())
+
+
+def test_rows_that_share_an_id(spark):
+    item = rows("benchmark", "item_id", "text")[0][1]
+    docs = spark.createDataFrame([(1, "a clean text"), (1, f"x {item} y"), (None, item), (None, "another clean text"), (2, item), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted(map(str, map(tuple, decontamination.drop_leaks(docs, bench).collect()))) == ["(1, 'a clean text')", "(None, 'another clean text')"]
+    assert sorted(str(r.doc_id) for r in decontamination.leaks(docs, bench).collect()) == ["1", "2", "2", "None"]

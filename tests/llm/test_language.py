@@ -64,6 +64,49 @@ def test_unlearned_texts_of_any_length_are_rejected(spark):
     assert len(prose) > 50 and len(prose & {r.doc_id for r in kept}) / len(prose) >= 0.99
 
 
-@pytest.mark.parametrize("text,want", [("", None), ("1 2", None)])
+@pytest.mark.parametrize("text,want", [("", None), ("1 2", None), ("😀😀 🎉!!", None), ("\U0001f600", None)])
 def test_no_letters(text, want):
     assert language.gram_counts(text, language.letter_table()) is want
+
+
+def test_astral_letters_are_letters(spark):
+    letters = language.letter_table()
+    assert language.codes("𝔄 😀 𐐨x", letters).tolist() == [ord("𝔄"), 32, ord("𐐨"), ord("x")]
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    odd = spark.createDataFrame([(1, "😀😀 🎉!!"), (2, "𐐨𐐨"), (None, "the and of the"), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.lang_pred, r.score) for r in language.predict(odd, model).collect()}
+    assert (1, "und", 0.0) in got and (None, "und", 0.0) in got and {g[1] for g in got if g[0] == 2} <= set(model.languages) and len(got) == 4
+
+
+def plain_prediction(model, text):
+    """Nearest centroid with dictionaries and loops."""
+    code = language.codes(text, language.letter_table())
+    if code is None:
+        return "und", 0.0
+    padded, counts = [32, *code.tolist(), 32], {}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 0x100000001B3 + padded[i + k] + k + 1) % 2**64
+            slot = (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language.BITS)
+            counts[slot] = counts.get(slot, 0) + 1
+    import math
+
+    vector = {s: math.log1p(c) * float(model.idf[s]) for s, c in counts.items()}
+    norm = math.sqrt(sum(v * v for v in vector.values()))
+    best = {}
+    for k, owner in enumerate(model.owner):
+        cos = sum(v * float(model.centroids[s, k]) for s, v in vector.items()) / norm
+        best[owner] = max(best.get(owner, -1), cos)
+    top = max(best, key=lambda o: (best[o], -o))
+    return model.languages[top], best[top]
+
+
+def test_against_plain_nearest_centroids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.predict(docs.filter("doc_id < 60"), model).collect():
+        lang, score = plain_prediction(model, texts[r.doc_id][:3000]) if len(texts[r.doc_id]) <= 3000 else (r.lang_pred, r.score)
+        assert r.lang_pred == lang and abs(r.score - min(1, max(0, score))) < 1e-4
