@@ -1,14 +1,16 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
-Licence notices are short word templates.  The index maps each template word to its
-places (postings).  For each document the rarest template words that it holds - by inverse
-document frequency over the whole corpus - are looked up; every place minus the posting's
-offset proposes a start, starts proposed by all the looked-up words of a template are
-kept (postings intersected by relative position), and a start counts when all words of the
-template's mandatory key phrase stand at their places.
+Licence texts are word templates with a mandatory key phrase.  One inverted index maps each word of
+the key phrases to its postings: template and place in the phrase.  A document's licence words are put
+in the order of their inverse document frequency over the whole corpus, rarest first, and looked up from
+there until every template whose phrase words the document holds has had its RAREST rarest ones.  A place in
+the document minus a posting's place proposes a template's start; starts that all the looked-up words of
+a template propose are kept (postings intersected by relative position), and count when the whole key phrase
+stands there.  As only words of the mandatory phrase are looked up, no notice is lost for other words
+that are missing, moved or edited; these count in the score alone.
 
 Null and empty texts have no words.  Extra columns are ignored; repeated rows are
-scanned each for themselves.
+scanned each for themselves, whatever their doc_id.
 """
 from __future__ import annotations
 
@@ -17,30 +19,87 @@ from pyspark.sql import functions as F
 
 #: Label and phrase of the base rules.
 BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
-#: Label, notice and its mandatory key phrase, as lower-case words.
+#: Label, licence text or notice, and its mandatory key phrase, as lower-case words.
 TEMPLATES = [
     ("mit", "released under the mit license", "the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "permission is hereby granted free of charge",
+    ),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache license version 2",
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work under cc0 1 0 universal", "waived all copyright and related or neighboring rights"),
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+        "terms of the gnu general public license as published by the free software foundation",
+    ),
     ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
     ("agpl-3", "under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+        "mozilla public license",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+        "the documentation and or other materials provided with the distribution",
+        "redistribution and use in source and binary forms",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "permission to use copy modify and or distribute this software for any purpose",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "permission is granted to anyone to use this software for any purpose",
+    ),
+    (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display "
+        "distribute execute and transmit the software and to prepare derivative works of the software",
+        "permission is hereby granted free of charge to any person or organization",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software released into the public domain",
+    ),
 ]
-#: How many of a document's rarest template words are looked up for each template.
+#: How many of a template's rarest key words that a document holds are looked up.
 RAREST = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
+    """The words of the index."""
+    return sorted({w for _, _, key in TEMPLATES for w in key.split()})
 
 
 def lowered(text: Column) -> Column:
@@ -90,71 +149,85 @@ def _starts(phrase: str) -> Column:
     return F.when(F.contains(F.col("s"), F.lit(_phrase(phrase))), at).otherwise(F.array().cast("array<int>"))
 
 
-def _hit(label: str, words: list[str], key: list[str], weight: Column) -> Column:
-    """label and the largest share of template words in place, where the template is found; else null."""
-    shift = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-    distinct = sorted(set(words))
-    postings = F.create_map(*[x for w in distinct for x in (F.lit(w), F.array(*[F.lit(i) for i, y in enumerate(words) if y == w]))])
-    mine = F.filter(_literals(distinct), lambda w: F.exists(F.col("here"), lambda x: x["w"] == w))
-    # highest inverse document frequency first, then by the alphabet
-    rare = F.slice(
-        F.array_sort(mine, lambda a, b: F.when(F.element_at(weight, a) > F.element_at(weight, b), -1).when(F.element_at(weight, a) < F.element_at(weight, b), 1).when(a < b, -1).otherwise(1)),
-        1, RAREST,
-    )
+def _index(order: list[str]) -> tuple[Column, Column]:
+    """The inverted index, word to postings (t: template, o: place), and the templates: label, key phrase, its words rarest first, distinct words and number of words before the phrase."""
+    postings: dict[str, list[Column]] = {}
+    templates = []
+    for t, (label, text, key) in enumerate(TEMPLATES):
+        words, phrase = text.split(), key.split()
+        shift = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        for o, w in enumerate(phrase):
+            postings.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")))
+        rare = sorted(set(phrase), key=order.index)
+        templates.append(F.struct(
+            F.lit(t).alias("t"), F.lit(label).alias("label"), _literals(phrase).alias("key"), _literals(rare).alias("rare"), _literals(sorted(set(words))).alias("words"),
+            F.lit(len(words)).alias("n"), F.lit(shift).alias("shift"),
+        ))
+    return F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*postings[w]))]), F.array(*templates)
+
+
+def _with_hits(frame: DataFrame, order: list[str]) -> DataFrame:
+    """frame (words, bag: the index words among them, rarest first) with `hits`: label and share of each place where a template's key phrase stands.
+
+    Each step is a column of its own, so that it is made once for a row.
+    """
+    index, templates = _index(order)
+    # a key phrase needs all its words
+    frame = frame.withColumn("open", F.transform(F.filter(templates, lambda t: F.size(F.array_except(t["rare"], F.col("bag"))) == 0), lambda t: t["t"]))
+    some, template = F.size("open") > 0, lambda t: F.get(templates, t)
+    frame = frame.withColumn("looked_up", F.when(some, F.array_distinct(F.flatten(F.transform("open", lambda t: F.slice(template(t)["rare"], 1, RAREST))))))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("looked_up"), x["w"]))
+    frame = frame.withColumn("places", F.when(some, places))
+    proposed = F.transform("places", lambda x: F.transform(index[x["w"]], lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("s"), x["w"].alias("w"))))
+    frame = frame.withColumn("proposed", F.when(some, F.flatten(proposed)))
+
+    def found(t: Column) -> Column:
+        rare = template(t)["rare"]
 
-    def proposed(word: Column) -> Column:
-        places = F.filter(F.col("here"), lambda x: x["w"] == word)
-        return F.flatten(F.transform(places, lambda x: F.transform(F.element_at(postings, word), lambda o: x["i"] - o)))
+        def starts(k: int) -> Column:
+            word = F.coalesce(F.get(rare, F.lit(k)), F.get(rare, F.lit(0)))
+            return F.transform(F.filter("proposed", lambda x: (x["t"] == t) & (x["w"] == word)), lambda x: x["s"])
 
-    # the rarest word proposes starts; every other looked-up word must propose the same
-    common = F.aggregate(F.slice(rare, 2, RAREST), proposed(F.get(rare, F.lit(0))), lambda acc, w: F.array_intersect(acc, proposed(w)))
-    true = F.filter(common, lambda s: (s + shift >= 0) & (F.slice(F.col("words"), F.greatest(s + (shift + 1), F.lit(1)), F.lit(len(key))) == _literals(key)))
-    template = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(words)])
+        common = starts(0)
+        for k in range(1, RAREST):
+            common = F.array_intersect(common, starts(k))
+        key, n, shift = (template(t)[c] for c in ("key", "n", "shift"))
+        true = F.filter(common, lambda s: (s >= 0) & (F.slice("words", F.greatest(s + 1, F.lit(1)), F.size(key)) == key))
 
-    def share(s: Column) -> Column:
-        return F.aggregate(template, F.lit(0), lambda acc, x: acc + F.when(F.get(F.col("words"), s + x["o"]) == x["w"], 1).otherwise(0)) / len(words)
+        def share(s: Column) -> Column:
+            """Share of the template's distinct words that stand where it would, give or take a tenth of its length."""
+            slack = (n / 10).cast("int")
+            first = F.greatest(s - shift - slack, F.lit(0))
+            near = F.slice("words", first + 1, s - shift + n + slack - first)
+            return F.size(F.array_intersect(template(t)["words"], near)) / F.size(template(t)["words"])
 
-    best = F.array_max(F.transform(true, share))
-    return F.when(F.col("suspect") & F.contains(F.col("s"), F.lit(_phrase(" ".join(key)))), F.struct(F.lit(label).alias("label"), best.alias("share")))
+        return F.transform(true, lambda s: F.struct(template(t)["label"].alias("label"), share(s).alias("share")))
+
+    return frame.withColumn("hits", F.when(some, F.flatten(F.transform("open", found))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of docs.
 
-    labels: base labels and those whose template was found; score: the largest share of a
-    found template's words that stand in their places, 1 for a base phrase, else 0.
+    labels: base labels and those whose template was found; score: 1 for a base phrase, else the largest
+    share of a found template's words, else 0.
     """
     spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _spread(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
+    words = F.when(F.length("s") > 0, F.split(F.trim("s"), "  ")).otherwise(F.array().cast("array<string>"))
     names = vocabulary()
-    known = F.array(*[F.lit(w) for w in names])
-    # a document without any of the words that every key phrase needs holds no template and no base phrase
-    needed = ["license", "cc", "granted", "redistribution", "unencumbered"]
-    suspect = F.lit(False)
-    for w in needed:
-        suspect = suspect | F.contains(F.col("s"), F.lit(f" {w} "))
-    bags = spread.select(
-        F.when(F.length("s") > 0, F.array_intersect(F.split(F.trim("s"), "  "), known)).otherwise(F.array().cast("array<string>")).alias("bag")
-    )
-    idf = frequencies(bags)
-    weight = F.create_map(*[x for w in names for x in (F.lit(w), F.lit(float(idf[w])))])
-
-    base = spread.withColumn("suspect", suspect).withColumn("words", F.when(F.col("suspect"), F.split(F.trim("s"), "  ")))
+    idf = frequencies(spread.select(F.array_intersect(words, _literals(names)).alias("bag")))
+    # highest inverse document frequency first, then by the alphabet
+    order = sorted(names, key=lambda w: (-idf[w], w))
+    base = spread.withColumn("words", words).withColumn("bag", F.array_intersect(_literals(order), F.col("words")))
     starts = F.array().cast("array<int>")
     found_base = []
     for label, phrase in BASE:
         base = base.withColumn(f"at_{label}", _starts(phrase))
         starts = F.concat(starts, F.col(f"at_{label}"))
         found_base.append(F.when(F.size(f"at_{label}") > 0, F.lit(label)))
-    # places of template words in the document
-    here = F.when(
-        F.col("suspect"),
-        F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(known, x["w"])),
-    )
-    base = base.withColumn("starts", starts).withColumn("here", here)
-    hits = [_hit(label, notice.split(), key.split(), weight) for label, notice, key in TEMPLATES]
-    base = base.withColumn("hits", F.filter(F.array(*hits), lambda h: h.isNotNull() & h["share"].isNotNull()))
+    base = _with_hits(base.withColumn("starts", starts), order)
     base_labels = F.array_sort(F.array_compact(F.array(*found_base)))
-    labels = F.array_sort(F.array_union(base_labels, F.transform("hits", lambda h: h["label"])))
+    labels = F.array_sort(F.array_union(base_labels, F.coalesce(F.transform("hits", lambda h: h["label"]), F.array().cast("array<string>"))))
     return base.select(
         "doc_id",
         _words(F.col("s")).alias("n_words"),

@@ -1,4 +1,5 @@
 """Licence scan, URL filter, WARC revisits and PII surrogates."""
+import random
 import re
 
 import pytest
@@ -46,6 +47,39 @@ def test_licences_method(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def scan_by_force(text):
+    """labels and score by looking for every key phrase at every place."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    base = base_by_force(text)
+    labels, best = set(filter(None, base[4].split(","))), 0.0
+    for label, template, key in licences.TEMPLATES:
+        t, k = template.split(), key.split()
+        shift = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        for i in range(len(words) - len(k) + 1):
+            if words[i : i + len(k)] == k:
+                labels.add(label)
+                near = words[max(0, i - shift - len(t) // 10) : i - shift + len(t) + len(t) // 10]
+                best = max(best, len(set(t) & set(near)) / len(set(t)))
+    return ",".join(sorted(labels)), 1.0 if base[1] else best
+
+
+def test_licences_against_brute_force(spark):
+    """Labels and scores: whole texts, edited and cut ones, phrases with a word moved, several licences in a text, very long texts."""
+    rng = random.Random(6)
+    texts = list(LICENCES) + texts_of("documents")
+    for k, (_, template, key) in enumerate(licences.TEMPLATES * 3):
+        words = template.split()
+        for _ in range(k // len(licences.TEMPLATES) * 3):
+            words[rng.randrange(len(words))] = rng.choice(["edited", "the", "license", "software"])
+        texts.append((10**6 + k, " ".join(["licensed public general granted"] * (k % 3) + words + [rng.choice(key.split())] * 5).upper()))
+        texts.append((2 * 10**6 + k, " ".join(key.split()[1:] + key.split()[:1])))
+    texts += [(3 * 10**6, " ".join(t for _, t, _ in licences.TEMPLATES)), (3 * 10**6 + 1, "word " * 200_000 + licences.TEMPLATES[1][1] + " word" * 200_000), (None, "the mit license")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.labels, round(r.score, 9)) for r in licences.scan(docs).collect())
+    assert got == sorted((str(i), x[0], round(x[1], 9)) for i, t in texts for x in [scan_by_force(t)])
+    assert len({g[1] for g in got}) > 15
+
+
 URLS = [
     "http://example.com/en/1", "https://www.EXAMPLE.com/en/1", "https://a.www.example.com/en/", "http://example.com/de/?q=/en/", "http://x.net/es/a", "http://net/fr/", "http://example.com",
     "http://notexample.com/en/", "no scheme", "", "http://", "a://b://c/d", "http://h?x/y", "http://h#f", "HTTP://ExÄmple.COM/Pfad?q#f", "http://example.net:80/es/", "http://com/", "http://" + "a" * 20_000 + ".org/x",
