@@ -5,12 +5,13 @@ in each task first, are shuffled.  Slots met at least twice form the filter.  Pa
 tests every row: a row with a slot that was met once is certainly unique and passes
 straight through; only the others shuffle on their digest and are counted exactly.
 
-The filter has a fixed number of slots at most, so it may be broadcast whatever the input's
-size; a fuller filter lets more unique rows through to the exact count and changes no
+A filter has MAX_SLOTS slots at most, so it may be broadcast; more rows are dealt by ranges of their
+hash, each with a filter of its own, so that the share of unique rows that pass doesn't fall with
+the input.  A fuller filter lets more unique rows through to the exact count and changes no
 result.  A null text counts as empty; texts are compared after lower-casing A-Z only.
 Of equal texts the largest doc_id stays (a null doc_id only if there is no other); rows
-that repeat text and doc_id stay together.  Other columns are ignored by
-`duplicates` and kept by `drop_duplicates`.
+that repeat text and doc_id stay together, and rows of one doc_id with different texts are judged each for
+themselves.  Other columns are ignored by `duplicates` and kept by `drop_duplicates`.
 """
 from __future__ import annotations
 
@@ -22,15 +23,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import scratch
 
-#: Slots of the filter for each row, and at most: 2**26 slots are 8 MB as bits.
-SLOTS_PER_ROW, MAX_SLOTS = 16, 1 << 26
+#: Slots of the filter for each row, and of one filter at most: twice 2**27 slots are 32 MB as bits.
+SLOTS_PER_ROW, MAX_SLOTS = 16, 1 << 27
 
 
 def _digest(batches):
     for batch in batches:
         texts = batch.column("text").cast(pa.large_string()).fill_null("").cast(pa.large_binary())
         sums = [hashlib.sha256(t.as_py().lower()).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums, pa.binary())], ["doc_id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sums, pa.binary())], ["doc_id", "mark", "digest"])
 
 
 def _slots(digest, slots: int, which: int):
@@ -38,11 +39,8 @@ def _slots(digest, slots: int, which: int):
     return eight % F.lit(slots)
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.table(docs.mapInArrow(_digest, "doc_id long, digest binary"), "digest")
-    n = rows.count()
+def _tested(rows: DataFrame, n: int) -> DataFrame:
+    """rows (.., digest) with `maybe`: false where no other of them can have the same digest."""
     slots = min(MAX_SLOTS, 1 << max(10, (n * SLOTS_PER_ROW - 1).bit_length()))
     marks = rows.select(F.explode(F.array(_slots(F.col("digest"), slots, 0), _slots(F.col("digest"), slots, 1) + slots)).alias("slot"))
     twice = marks.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
@@ -61,18 +59,38 @@ def duplicates(docs: DataFrame) -> DataFrame:
         bit = F.expr("cast(bitmap_bit_position(slot) % 8 as int)")
         return frame.withColumn(f"hit{which}", F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(1) == 1, F.lit(False))).drop(name, f"block{which}", "slot")
 
-    tested = hit(hit(rows, 0), 1).select("doc_id", "digest", (F.col("hit0") & F.col("hit1")).alias("maybe"))
-    maybe = tested.filter("maybe").select("doc_id", "digest")
+    return hit(hit(rows, 0), 1).select("doc_id", "mark", "digest", (F.col("hit0") & F.col("hit1")).alias("maybe"))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, mark, digest, keep_id, group_size."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scratch.mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    n = docs.count()
+    ranges = max(1, -(-n * SLOTS_PER_ROW // MAX_SLOTS))
+    rows = docs.mapInArrow(_digest, "doc_id long, mark long, digest binary")
+    if ranges > 1:
+        rows = rows.withColumn("range", (F.conv(F.hex(F.substring("digest", 20, 6)), 16, 10).cast("long") % ranges).cast("int"))
+    rows = scratch.Tables().table(rows, "digest", "range" if ranges > 1 else None)
+    tested = None
+    for k in range(ranges):
+        part = _tested(rows.filter(F.col("range") == k) if ranges > 1 else rows, -(-n // ranges))
+        tested = part if tested is None else tested.union(part)
+    maybe = tested.filter("maybe").select("doc_id", "mark", "digest")
     # a table of its own: a hot digest then meets in a plain join, which Spark splits
     groups = scratch.table(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    again = maybe.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest")
-    alone = tested.filter("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    return alone.union(again).select(
+    again = maybe.join(groups, "digest").select("doc_id", "mark", "digest", "keep_id", "group_size")
+    alone = tested.filter("NOT maybe").select("doc_id", "mark", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return alone.union(again)
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row for each row of docs."""
+    return _groups(docs).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text is that of a row with a larger doc_id."""
-    gone = duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = _groups(docs).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(scratch.identity(F.col("doc_id")).alias("id"), "mark")
+    return scratch.without(docs, gone)

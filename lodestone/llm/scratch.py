@@ -32,11 +32,11 @@ class Tables:
     def __init__(self):
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet to the shared folder and return the reread table."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df as Parquet to the shared folder, in a folder for each value of `by`, and return the reread table."""
         spark = df.sparkSession
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -11,8 +11,9 @@ response on, and across partitions only one row for each URL and partition is ca
 
 Defined cases: a null URL resolves nothing (`no-url`); without an earlier full response `missing`;
 with disagreeing validators, or none on either side, `validator-mismatch`; equal times are ordered
-by record_id, so repeated rows are stable; null headers count as none.  Statuses other than
-200 and 304 are `other`.  Extra columns are dropped by `resolve` and kept by `with_responses`.
+by record_id, so repeated rows are stable, each resolved for itself; a null time counts as the earliest; null
+headers count as none.  Statuses other than 200 and 304 are `other`.  Extra columns are dropped by `resolve` and kept
+by `with_responses`.
 """
 from __future__ import annotations
 
@@ -60,10 +61,15 @@ def resolve(records: DataFrame) -> DataFrame:
 
     resolution: full, resolved, validator-mismatch, missing, no-url, other.
     """
+    return _resolved(records, []).drop("whole")
+
+
+def _resolved(records: DataFrame, carried: list[str]) -> DataFrame:
+    """What resolve gives, and the carried columns of the record as `whole`."""
     spark = records.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
-    rows = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical_url"), "ts", F.col("status").cast("int").alias("status"), headers.alias("headers"))
+    rows = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical_url"), "ts", F.col("status").cast("int").alias("status"), headers.alias("headers"), F.struct(F.lit(0).alias("nothing"), *carried).alias("whole"))
     order = ["ts", "record_id"]
     rows = scratch.table(rows.repartitionByRange(parts, "canonical_url", *order).withColumn("part", F.spark_partition_id()), "records")
     full = F.when(F.col("status") == 200, F.struct("record_id", "headers"))
@@ -73,9 +79,9 @@ def resolve(records: DataFrame) -> DataFrame:
     spans = rows.filter("canonical_url IS NOT NULL").groupBy("canonical_url").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("canonical_url")
     heads = rows.join(spans, "canonical_url", "left_semi").select("canonical_url", "part").distinct().join(tails, ["canonical_url", "part"], "left")
     before = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = heads.select("canonical_url", "part", F.last("tail", ignorenulls=True).over(before).alias("far"))
-    joined = local.join(carried, ["canonical_url", "part"], "left").withColumn("match", F.coalesce("near", "far"))
-    none = rows.filter("canonical_url IS NULL").select("record_id", "canonical_url", "ts", F.when(F.col("status") == 304, "no-url").when(F.col("status") == 200, "full").otherwise("other").alias("resolution"), F.lit(None).cast("long").alias("refers_to"), "headers")
+    earlier = heads.select("canonical_url", "part", F.last("tail", ignorenulls=True).over(before).alias("far"))
+    joined = local.join(earlier, ["canonical_url", "part"], "left").withColumn("match", F.coalesce("near", "far"))
+    none = rows.filter("canonical_url IS NULL").select("record_id", "canonical_url", "ts", F.when(F.col("status") == 304, "no-url").when(F.col("status") == 200, "full").otherwise("other").alias("resolution"), F.lit(None).cast("long").alias("refers_to"), "headers", "whole")
     revisit = F.col("status") == 304
     how = (
         F.when(F.col("status") == 200, "full").when(~revisit | F.col("status").isNull(), "other").when(F.col("match").isNull(), "missing")
@@ -85,14 +91,16 @@ def resolve(records: DataFrame) -> DataFrame:
     done = F.col("resolution") == "resolved"
     return out.select(
         "record_id", "canonical_url", "ts", "resolution", F.when(done, F.col("match.record_id")).alias("refers_to"),
-        F.when(done, merge_headers(F.col("match.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
+        F.when(done, merge_headers(F.col("match.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"), "whole",
     ).union(none)
 
 
 def with_responses(records: DataFrame) -> DataFrame:
-    """records with canonical_url, resolution, refers_to and merged headers in place of their own."""
-    found = resolve(records).select(F.col("record_id"), "canonical_url", "resolution", "refers_to", F.col("headers").alias("_merged"))
-    return records.drop("canonical_url", "resolution", "refers_to").join(found, "record_id").withColumn("headers", F.col("_merged")).drop("_merged")
+    """records, one row for each of them, with merged headers in place of their own and canonical_url, resolution and refers_to at the end (in place of columns of those names)."""
+    added = ["canonical_url", "resolution", "refers_to"]
+    kept = [c for c in records.columns if c.lower() not in added]
+    found = _resolved(records, [c for c in kept if c != "headers"])
+    return found.select(*[F.col("headers") if c == "headers" else F.col("whole").getField(c).alias(c) for c in kept], *added)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:

@@ -197,13 +197,19 @@ def test_exact(spark):
     assert exact_dedup.duplicates(docs.limit(0)).count() == 0
 
 
-def test_exact_survives_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 1 << 4)
+def test_exact_by_ranges(spark, monkeypatch):
+    """More rows than one filter has room for are dealt by hash ranges, also into filters that are nearly full."""
+    monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 1 << 8)
     docs = spark.createDataFrame([(i, f"t{i % 40}") for i in range(60)], "doc_id long, text string")
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.duplicates(docs).collect()}
     assert got == {i: (i % 40 + 40, 2) if i % 40 < 20 else (i, 1) for i in range(60)}
 
 
+def test_exact_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "own text"), (1, "copy"), (5, "Copy"), (None, "copy"), (None, "alone"), (None, None)], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, exact_dedup.drop_duplicates(docs).collect()))) == ["(1, 'own text')", "(5, 'Copy')", "(None, 'alone')", "(None, None)"]
+
+
 def lines_by_force(texts, least=line_dedup.NEAR_CHARS):
     found = []
     seen = []

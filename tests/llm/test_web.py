@@ -115,6 +115,10 @@ def test_url_model(spark):
     assert urls.slots_of(*judged(page)[:2]) == list(spark.createDataFrame([(page,)], "url string").select(urls.slots(urls.host(F.col("url")), urls.path(F.col("url")))).first()[0])
 
 
+def test_held_out_urls():
+    assert len(set(urls.LABELLED)) == len(urls.LABELLED) and urls.held_out_accuracy() >= 0.8
+
+
 def record(i, url, ts, status, **headers):
     return (i, url, ts, status, {k.replace("_", "-"): v for k, v in headers.items()} if headers else None)
 
@@ -136,6 +140,14 @@ def test_warc(spark):
     assert warc.resolve(frame.limit(0)).count() == 0
 
 
+def test_with_responses_keeps_rows(spark):
+    rows = [(1, "http://a.org/", None, 200, {"etag": "1"}, "x", "y"), (2, "http://a.org/", 5, 304, {"etag": "1"}, "p", "q"), (2, "http://a.org/", 5, 304, {"etag": "1"}, "p", "q"), (3, None, 1, 304, None, "r", "s")]
+    frame = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>, _merged string, resolution string")
+    out = warc.with_responses(frame)
+    assert out.columns == ["record_id", "url", "ts", "status", "headers", "_merged", "canonical_url", "resolution", "refers_to"]
+    assert sorted((r.record_id, r.resolution, r.refers_to, r["_merged"]) for r in out.collect()) == [(1, "full", None, "x"), (2, "resolved", 1, "p"), (2, "resolved", 1, "p"), (3, "no-url", None, "r")]
+
+
 def test_warc_hot_url(spark):
     """One URL over all partitions: each revisit meets the latest response before it."""
     rows = [record(i, "http://hot.org/", i, 200 if i % 7 == 0 else 304, etag='"1"') for i in range(500)]
