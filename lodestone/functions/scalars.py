@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 #: Abbreviations in organisation names.
-ABBREVIATIONS = {"hosp": "hospital", "ctr": "center", "univ": "university", "med": "medical", "assoc": "associates", "dept": "department", "inst": "institute"}
+ABBREVIATIONS = {"hosp": "hospital", "ctr": "center", "univ": "university", "med": "medical", "assoc": "associates", "dept": "department", "inst": "institute", "st": "saint"}
 #: Legal suffixes.
 SUFFIXES = ["inc", "llc", "ltd", "corp", "co", "pc", "pllc", "lp"]
 #: The Verhoeff multiplication and permutation tables.
@@ -113,11 +113,11 @@ def rate_per_100k(n: Column, population: Column) -> Column:
 
 
 def size_class(desc: Column) -> Column:
-    """Geometric midpoint of a size class text, rounded down; an open class gives its bound."""
+    """Geometric midpoint of a size class text, to the nearest whole; an open class gives its bound."""
     bare = F.replace(desc, F.lit(","), F.lit(""))
     low, high = F.try_to_number(F.nullif(F.regexp_extract(bare, r"(\d+)\s*-\s*(\d+)", 1), F.lit("")), F.lit("9999999999")), F.try_to_number(F.nullif(F.regexp_extract(bare, r"(\d+)\s*-\s*(\d+)", 2), F.lit("")), F.lit("9999999999"))
     open_ = F.nullif(F.regexp_extract(bare, r"(\d+)\s*\+", 1), F.lit(""))
-    return F.coalesce(F.floor(F.sqrt(low.cast("double") * high.cast("double"))).cast("long"), open_.cast("long"))
+    return F.coalesce(F.round(F.sqrt(low.cast("double") * high.cast("double"))).cast("long"), open_.cast("long"))
 
 
 def strip_html(html: Column) -> Column:
@@ -162,3 +162,84 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
 
 def expit(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def city_key(text: Column) -> Column:
+    """Upper case, all but letters to one space."""
+    return F.trim(F.regexp_replace(F.upper(text), "[^A-Z]+", " "))
+
+
+def address_key(text: Column) -> Column:
+    """Upper case with the suite or unit tail cut, all but letters and digits to one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(text), r"(,| )+(STE|SUITE|UNIT|APT|#).*$", ""), "[^A-Z0-9]+", " "))
+
+
+def composite_key(*parts: Column) -> Column:
+    """Normalised parts joined by a pipe; a missing part is empty."""
+    return F.concat_ws("|", *[F.coalesce(norm_text(p), F.lit("")) for p in parts])
+
+
+#: Prefixes of compact identifiers in their usual case.
+PREFIXES = {"mondo": "MONDO", "hp": "HP", "go": "GO", "doid": "DOID", "chebi": "CHEBI", "orphanet": "Orphanet", "ensembl": "ENSEMBL"}
+
+
+def curie(text: Column) -> Column:
+    """`prefix:local` with a known prefix in its usual case, others in upper case; an underscore or colon may part them; else null."""
+    prefix, local = (F.regexp_extract(F.trim(text), "^([A-Za-z]+)[:_]([A-Za-z0-9.]+)$", k) for k in (1, 2))
+    known = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])
+    return F.when(prefix != "", F.concat(F.coalesce(F.try_element_at(known, F.lower(prefix)), F.upper(prefix)), F.lit(":"), local))
+
+
+def date_year(text: Column) -> Column:
+    """The leading four digits of a text date, else null."""
+    return F.nullif(F.regexp_extract(text, "^([0-9]{4})", 1), F.lit("")).cast("int")
+
+
+def timestamp_list(text: Column) -> Column:
+    """All `YYYY-MM-DD HH:MM:SS` literals of a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"), F.lit(0)), lambda x: F.try_to_timestamp(x, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def period_of_year(year: Column, starts: dict[int, str]) -> Column:
+    """The label of the latest start that a year has reached; null before the first."""
+    out = F.lit(None).cast("string")
+    for first, label in sorted(starts.items()):
+        out = F.when(year >= first, label).otherwise(out)
+    return out
+
+
+def generic_name(name: Column, city: Column) -> Column:
+    """Whether a facility name is a placeholder, or only its city."""
+    n = norm_text(name)
+    return F.coalesce(n.rlike("^(research site|investigative site|study site|clinical site|local institution|site)( [0-9]+)?$") | (n == norm_text(city)), F.lit(False))
+
+
+def forbidden_hits(text: Column, phrases: list[str]) -> Column:
+    """Phrases that stand in a text outside double quotes, in order, in lower case."""
+    bare = F.regexp_replace(F.lower(text), '"[^"]*"', " ")
+    return F.regexp_extract_all(bare, F.lit(rf"\b({'|'.join(phrases)})\b"), F.lit(1))
+
+
+#: Tokens of column names by the kind of personal data that they tell of.
+SENSITIVE = {"geography": ["address", "city", "county", "zip", "lat", "lon", "nation", "nationkey"], "identity": ["name", "email", "phone", "ssn", "mrn"], "date": ["date", "dob", "birth"], "age": ["age"]}
+
+
+def sensitive_kind(column: str) -> str | None:
+    """The kind of personal data that a column's name tells of."""
+    words = column.lower().replace("orderdate", "order_date").split("_")
+    return next((kind for kind, tokens in SENSITIVE.items() if any(t in words for t in tokens)), None)
+
+
+def us_location(country: Column, state: Column, states: list[str], territories: list[str]) -> Column:
+    """us-state, us-territory, foreign, or unknown."""
+    us, s = F.upper(F.trim(country)).isin("US", "USA", "UNITED STATES"), F.upper(F.trim(state))
+    return (
+        F.when(F.coalesce(us, F.lit(False)) & s.isin(states), "us-state").when((F.coalesce(us, F.lit(False)) | country.isNull()) & s.isin(territories), "us-territory")
+        .when(~us, "foreign").otherwise("unknown")
+    )
+
+
+def hanley_mcneil_se(auc: Column, n1: Column, n0: Column) -> Column:
+    """Standard error of an area under the curve of n1 cases and n0 controls."""
+    q1, q2 = auc / (2 - auc), 2 * auc * auc / (1 + auc)
+    return F.sqrt((auc * (1 - auc) + (n1 - 1) * (q1 - auc * auc) + (n0 - 1) * (q2 - auc * auc)) / (n1 * n0))

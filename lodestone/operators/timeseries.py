@@ -1,9 +1,8 @@
-"""Minute and day series of participants: grouped aggregates, windows, and grouped maps for recurrences."""
+"""Minute and day series of participants: grouped aggregates and windows."""
 from __future__ import annotations
 
 from math import pi
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,54 +97,61 @@ def rolling_mean(df: DataFrame, by: str, order: str, value: str, half: int, leas
 def cusum_alarms(df: DataFrame, by: str, day: str, value: str, warm: int = 28, slack: float = 0.5, limit: float = 4.0) -> DataFrame:
     """Upper CuSum of each participant against the mean and SD of the first `warm` days; a row for each day over the limit.
 
-    A recurrence, so one ordered pass for each participant; a series of no more than `warm` days gives nothing.
+    With T the running sum of (x - mean) / SD - slack, the sum that never falls below zero is T less its least value so far
+    (0 at the start), so windows do it.  Null values are left out; a series of no more than `warm` days, or a constant
+    baseline, gives nothing.
     """
-    kind = df.schema[by].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values(day)
-        x = pdf[value].to_numpy(dtype=float)
-        empty = pd.DataFrame({by: [], day: [], "cusum": []})
-        if len(x) <= warm:
-            return empty
-        mu, sd = x[:warm].mean(), x[:warm].std(ddof=1)
-        if not sd > 0:
-            return empty
-        s, rows = 0.0, []
-        for d, v in zip(pdf[day].to_numpy()[warm:], x[warm:], strict=True):
-            s = max(0.0, s + (v - mu) / sd - slack)
-            if s > limit:
-                rows.append((pdf[by].iloc[0], d, s))
-        return pd.DataFrame(rows, columns=[by, day, "cusum"]) if rows else empty
-
-    return df.select(by, day, value).groupBy(by).applyInPandas(run, f"{by} {kind}, {day} long, cusum double")
+    w = Window.partitionBy(by).orderBy(day)
+    rows = df.filter(F.col(value).isNotNull()).select(by, F.col(day).cast("long").alias(day), F.col(value).cast("double").alias("_x"), F.row_number().over(w).alias("_i"))
+    base = rows.filter(F.col("_i") <= warm).groupBy(by).agg(F.avg("_x").alias("_mu"), F.stddev_samp("_x").alias("_sd")).filter("_sd > 0")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = rows.filter(F.col("_i") > warm).join(base, by).withColumn("_t", F.sum((F.col("_x") - F.col("_mu")) / F.col("_sd") - slack).over(run))
+    sums = after.withColumn("cusum", F.col("_t") - F.least(F.lit(0.0), F.min("_t").over(run)))
+    return sums.filter(F.col("cusum") > limit).select(by, day, "cusum")
+
+
+def bridged_runs(df: DataFrame, by: list[str], order: str, on: Column, bridge: int, breaks: Column | None = None) -> DataFrame:
+    """df with _run: the number of the run of `on` rows that a row lies in, null outside; and _length, from its first to its last order.
+
+    At most `bridge` successive rows that are off lie between two on ones of a run; a missing order, or a row where `breaks` holds, ends it.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    stop = F.coalesce(breaks, F.lit(False)) if breaks is not None else F.lit(False)
+    rows = df.withColumn("_on", F.coalesce(on, F.lit(False)) & ~stop).withColumn("_stops", F.sum(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_k", F.row_number().over(w))
+    before = F.last(F.when(F.col("_on"), F.struct("_k", F.col(order).alias("o"), "_stops")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_b", before)
+    new = F.col("_b").isNull() | (F.col("_k") - F.col("_b._k") - 1 > bridge) | (F.col(order) - F.col("_b.o") != F.col("_k") - F.col("_b._k")) | (F.col("_stops") != F.col("_b._stops"))
+    rows = rows.withColumn("_r", F.sum(F.when(F.col("_on") & new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(*by, "_r")
+    last = F.max(F.when(F.col("_on"), F.col(order))).over(inside)
+    first = F.min(F.when(F.col("_on"), F.col(order))).over(inside)
+    rows = rows.withColumn("_last", last).withColumn("_first", first)
+    within = (F.col("_r") > 0) & (F.col(order) <= F.col("_last"))
+    return rows.withColumn("_run", F.when(within, F.col("_r"))).withColumn("_length", F.when(within, F.col("_last") - F.col("_first") + 1)).select(*df.columns, "_run", "_length")
 
 
 def nonwear(df: DataFrame, by: str, minute: str, count: str, length: int = 60, spikes: int = 2) -> DataFrame:
-    """Rows with `worn`: false in runs of at least `length` minutes of zeros that hold at most `spikes` successive non-zero minutes at a time."""
-    kind = df.schema[by].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(minute)
-        c = pdf[count].fillna(0).to_numpy()
-        worn = [True] * len(c)
-        i = 0
-        while i < len(c):
-            if c[i] != 0:
-                i += 1
-                continue
-            j, last, noise = i, i, 0
-            while j < len(c):
-                if c[j] == 0:
-                    last, noise = j, 0
-                else:
-                    noise += 1
-                    if noise > spikes:
-                        break
-                j += 1
-            if last - i + 1 >= length:
-                worn[i : last + 1] = [False] * (last - i + 1)
-            i = last + 1
-        return pdf.assign(worn=worn)[[by, minute, count, "worn"]]
-
-    return df.select(by, minute, count).groupBy(by).applyInPandas(run, f"{by} {kind}, {minute} long, {count} long, worn boolean")
+    """Rows with `worn`: false in runs of at least `length` minutes of zeros that hold at most `spikes` successive non-zero minutes at a time; a null count is zero, a missing minute ends a run."""
+    runs = bridged_runs(df.select(by, minute, count), [by], minute, F.coalesce(F.col(count), F.lit(0)) == 0, spikes)
+    return runs.select(by, minute, count, (~F.coalesce(F.col("_length") >= length, F.lit(False))).alias("worn"))
+
+
+def bout_minutes(df: DataFrame, by: str, minute: str, active: Column, valid: Column, length: int = 10, pause: int = 2) -> DataFrame:
+    """Minutes of each participant in active bouts of at least `length` minutes that hold at most `pause` successive inactive ones; an invalid minute ends a bout."""
+    runs = bridged_runs(df, [by], minute, active, pause, ~valid)
+    return runs.groupBy(by).agg(F.count_if(F.coalesce(F.col("_length") >= length, F.lit(False))).alias("minutes"))
+
+
+def main_rest_window(df: DataFrame, by: list[str], minute: str, resting: Column, bridge: int) -> DataFrame:
+    """The longest run of resting minutes of each group, gaps of up to `bridge` rows closed; of equal ones the earliest."""
+    runs = bridged_runs(df, by, minute, resting, bridge).filter("_run IS NOT NULL").groupBy(*by, "_run").agg(F.min(minute).alias("start"), F.max(minute).alias("end"))
+    best = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), -F.col("start"), "start", "end")).alias("_b")
+    return runs.groupBy(*by).agg(best).select(*by, "_b.start", "_b.end")
+
+
+def nearest_event(df: DataFrame, by: str, day: str, events: DataFrame, event_day: str, low: int, high: int) -> DataFrame:
+    """Offset of the event day nearest to a row's day among those from `low` to `high` days after it; earlier of equally near ones; null for none."""
+    gap = F.col("_e") - F.col(day)
+    joined = df.join(events.select(F.col(by), F.col(event_day).alias("_e")), by, "left").withColumn("_gap", F.when(gap.between(low, high), gap))
+    return joined.groupBy(by, day).agg(F.min_by("_gap", F.when(F.col("_gap").isNotNull(), F.struct(F.abs("_gap"), "_gap"))).alias("offset"))

@@ -20,7 +20,7 @@ _RAW = "CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_name || ', Inc.' WHEN 1 THEN
 
 
 @plan(f"""WITH r AS (SELECT p_partkey, {_RAW} AS raw FROM part), a AS (SELECT p_partkey, {_NORM.format(x="regexp_replace(regexp_replace(lower(raw), '(d/b/a|dba) .*$', ''), '''', '', 'g')")} AS n FROM r),
-b AS (SELECT p_partkey, array_to_string(list_transform(string_split(n, ' '), lambda w: CASE w WHEN 'hosp' THEN 'hospital' WHEN 'ctr' THEN 'center' WHEN 'med' THEN 'medical' ELSE w END), ' ') AS n FROM a)
+b AS (SELECT p_partkey, array_to_string(list_transform(string_split(n, ' '), lambda w: CASE w WHEN 'hosp' THEN 'hospital' WHEN 'ctr' THEN 'center' WHEN 'med' THEN 'medical' WHEN 'st' THEN 'saint' ELSE w END), ' ') AS n FROM a)
 SELECT p_partkey, regexp_replace(regexp_replace(n, '^the ', ''), '( (inc|llc|ltd|corp|co|pc|pllc|lp))+$', '') AS name FROM b""")
 def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     (p,) = read(spark, sf_dir, "part")
@@ -52,7 +52,12 @@ def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", npi.alias("npi"), S.luhn_npi(npi).alias("valid"))
 
 
-@plan()
+_VD, _VP = (str(t) for t in (S.VERHOEFF_D, S.VERHOEFF_P))
+
+
+@plan(f"""WITH n AS (SELECT c_custkey, (c_custkey * 104729)::VARCHAR AS number FROM customer),
+d AS (SELECT c_custkey, number, list_transform(range(length(number)), lambda i: substr({_VP}[(i % 8) + 1], reverse(number)[i + 1]::INT + 1, 1)::INT) AS p FROM n)
+SELECT c_custkey, number, list_reduce(list_prepend(0, p), lambda c, x: substr({_VD}[c + 1], x + 1, 1)::INT) = 0 AS valid FROM d""")
 def verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     (c,) = read(spark, sf_dir, "customer")
     number = (F.col("c_custkey") * 104729).cast("string")

@@ -111,15 +111,50 @@ def spread_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("minute").cast("timestamp_ntz").alias("minute"), F.round("share", 6).alias("share"))
 
 
-@plan()
+@plan("""WITH d AS (SELECT min(ts)::DATE AS d0 FROM events), h AS (SELECT user_id, datediff('day', d0, ts::DATE) * 24 + hour(ts) AS epoch, sum(value) AS x FROM events, d GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS i FROM h), b AS (SELECT user_id, avg(x) AS mu, stddev_samp(x) AS sd FROM i WHERE i <= 28 GROUP BY 1),
+s AS (WITH RECURSIVE r AS (SELECT user_id, 28 AS i, 0.0::DOUBLE AS s, NULL::BIGINT AS epoch FROM b WHERE sd > 0
+  UNION ALL SELECT r.user_id, i.i, greatest(0.0, r.s + (i.x - b.mu) / b.sd - 0.5), i.epoch FROM r JOIN i ON i.user_id = r.user_id AND i.i = r.i + 1 JOIN b ON b.user_id = r.user_id) SELECT * FROM r)
+SELECT user_id, epoch, round(s, 6) AS cusum FROM s WHERE s > 4 AND epoch IS NOT NULL""")
 def cusum_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = _hours(spark, sf_dir).select("user_id", F.col("epoch").cast("long").alias("epoch"), "x")
-    return T.cusum_alarms(hours, "user_id", "epoch", "x")
+    hours = _days(spark, sf_dir).groupBy("user_id", (F.col("day").cast("long") * 24 + F.hour("ts")).alias("epoch")).agg(F.sum("value").alias("x"))
+    return T.cusum_alarms(hours, "user_id", "epoch", "x").withColumn("cusum", F.round("cusum", 6))
 
 
-@plan()
-def nonwear(spark: SparkSession, sf_dir: str) -> DataFrame:
+_GRID = f"""e AS (SELECT user_id, {_DAY} * 24 + hour(ts) AS minute, sum(CASE WHEN value > 60 THEN floor(value)::BIGINT ELSE 0 END)::BIGINT AS n FROM events GROUP BY 1, 2),
+z AS (SELECT user_id, minute, lead(minute) OVER (PARTITION BY user_id ORDER BY minute) AS nxt FROM e WHERE n = 0),
+g AS (SELECT user_id, minute, nxt, (SELECT count(*) FROM e WHERE e.user_id = z.user_id AND e.minute > z.minute AND e.minute < z.nxt) AS off FROM z),
+l AS (SELECT user_id, minute, nxt IS NOT NULL AND off <= 2 AND off = nxt - minute - 1 AS joined FROM g),
+r AS (SELECT user_id, minute, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY minute) AS run FROM (SELECT user_id, minute, coalesce(lag(joined) OVER (PARTITION BY user_id ORDER BY minute), false) AS j FROM l)),
+s AS (SELECT user_id, run, min(minute) AS a, max(minute) AS b FROM r GROUP BY 1, 2)"""
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _days(spark, sf_dir).select("user_id", (F.col("day").cast("long") * 24 + F.hour("ts")).alias("minute"), F.when(F.col("value") > 60, F.floor("value")).otherwise(0).cast("long").alias("n"))
-    hours = e.groupBy("user_id", "minute").agg(F.sum("n").alias("n"))
-    out = T.nonwear(hours, "user_id", "minute", "n", 10, 2)
+    return e.groupBy("user_id", "minute").agg(F.sum("n").alias("n"))
+
+
+@plan(f"""WITH {_GRID}, w AS (SELECT e.user_id, NOT coalesce(bool_or(s.b - s.a + 1 >= 3), false) AS worn FROM e LEFT JOIN s ON s.user_id = e.user_id AND e.minute BETWEEN s.a AND s.b GROUP BY e.user_id, e.minute)
+SELECT user_id, count(*) FILTER (worn) AS worn, count(*) FILTER (NOT worn) AS not_worn FROM w GROUP BY 1""")
+def nonwear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' hours stand for minutes; a run of three is enough here."""
+    out = T.nonwear(_hourly(spark, sf_dir), "user_id", "minute", "n", 3, 2)
     return out.groupBy("user_id").agg(F.count_if("worn").alias("worn"), F.count_if(~F.col("worn")).alias("not_worn"))
+
+
+@plan(f"""WITH {_GRID}, m AS (SELECT user_id, max(b - a) AS n FROM s GROUP BY 1) SELECT s.user_id, min(a) AS start, min_by(b, a) AS "end" FROM s JOIN m ON m.user_id = s.user_id AND s.b - s.a = m.n GROUP BY 1""")
+def main_rest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.main_rest_window(_hourly(spark, sf_dir), ["user_id"], "minute", F.col("n") == 0, 2)
+
+
+@plan(f"""WITH {_GRID}, w AS (SELECT e.user_id, coalesce(bool_or(s.b - s.a + 1 >= 2), false) AS bout FROM e LEFT JOIN s ON s.user_id = e.user_id AND e.minute BETWEEN s.a AND s.b GROUP BY e.user_id, e.minute) SELECT user_id, count(*) FILTER (bout) AS minutes FROM w GROUP BY 1""")
+def bout_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.bout_minutes(_hourly(spark, sf_dir), "user_id", "minute", F.col("n") == 0, F.lit(True), 2, 2)
+
+
+@plan(f"""WITH e AS (SELECT user_id, {_DAY} AS day, event_type FROM events), p AS (SELECT DISTINCT user_id, day FROM e WHERE event_type = 'purchase'), q AS (SELECT DISTINCT user_id, day AS eday FROM e WHERE event_type = 'click'),
+j AS (SELECT p.user_id, p.day, eday - day AS gap FROM p LEFT JOIN q ON q.user_id = p.user_id AND eday - day BETWEEN -14 AND 7) SELECT user_id, day, arg_min(gap, abs(gap) * 100 + gap) AS "offset" FROM j GROUP BY 1, 2""")
+def nearest_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _days(spark, sf_dir).select("user_id", F.col("day").cast("long").alias("day"), "event_type")
+    p, q = e.filter("event_type = 'purchase'").select("user_id", "day").distinct(), e.filter("event_type = 'click'").select("user_id", F.col("day").alias("eday")).distinct()
+    return T.nearest_event(p, "user_id", "day", q, "eday", -14, 7)

@@ -46,8 +46,8 @@ def read_commented_tsv(spark: SparkSession, path: str) -> DataFrame:
 def markdown_table(text: DataFrame, column: str, begin: str, end: str) -> DataFrame:
     """Rows of the pipe table between two markers as (row, cells); the header is row 0, the rule line is left out."""
     inner = F.regexp_extract(column, rf"(?s){begin}(.*?){end}", 1)
-    lines = F.filter(F.transform(F.split(inner, "\n"), F.trim), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|$"))
-    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), F.trim)
+    lines = F.filter(F.transform(F.split(inner, "\n"), lambda c: F.trim(c)), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|$"))
+    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return text.select(F.posexplode(F.transform(lines, cells)).alias("row", "cells"))
 
 
