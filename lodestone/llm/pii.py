@@ -3,15 +3,22 @@
 Telephone, card, social-security and network numbers go through keyed permutations of their digits (a
 Feistel network over decimal halves), so different numbers of a kind can't get the same
 surrogate; separators, country code and the state of a card's check digit stay.  Mail
-addresses, hexadecimal secrets and names are drawn by a keyed hash: names by gender of the title
-and by script, secrets in their own length, all in the case of the original.  The same
-entity, in whatever form it is written, gets the same surrogate everywhere.  Hashed
-surrogates are checked over the whole corpus: if two entities share one, all are drawn again from
-a larger space, up to the largest, which is checked too.
+addresses, hexadecimal secrets and names are drawn by a keyed hash, secrets in their own length, each word in
+the case of the original.  A surname has one surrogate wherever it stands, with or without a given name and
+whatever the title; a given name's is of the title's gender; both are of the original's script.  A full name
+adds a second surname drawn from both, so that people of one family stay distinct.
+
+Hashed surrogates are checked over the whole corpus, without titles and in lower case: none may be shared by two
+entities or be an entity that stands in the corpus.  Only those that are get another draw, so that all others are the same in
+every run.  With 40 bits a surname and 64 an address that happens to a handful in millions; the check raises beyond
+EXCEPTIONS of them, which only a broken key could give.
+
+Detected are addresses, 32 to 64 hexadecimal digits, 16-digit cards, North American telephone numbers, social-security
+numbers, IPv4 addresses, and names after a title; nothing else is.
 
 Null texts stay null, with no entities; texts without entities pass unchanged.  Repeated rows and long
 texts are nothing special: every alternative of the pattern starts at a token's
-beginning, so a long token is read once.  Extra columns are kept by `mask`.
+beginning, so a long token is read once.  Extra columns are kept by `mask`, rows of any doc_id too.
 """
 from __future__ import annotations
 
@@ -44,12 +51,13 @@ GIVEN = {
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан", "Юрий"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Юлия"],
 }
-#: Syllables of made-up surnames by script.
+#: Parts of the syllables of made-up surnames by script: 16 beginnings, 8 middles and 8 ends.
 SYLLABLES = {
-    "latin": ["ba", "cor", "del", "fen", "gar", "hol", "kim", "lan", "mar", "nor", "pel", "ros", "sal", "tor", "var", "wen"],
-    "cyrillic": ["ба", "кор", "дел", "фен", "гар", "хол", "ким", "лан", "мар", "нор", "пел", "рос", "сал", "тор", "вар", "вен"],
+    "latin": (["b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "z"], ["a", "e", "i", "o", "u", "ai", "au", "ei"], ["", "l", "m", "n", "r", "s", "t", "nd"]),
+    "cyrillic": (["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х"], ["а", "е", "и", "о", "у", "я", "ё", "ю"], ["", "л", "м", "н", "р", "с", "т", "в"]),
 }
-LEVELS = 3
+#: Entities that may have another draw than the first.
+EXCEPTIONS = 1000
 
 
 def _hash(key: str, kind: str, value: Column) -> Column:
@@ -111,53 +119,87 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def bare_name(value: Column) -> Column:
+    return F.regexp_replace(value, rf"^(?:{_TITLES})\.?[ ]", "")
+
+
+def surname(value: Column) -> Column:
+    return F.substring_index(bare_name(value), " ", -1)
+
+
 def canonical(value: Column) -> Column:
     """What two mentions of the same entity have in common."""
     kind = kind_of(value)
-    bare = F.regexp_replace(value, rf"^(?:{_TITLES})\.?[ ]", "")
-    gender = F.when(value.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?[ ]"), "f:").otherwise("m:")
-    return F.when(kind.isin("email", "token"), F.lower(value)).when(kind == "name", F.concat(gender, F.lower(bare))).otherwise(_digits(value))
+    return F.when(kind.isin("email", "token", "name"), F.lower(F.when(kind == "name", bare_name(value)).otherwise(value))).otherwise(_digits(value))
 
 
 def _letters(hexes: Column) -> Column:
     return F.translate(hexes, "0123456789abcdef", "bcdfghjklmnpqrst")
 
 
-def _cased(original: Column, surrogate: Column) -> Column:
-    return F.when((F.upper(original) == original) & (F.lower(original) != original), F.upper(surrogate)).otherwise(surrogate)
+def _cased(original: Column, made: Column) -> Column:
+    """made in upper case where the original is, in lower case where it begins so, else with capitals."""
+    first = F.substring(original, 1, 1)
+    return F.when((F.upper(original) == original) & (F.lower(original) != original), F.upper(made)).when(F.lower(first) == first, F.lower(made)).otherwise(made)
 
 
-def surrogate(value: Column, key: str, level: int = 0) -> Column:
-    """The surrogate of one detected entity; a higher level draws hashed ones from a larger space."""
-    kind, known = kind_of(value), canonical(value)
-    h = _hash(key, f"entity{level}", known)
-    digits = _digits(value)
+def _salted(value: Column, salts: dict[str, int]) -> Column:
+    """The value with the number of its draw, where it isn't the first."""
+    if not salts:
+        return value
+    known = F.create_map(*[x for k, n in sorted(salts.items()) for x in (F.lit(k), F.lit(str(n)))])
+    return F.concat_ws("#", value, F.try_element_at(known, value))
+
+
+def _syllables(h: Column, place: int, n: int, writing: str) -> Column:
+    """n syllables from three hexadecimal digits each."""
+    parts = SYLLABLES[writing]
+    digit = lambda i: F.conv(F.substring(h, i, 1), 16, 10).cast("int")
+    pick = lambda options, i: F.element_at(F.array(*[F.lit(x) for x in options]), i % len(options) + 1)
+    return F.initcap(F.concat(*[pick(parts[k], digit(place + 3 * i + k)) for i in range(n) for k in range(3)]))
 
+
+def hashed(value: Column, key: str, salts: dict[str, int] | None = None) -> Column:
+    """The surrogate of an address, a secret, or a bare name (one word: a surname; more: given names and a surname), in plain case; for names by gender and script use `named`."""
+    known = _salted(F.lower(value), salts or {})
+    h = _hash(key, "entity", known)
     domain = F.substring_index(F.lower(value), "@", -1)
     top = F.regexp_extract(domain, r"([^.]+)$", 1)
     fake_domain = F.concat(_letters(F.substring(_hash(key, "domain", domain), 1, 8)), F.lit(".example"), F.when(top.isin("com", "net", "org"), F.concat(F.lit("."), top)).otherwise(""))
-    email = _cased(value, F.concat(_letters(F.substring(h, 1, 10 + 12 * level)), F.lit("@"), fake_domain))
+    email = F.concat(_letters(F.substring(h, 1, 16)), F.lit("@"), fake_domain)
+    token = F.substring(F.concat(h, _hash(key, "more", known)), F.lit(1), F.length(value))
+    return F.when(F.contains(value, F.lit("@")), email).otherwise(token)
 
-    token = F.substring(F.concat(h, _hash(key, f"more{level}", known)), F.lit(1), F.length(value))
-    token = F.when(F.upper(value) == value, F.upper(token)).otherwise(token)
 
+def named(value: Column, key: str, salts: dict[str, int] | None = None) -> Column:
+    """The surrogate of a name with its title."""
+    bare, family = bare_name(value), surname(value)
+    given = F.substring(bare, F.lit(1), F.length(bare) - F.length(family) - 1)
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    female = F.substring(known, 1, 1) == "f"
+    female = value.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?[ ]")
     title = F.regexp_extract(value, rf"^(?:{_TITLES})\.?[ ]", 0)
+    hs, hg = _hash(key, "surname", _salted(F.lower(family), salts or {})), _hash(key, "given", F.lower(given))
+    hf = _hash(key, "full", _salted(F.lower(bare), salts or {}))
+
+    def by_script(f):
+        return F.when(script == "cyrillic", f("cyrillic")).otherwise(f("latin"))
+
+    def first(writing: str) -> Column:
+        i = F.conv(F.substring(hg, 1, 1), 16, 10).cast("int") + 1
+        return F.when(female, F.element_at(F.array(*map(F.lit, GIVEN[("f", writing)])), i)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN[("m", writing)])), i))
 
-    def drawn(options: list[str], place: int) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in options]), F.conv(F.substring(h, place, 1), 16, 10).cast("int") + 1)
+    last = by_script(lambda w: _syllables(hs, 1, 4, w))
+    second = by_script(lambda w: _syllables(hf, 1, 3, w))
+    full = F.concat(_cased(given, by_script(first)), F.lit(" "), _cased(family, F.concat(last, F.lit("-"), second)))
+    return F.concat(title, F.when(given == "", _cased(family, last)).otherwise(full))
 
-    def full(gender: str, writing: str) -> Column:
-        syllables = [drawn(SYLLABLES[writing], 2 + i) for i in range(3)]
-        parts = [drawn(GIVEN[(gender, writing)], 1), F.lit(" "), F.initcap(F.concat(*syllables))]
-        for more in range(level):
-            parts += [F.lit("-"), F.initcap(F.concat(*[drawn(SYLLABLES[writing], 5 + 8 * more + i) for i in range(4 + 4 * more)]))]
-        return F.concat(*parts)
 
-    one_word = F.size(F.split(F.regexp_replace(value, rf"^(?:{_TITLES})\.?[ ]", ""), " ")) == 1
-    whole = F.when(female & (script == "cyrillic"), full("f", "cyrillic")).when(female, full("f", "latin")).when(script == "cyrillic", full("m", "cyrillic")).otherwise(full("m", "latin"))
-    name = F.concat(title, F.when(one_word, F.regexp_replace(whole, "^[^ ]+ ", "")).otherwise(whole))
+def surrogate(value: Column, key: str, salts: dict[str, int] | None = None) -> Column:
+    """The surrogate of one detected entity; salts: the draws of entities (canonical) that aren't the first."""
+    kind = kind_of(value)
+    digits = _digits(value)
+    drawn = hashed(value, key, salts)
+    upper = (F.upper(value) == value) & (F.lower(value) != value)
 
     fifteen = F.substring(digits, 1, 15)
     offset = F.pmod(F.substring(digits, 16, 1).cast("int") - _luhn(fifteen), F.lit(10))
@@ -177,8 +219,9 @@ def surrogate(value: Column, key: str, level: int = 0) -> Column:
         lambda s: F.concat_ws(".", F.expr("0").cast("long") + F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256),
     )
     return (
-        F.when(kind == "email", email).when(kind == "token", token).when(kind == "name", name).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(ip)
-    )
+        F.when(kind.isin("email", "token"), F.when(upper, F.upper(drawn)).otherwise(drawn)).when(kind == "name", named(value, key, salts))
+        .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(ip)
+    )
 
 
 def entities(text: Column) -> Column:
@@ -186,25 +229,37 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def check_level(docs: DataFrame, key: str) -> int:
-    """The first level at which no two entities of docs share a hashed surrogate."""
-    found = docs.select(F.explode(F.array_distinct(entities(F.col("text").cast("string")))).alias("e")).filter(kind_of(F.col("e")).isin("email", "token", "name"))
-    found = found.select("e", canonical(F.col("e")).alias("c")).groupBy("c").agg(F.min("e").alias("e"))
-    found = scratch.table(found, "entities")
-    for level in range(LEVELS):
-        shared = found.select(F.lower(surrogate(F.col("e"), key, level)).alias("s")).groupBy("s").count().filter("count > 1")
-        if shared.isEmpty():
-            return level
-    raise RuntimeError("entities share a surrogate at the largest level; use another key")
-
-
-def mask(docs: DataFrame, key: str, level: int | None = None) -> DataFrame:
+def check(docs: DataFrame, key: str) -> dict[str, int]:
+    """The draws of those entities of docs whose surrogate would be another's, or an entity that stands there; few (see above)."""
+    found = docs.select(F.explode(F.array_distinct(entities(F.col("text").cast("string")))).alias("e")).withColumn("kind", kind_of(F.col("e"))).filter(F.col("kind").isin("email", "token", "name"))
+    # a surname is an entity of its own; titles say only the gender of a given name
+    alone = found.filter(F.col("kind") == "name").select(F.concat(F.lit("Mr "), surname(F.col("e"))).alias("e"), F.lit("name").alias("kind"))
+    known = found.union(alone).withColumn("c", canonical(F.col("e"))).groupBy("kind", "c").agg(F.min("e").alias("e"))
+    known = scratch.table(known, "entities")
+    salts: dict[str, int] = {}
+    while True:
+        made = F.lower(F.when(F.col("kind") == "name", bare_name(surrogate(F.col("e"), key, salts))).otherwise(surrogate(F.col("e"), key, salts)))
+        drawn = known.select("kind", "c", made.alias("s"))
+        both = drawn.select("kind", "s", "c").union(known.select("kind", F.col("c").alias("s"), F.lit(None).cast("string").alias("c")))
+        # of those that share one the first keeps it, unless it stands in the corpus
+        taken = both.groupBy("kind", "s").agg(F.count("*").alias("n"), F.count_if(F.col("c").isNull()).alias("real"), F.min("c").alias("least")).filter("n > 1 AND least IS NOT NULL")
+        again = drawn.join(taken, ["kind", "s"]).filter("real > 0 OR c <> least").select("c").distinct()
+        rows = scratch.few(again, EXCEPTIONS)
+        if rows is None:
+            raise RuntimeError(f"more than {EXCEPTIONS} entities share surrogates: use another key")
+        if not rows:
+            return salts
+        for r in rows:
+            salts[r["c"]] = salts.get(r["c"], 0) + 1
+
+
+def mask(docs: DataFrame, key: str, salts: dict[str, int] | None = None) -> DataFrame:
     """docs with each entity of text replaced, and a column n_entities (as `_n_entities` if that name is taken)."""
-    level = check_level(docs, key) if level is None else level
+    salts = check(docs, key) if salts is None else salts
     name = scratch.fresh("n_entities", docs.columns)
     found, gaps = scratch.fresh("found", docs.columns), scratch.fresh("gaps", docs.columns)
     text = F.col("text").cast("string")
     rows = docs.withColumn(found, entities(text)).withColumn(gaps, F.when(F.size(found) > 0, F.split(text, PATTERN, -1)))
-    pieces = F.zip_with(gaps, F.transform(found, lambda e: surrogate(e, key, level)), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    pieces = F.zip_with(gaps, F.transform(found, lambda e: surrogate(e, key, salts)), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     rows = rows.withColumn(name, F.size(found).cast("long"))
     return rows.withColumn("text", F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)).select(*docs.columns, name)

@@ -195,6 +195,30 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len({s for _, s in out}) == len(out) and sum(v == s for v, s in out) < 4
 
 
+def test_names_keep_case_family_and_distinctness(spark):
+    text = "Mr SMITH and Mr John Smith and Mr. Smith, Herr Smith, Mrs Mary Smith, Mr John Jones, MR x, Frau smith, Señora Ana Díaz, Ms MARY SMITH"
+    docs = spark.createDataFrame([(1, text), (None, "Mr Smith")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.mask(docs, key="k").collect()}
+    family = got[None].split()[1]
+    names = re.findall(r"(?:Mr|Herr|Mrs|Señora|Ms)\.? ([^,]+?)(?= and |,|$)", got[1])
+    assert names[0] == family.upper() and names[2] == names[3] == family and "Frau smith" in got[1]
+    assert [n.split()[1].split("-")[0] for n in (names[1], names[4])] == [family] * 2 and names[4].upper() == names[7]
+    assert names[1].split()[0] in pii.GIVEN[("m", "latin")] and names[4].split()[0] in pii.GIVEN[("f", "latin")] and names[5].split()[0] == names[1].split()[0]
+    assert len({n.lower() for n in names}) == 5 and "Smith" not in got[1]
+
+
+def test_shared_surrogates_are_drawn_again(spark, monkeypatch):
+    """With a hash of three digits' worth of names many collide: only those get another draw, and all end distinct."""
+    monkeypatch.setattr(pii, "SYLLABLES", {k: (v[0][:4], v[1][:2], v[2][:1]) for k, v in pii.SYLLABLES.items()})
+    monkeypatch.setattr(pii, "_syllables", lambda h, place, n, w, f=pii._syllables: f(h, place, min(n, 3), w))
+    names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    docs = spark.createDataFrame([(i, f"Mr {x}") for i, x in enumerate(names)], "doc_id long, text string")
+    salts = pii.check(docs, "k")
+    one, two = ([r.text for r in pii.mask(docs, "k", s).orderBy("doc_id").collect()] for s in ({}, salts))
+    assert len(set(two)) == len(names) > len(set(one)) and set(salts) <= {n.lower() for n in names}
+    assert all(a == b for a, b, n in zip(one, two, names, strict=True) if n.lower() not in salts) and 0 < len(salts) < 30
+
+
 @pytest.mark.parametrize("name", ["op5_licence_scan", "op10_pii_surrogates"])
 def test_queries_keep_every_row_and_stay_native(spark, name):
     frame = queries.QUERIES[name](spark, SF)
