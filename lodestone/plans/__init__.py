@@ -5,8 +5,10 @@ from lodestone.plans import (  # noqa: F401
     domain,
     evidence,
     joining,
+    places,
     predicates,
     ranking,
+    records,
     reshaping,
     scalar,
     scoring,
