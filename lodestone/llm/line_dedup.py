@@ -195,7 +195,8 @@ def _repeats(rows: DataFrame, near_chars: int) -> DataFrame:
     shared = edges.groupBy("edge").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("edge")
     suspects = tables.table(edges.join(shared, "edge", "left_semi").select("first.*").distinct(), "suspects")
     variants = tables.table(_with_lines(rows, suspects).mapInArrow(_variants, "variant long, kind long, id long, mark long, line long"), "variants")
-    met = variants.groupBy("variant").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    at_hash = F.xxhash64("id", "mark", "line")
+    met = variants.groupBy("variant").agg(F.min(at_hash).alias("lo"), F.max(at_hash).alias("hi"))
     # few of them are left, as a table of known size
     met = tables.table(met.filter("lo <> hi").select("variant"), "met")
     keyed = tables.table(variants.join(met, "variant", "left_semi").select("variant", "kind", place.alias("at")), "keyed")

@@ -151,55 +151,59 @@ def _salted(value: Column, salts: dict[str, int]) -> Column:
     return F.concat_ws("#", value, F.try_element_at(known, value))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pick(options: list[str], digit: Column) -> Column:
+    return F.get(F.split(F.lit(",".join(options)), ","), digit % len(options))
+
+
 def _syllables(h: Column, place: int, n: int, writing: str) -> Column:
     """n syllables from three hexadecimal digits each."""
-    parts = SYLLABLES[writing]
-    digit = lambda i: F.conv(F.substring(h, i, 1), 16, 10).cast("int")
-    pick = lambda options, i: F.element_at(F.array(*[F.lit(x) for x in options]), i % len(options) + 1)
-    return F.initcap(F.concat(*[pick(parts[k], digit(place + 3 * i + k)) for i in range(n) for k in range(3)]))
+    digit = lambda i: F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int")
+    one = lambda i: F.concat(*[_pick(SYLLABLES[writing][k], digit(i + k)) for k in range(3)])
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(place), F.lit(place + 3 * n - 3), F.lit(3)), one), ""))
 
 
 def hashed(value: Column, key: str, salts: dict[str, int] | None = None) -> Column:
     """The surrogate of an address, a secret, or a bare name (one word: a surname; more: given names and a surname), in plain case; for names by gender and script use `named`."""
     known = _salted(F.lower(value), salts or {})
-    h = _hash(key, "entity", known)
     domain = F.substring_index(F.lower(value), "@", -1)
     top = F.regexp_extract(domain, r"([^.]+)$", 1)
     fake_domain = F.concat(_letters(F.substring(_hash(key, "domain", domain), 1, 8)), F.lit(".example"), F.when(top.isin("com", "net", "org"), F.concat(F.lit("."), top)).otherwise(""))
-    email = F.concat(_letters(F.substring(h, 1, 16)), F.lit("@"), fake_domain)
-    token = F.substring(F.concat(h, _hash(key, "more", known)), F.lit(1), F.length(value))
-    return F.when(F.contains(value, F.lit("@")), email).otherwise(token)
+    email = lambda h: F.concat(_letters(F.substring(h, 1, 16)), F.lit("@"), fake_domain)
+    token = lambda h: F.substring(F.concat(h, _hash(key, "more", known)), F.lit(1), F.length(value))
+    return _once(_hash(key, "entity", known), lambda h: F.when(F.contains(value, F.lit("@")), email(h)).otherwise(token(h)))
 
 
 def named(value: Column, key: str, salts: dict[str, int] | None = None) -> Column:
     """The surrogate of a name with its title."""
-    bare, family = bare_name(value), surname(value)
-    given = F.substring(bare, F.lit(1), F.length(bare) - F.length(family) - 1)
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     female = value.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?[ ]")
-    title = F.regexp_extract(value, rf"^(?:{_TITLES})\.?[ ]", 0)
-    hs, hg = _hash(key, "surname", _salted(F.lower(family), salts or {})), _hash(key, "given", F.lower(given))
-    hf = _hash(key, "full", _salted(F.lower(bare), salts or {}))
 
-    def by_script(f):
+    def by_script(f) -> Column:
         return F.when(script == "cyrillic", f("cyrillic")).otherwise(f("latin"))
 
-    def first(writing: str) -> Column:
-        i = F.conv(F.substring(hg, 1, 1), 16, 10).cast("int") + 1
-        return F.when(female, F.element_at(F.array(*map(F.lit, GIVEN[("f", writing)])), i)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN[("m", writing)])), i))
+    def parts(x: Column) -> Column:
+        bare, family = x["bare"], x["family"]
+        given = F.substring(bare, F.lit(1), F.length(bare) - F.length(family) - 1)
+        last = _once(_hash(key, "surname", _salted(F.lower(family), salts or {})), lambda h: by_script(lambda w: _syllables(h, 1, 4, w)))
+        second = _once(_hash(key, "full", _salted(F.lower(bare), salts or {})), lambda h: by_script(lambda w: _syllables(h, 1, 3, w)))
+        digit = F.conv(F.substring(_hash(key, "given", F.lower(given)), 1, 1), 16, 10).cast("int")
+        first = _once(digit, lambda d: by_script(lambda w: F.when(female, _pick(GIVEN[("f", w)], d)).otherwise(_pick(GIVEN[("m", w)], d))))
+        return F.when(given == "", _cased(family, last)).otherwise(F.concat(_cased(given, first), F.lit(" "), _cased(family, F.concat(last, F.lit("-"), second))))
 
-    last = by_script(lambda w: _syllables(hs, 1, 4, w))
-    second = by_script(lambda w: _syllables(hf, 1, 3, w))
-    full = F.concat(_cased(given, by_script(first)), F.lit(" "), _cased(family, F.concat(last, F.lit("-"), second)))
-    return F.concat(title, F.when(given == "", _cased(family, last)).otherwise(full))
+    title = F.regexp_extract(value, rf"^(?:{_TITLES})\.?[ ]", 0)
+    return F.concat(title, _once(F.struct(bare_name(value).alias("bare"), surname(value).alias("family")), parts))
 
 
 def surrogate(value: Column, key: str, salts: dict[str, int] | None = None) -> Column:
     """The surrogate of one detected entity; salts: the draws of entities (canonical) that aren't the first."""
-    kind = kind_of(value)
     digits = _digits(value)
-    drawn = hashed(value, key, salts)
     upper = (F.upper(value) == value) & (F.lower(value) != value)
+    drawn = _once(hashed(value, key, salts), lambda d: F.when(upper, F.upper(d)).otherwise(d))
 
     fifteen = F.substring(digits, 1, 15)
     offset = F.pmod(F.substring(digits, 16, 1).cast("int") - _luhn(fifteen), F.lit(10))
@@ -218,9 +222,10 @@ def surrogate(value: Column, key: str, salts: dict[str, int] | None = None) -> C
         lambda s, i: F.struct(s["r"].alias("l"), F.pmod(s["l"] + _number(key, "ip", F.concat_ws("|", i, s["r"])), F.lit(65536)).alias("r")),
         lambda s: F.concat_ws(".", F.expr("0").cast("long") + F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256),
     )
-    return (
-        F.when(kind.isin("email", "token"), F.when(upper, F.upper(drawn)).otherwise(drawn)).when(kind == "name", named(value, key, salts))
-        .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(ip)
+    return _once(
+        kind_of(value),
+        lambda kind: F.when(kind.isin("email", "token"), drawn).when(kind == "name", named(value, key, salts))
+        .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(ip),
     )
 
 
@@ -238,7 +243,7 @@ def check(docs: DataFrame, key: str) -> dict[str, int]:
     known = scratch.table(known, "entities")
     salts: dict[str, int] = {}
     while True:
-        made = F.lower(F.when(F.col("kind") == "name", bare_name(surrogate(F.col("e"), key, salts))).otherwise(surrogate(F.col("e"), key, salts)))
+        made = F.lower(F.when(F.col("kind") == "name", bare_name(named(F.col("e"), key, salts))).otherwise(hashed(F.col("e"), key, salts)))
         drawn = known.select("kind", "c", made.alias("s"))
         both = drawn.select("kind", "s", "c").union(known.select("kind", F.col("c").alias("s"), F.lit(None).cast("string").alias("c")))
         # of those that share one the first keeps it, unless it stands in the corpus
