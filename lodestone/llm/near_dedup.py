@@ -240,15 +240,14 @@ def _left_over(members: DataFrame, found: DataFrame, first: DataFrame, sets: Dat
     keys = tables.table(alive.mapInArrow(_prefixes(counts, num, den), "key long, node long, comp long, n long, apart boolean"), "keys")
     # keys that only one component has are no use
     met = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("apart").alias("any")).filter("lo <> hi AND any").select("key")
-    keys = tables.table(keys.join(met, "key", "left_semi"), "keys")
+    words = [F.element_at("parity", k + 1).alias(f"p{k}") for k in range(PARITY_BITS // 64)]
+    keys = tables.table(keys.join(met, "key", "left_semi").join(sets.select("node", *words), "node"), "keys")
     x, y = keys.filter("apart").alias("x"), keys.alias("y")
-    near = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & near)
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    words = PARITY_BITS // 64
-    both = pairs.join(_side(sets, "a", sa="parity", na="n"), "a").join(_side(sets, "b", sb="parity", nb="n"), "b")
-    differ = sum(F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(words))
-    return both.filter(differ * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    # in the join, so that what can't be within the threshold is never a row
+    differ = sum(F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_BITS // 64))
+    within = F.greatest(differ, F.abs(F.col("x.n") - F.col("y.n"))) * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & within)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
 
 
 def _grouped(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
