@@ -42,7 +42,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: None: SQL has neither the classifier nor the tokenizer; tests compare each stage with a plain version.
+#: None: SQL has neither the classifier nor the tokenizer; tests compare each stage's operator with a plain version.
 ORACLE_SQL = None
 
 
