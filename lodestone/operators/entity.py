@@ -1,13 +1,14 @@
 """Entity resolution: blocks, similarity, components, constrained clusters."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.prefix import saved
+
 
 def block_pairs(df: DataFrame, key: str, block: list[str]) -> DataFrame:
     """Pairs a < b of one block; blocks must be small (see the callers' filters)."""
@@ -21,27 +22,16 @@ def anchor_edges(df: DataFrame, key: str, same: list[str]) -> DataFrame:
     return df.join(low, same).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read back; without one, df.persist()."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/edges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges (a, b) -> node, component (its smallest node): minima spread along edges and labels jump to their label's label."""
-    both = _saved(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = saved(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component"))
     before = None
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         lower = labels.join(near, "node").select("node", F.least("component", "c").alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = _saved(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")))
+        labels = saved(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
         now = labels.agg(F.sum("component"), F.count("*")).first()
         if now == before:
             return labels

@@ -4,37 +4,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.prefix import running, with_ranges
+
+
+def _mid_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, _rank (average of ties), _all: one row a distinct non-null value, so ties (and a hot value) never meet row by row."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    run = running(with_ranges(counts, [*by, value]), F.col("_n"), [value], "_run", by=by, total="_all")
+    return run.select(*by, value, (F.col("_run") - (F.col("_n") - 1) / 2).alias("_rank"), "_all")
+
 
 def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Average-tie rank over the number of non-null values, in (0, 1]; nulls stay null.
+    """Average-tie rank over the number of non-null values, in (0, 1]; nulls stay null."""
+    return percentile_ranks(df, {value: out}, by)
 
-    Two shuffles on aggregates: ranks are made on distinct values, so ties (and a hot value) never
-    meet in one window row by row.
-    """
+
+def percentile_ranks(df: DataFrame, outs: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """percentile_rank of several columns (value -> name of its rank), each ranked on df itself."""
     by = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select(*by, value, ((F.sum("_n").over(run) - (F.col("_n") - 1) / 2) / F.sum("_n").over(w)).alias(out))
-    return df.join(ranked, [*by, value], "left").select(*df.columns, out)
+    done = df
+    for value, out in outs.items():
+        ranked = _mid_ranks(df, value, by).select(*by, value, (F.col("_rank") / F.col("_all")).alias(out))
+        done = done.join(ranked, [*by, value], "left")
+    return done.select(*df.columns, *outs.values())
 
 
 def mid_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Average-tie rank, 1 for the smallest."""
     by = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select(*by, value, (F.sum("_n").over(run) - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranked, [*by, value], "left").select(*df.columns, out)
+    return df.join(_mid_ranks(df, value, by).select(*by, value, F.col("_rank").alias(out)), [*by, value], "left").select(*df.columns, out)
 
 
 def ref_percentile(df: DataFrame, value: str, in_ref: str, out: str) -> DataFrame:
     """Percentile among the reference rows; a row outside them is ranked as if it were added alone."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(in_ref)).alias("_eq"))
-    w = Window.partitionBy(F.lit(0))
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(value, "_eq", F.coalesce(F.sum("_eq").over(run), F.lit(0)).alias("_lt"), F.sum("_eq").over(w).alias("_all"))
+    counts = running(with_ranges(counts, [value]), F.col("_eq"), [value], "_run", total="_all").select(value, "_eq", (F.col("_run") - F.col("_eq")).alias("_lt"), "_all")
     inside = (F.col("_lt") + (F.col("_eq") + 1) / 2) / F.col("_all")
     outside = (F.col("_lt") + (F.col("_eq") + 2) / 2) / (F.col("_all") + 1)
     return df.join(counts, value, "left").withColumn(out, F.when(F.col(in_ref), inside).otherwise(outside)).select(*df.columns, out)
@@ -64,7 +68,7 @@ def latest_per_group(df: DataFrame, by: list[str], order: list[str], columns: li
 
 def dense_code(df: DataFrame, column: str, out: str) -> DataFrame:
     """0-based code of a value in sorted order."""
-    codes = df.select(column).distinct().withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
+    codes = running(with_ranges(df.select(column).distinct(), [column]), F.lit(1), [column], "_run").select(column, (F.col("_run") - 1).alias(out))
     return df.join(codes, column)
 
 
@@ -78,8 +82,7 @@ def mutual_best(edges: DataFrame, left: str, right: str, score: str) -> DataFram
 def topn_inclusion(df: DataFrame, score: str, n: int, out: str) -> DataFrame:
     """Chance of being among the n best when ties at the border share the places left."""
     counts = df.groupBy(score).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_above", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    counts = running(with_ranges(counts, [score]), F.col("_n"), [score], "_run", backward=True).withColumn("_above", F.col("_run") - F.col("_n"))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (n - F.col("_above")) / F.col("_n")))
     return df.join(counts.select(score, share.alias(out)), score).select(*df.columns, out)
 

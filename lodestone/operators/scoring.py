@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import expit
-from lodestone.operators.ranking import percentile_rank
+from lodestone.operators.ranking import percentile_ranks
 
 
 def mean_of(terms: list[Column], strict: bool) -> Column:
@@ -114,8 +114,6 @@ def load_phenotype(text: str) -> dict:
 
 def desert(df: DataFrame, burden: str, access: list[str], by: list[str] | None = None) -> DataFrame:
     """desert: mean of the burden's percentile and of 1 - the percentile of each access measure; null if one is missing."""
-    out = percentile_rank(df, burden, "_p0", by)
-    for i, a in enumerate(access, 1):
-        out = percentile_rank(out, a, f"_p{i}", by)
+    out = percentile_ranks(df, {c: f"_p{i}" for i, c in enumerate([burden, *access])}, by)
     terms = [F.col("_p0"), *[1 - F.col(f"_p{i}") for i in range(1, len(access) + 1)]]
     return out.withColumn("desert", mean_of(terms, strict=True)).drop(*[f"_p{i}" for i in range(len(access) + 1)])

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from math import exp, lgamma
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.prefix import running, with_ranges
 from lodestone.operators.ranking import mid_rank
 
 
@@ -31,22 +32,26 @@ def standardized_rate(df: DataFrame, by: list[str], cell: str, y: str, w: str, s
     return cells.join(F.broadcast(standard), cell).groupBy(*by).agg((F.sum(F.col("_m") * F.col(share)) / F.sum(share)).alias("rate"))
 
 
+def _numbered(df: DataFrame, p: str, key: str) -> DataFrame:
+    """The rows with a p-value, in ranges, with _i (place from the smallest) and _n (how many)."""
+    return running(with_ranges(df.filter(F.col(p).isNotNull()), [p, key]), F.lit(1), [p, key], "_i", total="_n")
+
+
+def _with_nulls(adjusted: DataFrame, df: DataFrame, p: str, out: str) -> DataFrame:
+    nulls = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return adjusted.withColumn(out, F.least(F.lit(1.0), F.col(out))).select(*df.columns, out).unionByName(nulls)
+
+
 def bh_adjust(df: DataFrame, p: str, key: str, out: str) -> DataFrame:
-    """Step-up adjusted p-values; nulls stay null and don't count."""
-    part = F.col(p).isNotNull()
-    up = Window.partitionBy(part).orderBy(p, key)
-    down = Window.partitionBy(part).orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy(part)))
-    return ranked.withColumn(out, F.when(part, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_i")).over(down)))).drop("_i", "_n")
+    """Step-up adjusted p-values; nulls stay null and don't count.  key tells rows apart."""
+    up = running(_numbered(df, p, key), F.col(p) * F.col("_n") / F.col("_i"), [p, key], out, "min", backward=True)
+    return _with_nulls(up, df, p, out)
 
 
 def holm_adjust(df: DataFrame, p: str, key: str, out: str) -> DataFrame:
-    """Step-down adjusted p-values; nulls stay null and don't count."""
-    part = F.col(p).isNotNull()
-    up = Window.partitionBy(part).orderBy(p, key)
-    ranked = df.withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy(part)))
-    run = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn(out, F.when(part, F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_n") - F.col("_i") + 1)).over(run)))).drop("_i", "_n")
+    """Step-down adjusted p-values; nulls stay null and don't count.  key tells rows apart."""
+    down = running(_numbered(df, p, key), F.col(p) * (F.col("_n") - F.col("_i") + 1), [p, key], out, "max")
+    return _with_nulls(down, df, p, out)
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -59,10 +64,9 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
 
 def sens_at_spec(df: DataFrame, score: str, label: str, spec: float) -> DataFrame:
     """Share of cases above the ceil(spec n)-th smallest control score."""
-    counts = df.filter(F.col(label) == 0).groupBy(score).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy(F.lit(0))
-    cut = counts.withColumn("_run", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(all_)).filter(F.col("_run") >= F.ceil(F.col("_all") * spec)).agg(F.min(score).alias("threshold"))
+    counts = df.filter((F.col(label) == 0) & F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"))
+    run = running(with_ranges(counts, [score]), F.col("_n"), [score], "_run", total="_all")
+    cut = run.filter(F.col("_run") >= F.ceil(F.col("_all") * spec)).agg(F.min(score).alias("threshold"))
     return df.filter(F.col(label) == 1).crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("sensitivity"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import scoring
-from lodestone.operators.ranking import percentile_rank
+from lodestone.operators.prefix import saved
+from lodestone.operators.ranking import percentile_rank, percentile_ranks
 from lodestone.plans.common import plan, read
 
 _PCT = "(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0) / count(*) OVER ()"
@@ -37,9 +38,7 @@ s AS (SELECT n_nationkey, n_name, round(0.4 * burden_p + 0.4 * (burden_p + 1 - c
 SELECT n_nationkey, n_name, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, n_nationkey)::INT AS place FROM s ORDER BY place LIMIT 10""")
 def rank_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which nations should get a deployment first: top ten by a weighted composite."""
-    a = areas(spark, sf_dir)
-    for v in ("burden", "capacity", "readiness"):
-        a = percentile_rank(a, v, f"{v}_p")
+    a = percentile_ranks(saved(areas(spark, sf_dir), "areas"), {v: f"{v}_p" for v in ("burden", "capacity", "readiness")})
     a = a.withColumn("desert", scoring.mean_of([F.col("burden_p"), 1 - F.col("capacity_p")], strict=True))
     score = F.round(scoring.weighted_composite({k: F.col(k) for k in WEIGHTS}, WEIGHTS), 9)
     a = a.withColumn("score", score)
@@ -50,7 +49,7 @@ def rank_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"""WITH a AS ({_AREAS}), p AS (SELECT *, {_PCT.format(x="burden")} AS b, {_PCT.format(x="capacity")} AS c, {_PCT.format(x="readiness")} AS r FROM a) SELECT n_nationkey, round((b + (1 - c) + (1 - r)) / 3, 9) AS desert FROM p""")
 def desert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.desert(areas(spark, sf_dir), "burden", ["capacity", "readiness"]).select("n_nationkey", F.round("desert", 9).alias("desert"))
+    return scoring.desert(saved(areas(spark, sf_dir), "areas"), "burden", ["capacity", "readiness"]).select("n_nationkey", F.round("desert", 9).alias("desert"))
 
 
 @plan("""WITH m AS (SELECT c_nationkey, c_mktsegment, CASE WHEN count(*) >= 8 THEN avg(c_acctbal) END AS v FROM customer GROUP BY 1, 2), a AS (SELECT c_nationkey, avg(v) AS m, count(v) AS n FROM m GROUP BY 1)
@@ -70,9 +69,7 @@ _SETS = {"equal": (1.0, 1.0, 1.0), "burden_first": (3.0, 1.0, 1.0), "no_burden":
 w AS (SELECT * FROM (VALUES ('equal', 1.0, 1.0, 1.0), ('burden_first', 3.0, 1.0, 1.0), ('no_burden', 0.0, 1.0, 1.0)) t(name, wb, wc, wr))
 SELECT name, n_nationkey, round((coalesce(wb * b, 0) + wc * c + wr * r) / (CASE WHEN b IS NULL THEN 0 ELSE wb END + wc + wr), 9) AS score FROM p, w""")
 def weight_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = areas(spark, sf_dir)
-    for v in ("burden", "capacity", "readiness"):
-        a = percentile_rank(a, v, f"{v}_p")
+    a = percentile_ranks(saved(areas(spark, sf_dir), "areas"), {v: f"{v}_p" for v in ("burden", "capacity", "readiness")})
     values = {"b": F.when(F.col("n_nationkey") % 6 != 0, F.col("burden_p")), "c": F.col("capacity_p"), "r": F.col("readiness_p")}
     scores = [F.struct(F.lit(n).alias("name"), F.round(scoring.weighted_composite(values, dict(zip("bcr", w, strict=True))), 9).alias("score")) for n, w in _SETS.items()]
     return a.select("n_nationkey", F.explode(F.array(*scores)).alias("s")).select("s.name", "n_nationkey", "s.score")
@@ -93,7 +90,7 @@ SELECT n_nationkey, round({_PCT.format(x="burden")}, 9) AS score, coalesce(later
 def asof_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The burden's percentile as of a date, beside what came after it."""
     o, c = read(spark, sf_dir, "orders", "customer")
-    then = percentile_rank(areas(spark, sf_dir, scoring.as_of(o, "o_orderdate", _CUT)), "burden", "score")
+    then = percentile_rank(saved(areas(spark, sf_dir, scoring.as_of(o, "o_orderdate", _CUT)), "areas"), "burden", "score")
     later = o.filter(F.col("o_orderdate") > F.lit(_CUT).cast("timestamp_ntz")).join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("later"))
     return then.join(later, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", F.round("score", 9).alias("score"), F.coalesce("later", F.lit(0)).alias("later"))
 
