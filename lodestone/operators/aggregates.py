@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.prefix import running, with_ranges
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """sum(w x) / sum(w) over rows where both are there; null without weight."""
@@ -45,10 +47,8 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q:
     Weights are summed by distinct value first.
     """
     sums = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = (F.sum("_w").over(run) - F.col("_w") / 2) / F.sum("_w").over(w)
-    rows = sums.withColumn("_p", at)
+    rows = running(with_ranges(sums, [*by, value]), F.col("_w"), [value], "_run", by=by, total="_all")
+    rows = rows.withColumn("_p", (F.col("_run") - F.col("_w") / 2) / F.col("_all"))
     low = F.max(F.when(F.col("_p") <= q, F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))))
     high = F.min(F.when(F.col("_p") >= q, F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))))
     got = rows.groupBy(*by).agg(low.alias("_l"), high.alias("_h"))

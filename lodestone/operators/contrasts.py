@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.prefix import running, with_ranges
+
 
 def welch_t(df: DataFrame, keys: list[str], value: str, group: Column) -> DataFrame:
     """keys, n1, n0, t, df: unequal-variance t of rows where group is true against the rest; nulls skipped, t null with under two in a group."""
@@ -27,9 +29,8 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: Column) -> D
     Values are counted before they are ranked, so ties take one row a key and value.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(group).alias("c1"), F.count_if(~group).alias("c0"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("c0").over(w), F.lit(0))
-    ranked = counts.withColumn("u", F.col("c1") * (below + F.col("c0") / 2.0))
+    run = running(with_ranges(counts, [*keys, value]), F.col("c0"), [value], "_run", by=keys)
+    ranked = run.withColumn("u", F.col("c1") * (F.col("_run") - F.col("c0") / 2.0))
     return ranked.groupBy(*keys).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.sum("u").alias("u"))
 
 
@@ -54,9 +55,9 @@ def precision_at(df: DataFrame, score: str, positive: Column, ids: list[str], ks
 def youden(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """keys, threshold, j: the largest sensitivity + specificity - 1 of `score >= threshold`, the smallest such threshold on ties."""
     counts = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    every = Window.partitionBy(*keys)
-    from_top = every.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp, p, q = F.sum("p").over(from_top), F.sum("q").over(from_top), F.sum("p").over(every), F.sum("q").over(every)
+    hits = running(with_ranges(counts, [*keys, score]), F.col("p"), [score], "_tp", backward=True, by=keys, total="_p")
+    counts = running(hits, F.col("q"), [score], "_fp", backward=True, by=keys, total="_q")
+    tp, fp, p, q = F.col("_tp"), F.col("_fp"), F.col("_p"), F.col("_q")
     # cross-multiplied, so that ties are exact
     scaled = counts.select(*keys, F.col(score).alias("threshold"), (tp * q - fp * p).alias("x"), (p * q).alias("pq"))
     best = scaled.filter("pq > 0").groupBy(*keys).agg(F.min_by(F.struct("threshold", "x", "pq"), F.struct(-F.col("x"), "threshold")).alias("b"))

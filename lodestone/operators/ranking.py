@@ -47,8 +47,16 @@ def ref_percentile(df: DataFrame, value: str, in_ref: str, out: str) -> DataFram
 def rank_eligible(df: DataFrame, score: str, eligible: Column, key: list[str], out: str, by: list[str] | None = None) -> DataFrame:
     """1 for the best score among eligible rows, ties by key; null for rows without a score or not eligible."""
     ok = F.coalesce(eligible, F.lit(False)) & F.col(score).isNotNull()
-    w = Window.partitionBy(*(by or []), ok).orderBy(F.col(score).desc_nulls_last(), *key)
-    return df.withColumn(out, F.when(ok, F.row_number().over(w)))
+    rows = df.withColumn("_ok", ok)
+    ranked = number_rows(rows.filter("_ok"), F.col(score), key, out, by)
+    return ranked.unionByName(rows.filter("NOT _ok").withColumn(out, F.lit(None).cast("long"))).drop("_ok")
+
+
+def number_rows(df: DataFrame, best: Column, key: list[str], out: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """1 for the row with the largest number `best` (not null), ties by key, which tells rows apart; total names a column for how many there are."""
+    by = by or []
+    ranged = with_ranges(df.withColumn("_worst", -best), [*by, "_worst", *key])
+    return running(ranged, F.lit(1), ["_worst", *key], out, by=by, total=total).drop("_worst", "_range")
 
 
 def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rn") -> DataFrame:

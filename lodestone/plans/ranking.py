@@ -41,7 +41,7 @@ SELECT s_nationkey, p_brand, row_number() OVER (ORDER BY v DESC, s_nationkey, p_
 def joint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, s, p = read(spark, sf_dir, "lineitem", "supplier", "part")
     x = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "p_brand").agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
-    return x.select("s_nationkey", "p_brand", F.row_number().over(Window.orderBy(F.col("v").desc(), "s_nationkey", "p_brand")).cast("long").alias("rn"))
+    return ranking.number_rows(x, F.col("v"), ["s_nationkey", "p_brand"], "rn").select("s_nationkey", "p_brand", "rn")
 
 
 @plan("WITH d AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)) SELECT p_partkey, code FROM part JOIN d USING (p_brand)")
@@ -123,10 +123,9 @@ SELECT round(avg(y) FILTER (rn <= ceil(n / 10.0)), 6) AS hit_rate, round(avg(y),
 def decile_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = read(spark, sf_dir, "documents", "labels")
     j = d.select("doc_id", "n_chars").join(l, "doc_id")
-    n = j.count()
-    top = j.orderBy(F.col("n_chars").desc(), "doc_id").limit(-(-n // 10)).agg(F.avg("quality").alias("hit"))
-    base = j.agg(F.avg("quality").alias("base"))
-    return top.crossJoin(base).select(F.round("hit", 6).alias("hit_rate"), F.round("base", 6).alias("base_rate"), F.round(F.try_divide("hit", "base"), 6).alias("lift"))
+    ranked = ranking.number_rows(j, F.col("n_chars"), ["doc_id"], "rn", total="n")
+    both = ranked.agg(F.avg(F.when(F.col("rn") <= F.ceil(F.col("n") / 10), F.col("quality"))).alias("hit"), F.avg("quality").alias("base"))
+    return both.select(F.round("hit", 6).alias("hit_rate"), F.round("base", 6).alias("base_rate"), F.round(F.try_divide("hit", "base"), 6).alias("lift"))
 
 
 @plan("""WITH s AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
