@@ -29,7 +29,7 @@ def taylor_mean(df: DataFrame, y: str, w: str, stratum: str, psu: str, domain: C
 def standardized_rate(df: DataFrame, by: list[str], cell: str, y: str, w: str, standard: DataFrame, share: str) -> DataFrame:
     """Weighted mean by cell, then averaged with the standard's shares over the cells that are there."""
     cells = df.groupBy(*by, cell).agg((F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("_m"))
-    return cells.join(F.broadcast(standard), cell).groupBy(*by).agg((F.sum(F.col("_m") * F.col(share)) / F.sum(share)).alias("rate"))
+    return cells.join(standard, cell).groupBy(*by).agg((F.sum(F.col("_m") * F.col(share)) / F.sum(share)).alias("rate"))
 
 
 def _numbered(df: DataFrame, p: str, key: str) -> DataFrame:

@@ -108,10 +108,10 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.permutation_p(_xy(spark, sf_dir), "x", "y", "doc_id", 200, 5)
 
 
-@plan("""WITH b AS (SELECT c_nationkey, c_mktsegment, c_custkey FROM customer WHERE c_acctbal > 9000) SELECT x.c_custkey AS a, y.c_custkey AS b FROM b x JOIN b y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_custkey < y.c_custkey""")
+@plan("""WITH b AS (SELECT c_nationkey, c_mktsegment, floor(c_acctbal / 100) AS band, c_custkey FROM customer) SELECT x.c_custkey AS a, y.c_custkey AS b FROM b x JOIN b y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.band = y.band AND x.c_custkey < y.c_custkey""")
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     (c,) = read(spark, sf_dir, "customer")
-    return entity.block_pairs(c.filter("c_acctbal > 9000"), "c_custkey", ["c_nationkey", "c_mktsegment"])
+    return entity.block_pairs(c.withColumn("band", F.floor(F.col("c_acctbal") / 100)), "c_custkey", ["c_nationkey", "c_mktsegment", "band"])
 
 
 @plan("""SELECT a, b FROM (SELECT s_suppkey AS b, min(s_suppkey) OVER (PARTITION BY s_nationkey, floor(s_acctbal / 1000)) AS a FROM supplier) WHERE a <> b""")
@@ -126,11 +126,12 @@ def group_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("anchor"), F.count("*").alias("n"))
 
 
-@plan("""WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT l_suppkey AS a, 1 + (l_partkey * 7) % 400 AS b FROM lineitem WHERE l_quantity > 49.5 AND l_discount > 0.095) WHERE a <> b),
+@plan("""WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT c_custkey AS a, CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey // 2 END AS b FROM customer) WHERE a <> b),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (l,) = read(spark, sf_dir, "lineitem")
-    edges = l.filter("l_quantity > 49.5 AND l_discount > 0.095").select(F.col("l_suppkey").alias("a"), (1 + (F.col("l_partkey") * 7) % 400).alias("b"))
+    """Trees over all customers: each hangs on the one of half its key, but for the roots."""
+    (c,) = read(spark, sf_dir, "customer")
+    edges = c.select(F.col("c_custkey").cast("long").alias("a"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey div 2 END").cast("long").alias("b"))
     return entity.components(edges)
 
 

@@ -49,15 +49,15 @@ def first_rank_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", F.when(F.col("r") == 1, 0).otherwise((F.ceil((F.col("r") - 1) * 10.0 / (F.col("n") - 1)) - 1).cast("int")).alias("bin"))
 
 
-@plan("""WITH m AS (SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS p, c_nationkey AS x FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000),
+@plan("""WITH m AS (SELECT DISTINCT c_mktsegment AS s, o_orderpriority AS p, c_custkey AS x FROM orders JOIN customer ON o_custkey = c_custkey),
 a AS (SELECT DISTINCT s, x FROM m), b AS (SELECT DISTINCT p, x FROM m), na AS (SELECT s, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT p, count(*) AS nb FROM b GROUP BY 1)
 SELECT s, p, count(*) AS both_n, any_value(na) AS s_n, any_value(nb) AS p_n FROM a JOIN b USING (x) JOIN na USING (s) JOIN nb USING (p) GROUP BY 1, 2""")
 def set_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared elements of every pair of sets from two sources, with both sizes."""
     o, c = read(spark, sf_dir, "orders", "customer")
-    m = o.filter("o_totalprice > 250000").join(c, o.o_custkey == c.c_custkey)
-    a = m.select(F.col("c_mktsegment").alias("s"), F.col("c_nationkey").alias("x")).distinct()
-    b = m.select(F.col("o_orderpriority").alias("p"), F.col("c_nationkey").alias("x")).distinct()
+    m = o.join(c, o.o_custkey == c.c_custkey)
+    a = m.select(F.col("c_mktsegment").alias("s"), F.col("c_custkey").alias("x")).distinct()
+    b = m.select(F.col("o_orderpriority").alias("p"), F.col("c_custkey").alias("x")).distinct()
     sizes = [a.groupBy("s").agg(F.count("*").alias("s_n")), b.groupBy("p").agg(F.count("*").alias("p_n"))]
     return a.join(b, "x").groupBy("s", "p").agg(F.count("*").alias("both_n")).join(sizes[0], "s").join(sizes[1], "p").select("s", "p", "both_n", "s_n", "p_n")
 
@@ -182,10 +182,10 @@ def yearly_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "y", "full_outer").select("y", "orders_total", "lines_total")
 
 
-@plan("""WITH m AS (SELECT DISTINCT event_type AS e, user_id FROM events WHERE value > 100)
+@plan("""WITH m AS (SELECT DISTINCT event_type AS e, user_id FROM events)
 SELECT a.e AS a, b.e AS b, count(*) AS shared FROM m a JOIN m b ON a.user_id = b.user_id AND a.e < b.e GROUP BY 1, 2""")
 def linkage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers that every pair of modalities shares."""
     (e,) = read(spark, sf_dir, "events")
-    m = e.filter("value > 100").select(F.col("event_type").alias("a"), "user_id").distinct()
+    m = e.select(F.col("event_type").alias("a"), "user_id").distinct()
     return m.join(m.withColumnRenamed("a", "b"), "user_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -62,12 +62,12 @@ def except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id")).subtract(l.filter("l_quantity > 48").select("l_partkey"))
 
 
-@plan("""WITH m AS (SELECT DISTINCT l_returnflag AS s, l_suppkey AS x FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.08), n AS (SELECT s, count(*) AS n FROM m GROUP BY 1),
+@plan("""WITH m AS (SELECT DISTINCT l_returnflag AS s, l_orderkey AS x FROM lineitem), n AS (SELECT s, count(*) AS n FROM m GROUP BY 1),
 p AS (SELECT a.s AS a, b.s AS b, count(*) AS both_n FROM m a JOIN m b ON a.x = b.x AND a.s < b.s GROUP BY 1, 2)
 SELECT a, b, both_n, round(both_n / (na.n + nb.n - both_n), 6) AS jaccard FROM p JOIN n na ON na.s = a JOIN n nb ON nb.s = b""")
 def overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     (l,) = read(spark, sf_dir, "lineitem")
-    m = l.filter("l_quantity > 45 AND l_discount > 0.08").select(F.col("l_returnflag").alias("s"), F.col("l_suppkey").alias("x")).distinct()
+    m = l.select(F.col("l_returnflag").alias("s"), F.col("l_orderkey").alias("x")).distinct()
     return reshape.set_overlap(m, "s", "x").select("a", "b", "both_n", F.round("jaccard", 6).alias("jaccard"))
 
 
