@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, exact_dedup, language, licences, line_dedup, near_dedup, pieces, pii, urls, warc
+from lodestone.llm import centroids, decontamination, exact_dedup, language, licences, line_dedup, near_dedup, pieces, pii, resampling, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.mask(_read(spark, sf_dir, "documents"), key=PII_KEY).select("doc_id", "n_entities", "text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_read(spark, sf_dir, "embeddings"))
+
+
 #: The key of the registered query; in production it comes from a secret store.
 PII_KEY = "registered-query"
 
@@ -79,6 +87,7 @@ QUERIES = {
     for f in (
         op1_sentencepiece, op2_near_dedup, op3_language_id, op4_decontamination, op5_licence_scan,
         op6_line_dedup, op7_exact_dedup, op8_warc_revisits, op9_url_filter, op10_pii_surrogates,
+        op11_importance_resampling, op13_centroid_clustering,
     )
 }
 
@@ -119,4 +128,6 @@ SELECT record_id, canonical_url, ts, resolution, CASE WHEN resolution = 'resolve
   (CASE WHEN NOT again OR resolution = 'resolved' THEN ';content-type=text/html' ELSE '' END) || ';date=' || ts || ';etag=' || raw_tag AS headers
 FROM judged""",
     "op9_url_filter": urls.oracle(),
+    "op11_importance_resampling": resampling.oracle(),
+    "op13_centroid_clustering": centroids.oracle(),
 }
