@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import centroids, decontamination, exact_dedup, language, licences, line_dedup, near_dedup, pieces, pii, resampling, urls, warc
+from lodestone.llm import centroids, decontamination, exact_dedup, language, licences, line_dedup, near_dedup, pieces, pii, resampling, set_join, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(_read(spark, sf_dir, "embeddings"))
 
@@ -87,7 +91,7 @@ QUERIES = {
     for f in (
         op1_sentencepiece, op2_near_dedup, op3_language_id, op4_decontamination, op5_licence_scan,
         op6_line_dedup, op7_exact_dedup, op8_warc_revisits, op9_url_filter, op10_pii_surrogates,
-        op11_importance_resampling, op13_centroid_clustering,
+        op11_importance_resampling, op12_ngram_jaccard_join, op13_centroid_clustering,
     )
 }
 
@@ -129,5 +133,16 @@ SELECT record_id, canonical_url, ts, resolution, CASE WHEN resolution = 'resolve
 FROM judged""",
     "op9_url_filter": urls.oracle(),
     "op11_importance_resampling": resampling.oracle(),
+    "op12_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM w WHERE len(w) > 0),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g FROM placed),
+  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+  both_ways AS (FROM links UNION ALL SELECT b, a FROM links),
+  reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON a = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(first, doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS first FROM reach GROUP BY node) USING (doc_id)""",
     "op13_centroid_clustering": centroids.oracle(),
 }
