@@ -1,43 +1,10 @@
-"""Places: points in polygons with a snap to the nearest, population near sites, and co-location."""
+"""Places: population near sites, and co-location."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def inside(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point is in a closed ring (array of x, y; the first vertex again at the end), by counting crossings to its right."""
-    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def crosses(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        return ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
-
-    return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-
-
-def cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
-
-
-def points_in_polygons(points: DataFrame, key: str, polygons: DataFrame, name: str, cell: float, snap: float) -> DataFrame:
-    """points (key, x, y), polygons (name, ring) -> key, name, method.
-
-    Both meet by the grid cells of `cell` that a polygon's bounding box touches (widened by `snap`), so it is an equi-join.
-    `inside`: the smallest name of those that hold the point; else `snapped`: the polygon whose nearest
-    vertex is nearest, up to `snap` away; else null and `none`.
-    """
-    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    boxed = polygons.select(name, "ring", F.explode(cells(F.array_min(xs) - snap, F.array_max(xs) + snap, cell)).alias("_cx"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
-    boxed = boxed.select(name, "ring", "_cx", F.explode(cells(F.col("_y0") - snap, F.col("_y1") + snap, cell)).alias("_cy"))
-    at = points.select(key, "x", "y", F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
-    away = F.array_min(F.transform("ring", lambda v: F.sqrt(F.pow(v["x"] - F.col("x"), 2) + F.pow(v["y"] - F.col("y"), 2))))
-    met = at.join(boxed, ["_cx", "_cy"]).select(key, name, inside(F.col("x"), F.col("y"), F.col("ring")).alias("_in"), away.alias("_d"))
-    best = met.filter(F.col("_in") | (F.col("_d") <= snap)).groupBy(key).agg(F.min(F.struct((~F.col("_in")).alias("out"), F.when(F.col("_in"), 0.0).otherwise(F.col("_d")).alias("d"), F.col(name))).alias("_b"))
-    method = F.when(F.col("_b").isNull(), "none").when(F.col("_b.out"), "snapped").otherwise("inside")
-    return points.select(key).join(best, key, "left").select(key, F.col(f"_b.{name}").alias(name), method.alias("method"))
-
-
 def near_any(points: DataFrame, key: str, sites: DataFrame, radius: float) -> DataFrame:
     """points (key, x, y, ..) with `near`: whether a site (x, y) lies within radius; sites are spread over the nine cells around them."""
     offsets = F.sequence(F.lit(-1), F.lit(1))

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators import places, records
+from lodestone.operators import records
 from lodestone.operators import timeseries as T
 
 
@@ -22,14 +22,6 @@ def test_bouts_and_gaps(spark):
     assert rest == {"p": (0, 11), "q": (0, 11), "r": (0, 5)}
 
 
-def test_points_in_polygons(spark):
-    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
-    polygons = spark.createDataFrame([("sq", [{"x": x, "y": y} for x, y in square])], "name string, ring array<struct<x: double, y: double>>")
-    points = spark.createDataFrame([(1, 2.0, 2.0), (2, 4.5, 4.5), (3, 9.0, 9.0), (4, -0.1, 2.0), (5, None, 1.0)], "k int, x double, y double")
-    got = {r.k: (r.name, r.method) for r in places.points_in_polygons(points, "k", polygons, "name", 2.0, 1.0).collect()}
-    assert got == {1: ("sq", "inside"), 2: ("sq", "snapped"), 3: (None, "none"), 4: (None, "none"), 5: (None, "none")}
-
-
 def test_ranks_limits_and_coverage(spark):
     df = spark.createDataFrame([(1, 5.0, True), (2, 5.0, True), (3, 4.0, True), (4, 9.0, False), (5, None, True)], "id int, s double, ok boolean").withColumn("g", F.lit("x"))
     assert {r.id: r.rk for r in records.competition_rank(df, "s", F.col("ok"), ["g"], "rk").collect()} == {1: 1, 2: 1, 3: 3, 4: None, 5: None}
