@@ -211,10 +211,11 @@ def _choices(bands: Bands):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
+                k, m = (int(x[0]) for x in bands.of(np.array([row["n"]]), not row["home"]))
                 at = np.array([x["segment"] for x in row["costs"]])
-                one, two = (np.array([x[c] for x in row["costs"]], float) for c in ("one", "two"))
-                k = int(bands.of(np.array([row["n"]]), not row["home"])[0][0])
-                v = allocated(one, two, bands.wanted(row["n"], k))
+                one, two = np.zeros(m), np.zeros(m)  # a segment that isn't listed costs nothing
+                one[at], two[at] = [x["one"] for x in row["costs"]], [x["two"] for x in row["costs"]]
+                v = allocated(one, two, bands.wanted(row["n"], k))[at]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), row["node"])), pa.array(np.full(len(v), row["home"])), pa.array(at), pa.array(v.astype(np.int32))], ["node", "home", "segment", "choice"])
 
     return run
@@ -261,14 +262,15 @@ def _open_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, sets: Da
     shape = "node long, comp long, home boolean, segment long, key long, kind int, level int"
     looks = tables.table(heavy.join(sets, "node").select("node", "comp", "home", "shingles").mapInArrow(_lookups(bands), shape), "looks")
     met = tables.table(index.groupBy("key", "kind", "comp").agg(F.count("*").alias("own")), "met")
-    of_key = met.groupBy("key", "kind").agg(F.sum("own").alias("entries"))
-    cost = looks.join(of_key, ["key", "kind"], "left").join(met, ["key", "kind", "comp"], "left").withColumn("cost", F.coalesce("entries", F.lit(0)) - F.coalesce("own", F.lit(0)))
+    # look-ups that meet another component's entries; all others cost nothing and find nothing
+    hits = looks.join(met.groupBy("key", "kind").agg(F.sum("own").alias("entries")), ["key", "kind"]).join(met, ["key", "kind", "comp"], "left")
+    hits = tables.table(hits.withColumn("cost", F.col("entries") - F.coalesce("own", F.lit(0))).filter("cost > 0").drop("entries", "own"), "hits")
     split = lambda level: F.sum(F.when(F.col("level") == level, F.col("cost")).otherwise(0))
-    costs = cost.groupBy("node", "home", "segment").agg(split(1).alias("one"), split(2).alias("two"))
-    # a row for each set and scheme, as long as the set has segments
+    costs = hits.groupBy("node", "home", "segment").agg(split(1).alias("one"), split(2).alias("two"))
+    # a row for each set and scheme, at most as long as the set has segments
     costs = costs.groupBy("node", "home").agg(F.collect_list(F.struct("segment", "one", "two")).alias("costs")).join(heavy.select("node", "home", "n"), ["node", "home"])
     choices = tables.table(costs.mapInArrow(_choices(bands), "node long, home boolean, segment long, choice int"), "choices")
-    y = looks.join(choices, ["node", "home", "segment"]).filter("choice >= level").join(narrow, "node").alias("y")
+    y = hits.join(choices, ["node", "home", "segment"]).filter("choice >= level").join(narrow, "node").alias("y")
     x = index.join(narrow, "node").alias("x")
     more = y.join(x, (F.col("x.key") == F.col("y.key")) & (F.col("x.kind") == F.col("y.kind")) & wanted)
     return pairs.union(more.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))).distinct()
