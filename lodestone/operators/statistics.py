@@ -107,31 +107,3 @@ def over_representation(items: DataFrame, library: DataFrame, item: str, term: s
     flagged = library.select(item, term).distinct().join(drawn.withColumn("_hit", F.lit(1)), item, "left")
     counts = flagged.groupBy(term).agg(F.count("_hit").alias("hits"), F.count("*").alias("size")).crossJoin(sizes)
     return counts.withColumn("fold", F.try_divide(F.col("hits") * F.col("background"), F.col("size") * F.col("drawn")))
-
-
-def poisson_bootstrap_mean(df: DataFrame, value: str, key: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean over Poisson(1) resamples, whose weights are a hash of key and draw.
-
-    Every task sums its rows for all draws at once (one partial aggregate of 2 x draws numbers), so no row is copied.
-    """
-    u = [F.pmod(F.xxhash64(F.lit(seed), F.lit(d), F.col(key)), F.lit(1 << 30)) / float(1 << 30) for d in range(draws)]
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    weight = [sum((x > c).cast("int") for c in cuts) for x in u]
-    sums = df.filter(F.col(value).isNotNull()).agg(*[F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias(f"m{d}") for d, w in enumerate(weight)])
-    means = sums.select(F.explode(F.array(*[f"m{d}" for d in range(draws)])).alias("m"))
-    tail = (1 - level) / 2
-    return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.count("*").alias("draws"))
-
-
-def permutation_p(df: DataFrame, value: str, label: str, key: str, draws: int, seed: int) -> DataFrame:
-    """(1 + draws at least as extreme) / (1 + draws) for the difference of means, labels dealt anew by a hash.
-
-    Each draw gives every row a hash and takes as cases those below the case share, so group sizes vary about theirs.
-    """
-    rows = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    u = [F.pmod(F.xxhash64(F.lit(seed), F.lit(d), F.col(key)), F.lit(1 << 30)) / float(1 << 30) < share for d in range(draws)]
-    gap = lambda c: F.avg(F.when(c, F.col(value))) - F.avg(F.when(~c, F.col(value)))
-    one = rows.agg(gap(F.col(label) == 1).alias("observed"), F.array(*[gap(c) for c in u]).alias("null"))
-    more = F.size(F.filter("null", lambda x: F.abs(x) >= F.abs(F.col("observed"))))
-    return one.select("observed", ((more + 1) / (draws + 1)).alias("p"), F.lit(draws).alias("draws"))

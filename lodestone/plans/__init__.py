@@ -9,6 +9,7 @@ from lodestone.plans import (  # noqa: F401
     predicates,
     ranking,
     records,
+    resampling,
     reshaping,
     scalar,
     scoring,

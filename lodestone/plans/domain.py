@@ -97,17 +97,6 @@ def ora_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("term", "hits", "size", "drawn", "background", F.round("fold", 9).alias("fold"))
 
 
-@plan()
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (o,) = read(spark, sf_dir, "orders")
-    return statistics.poisson_bootstrap_mean(o, "o_totalprice", "o_orderkey", 200, 11)
-
-
-@plan()
-def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.permutation_p(_xy(spark, sf_dir), "x", "y", "doc_id", 200, 5)
-
-
 @plan("""WITH b AS (SELECT c_nationkey, c_mktsegment, floor(c_acctbal / 100) AS band, c_custkey FROM customer) SELECT x.c_custkey AS a, y.c_custkey AS b FROM b x JOIN b y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.band = y.band AND x.c_custkey < y.c_custkey""")
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     (c,) = read(spark, sf_dir, "customer")
