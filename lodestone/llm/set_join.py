@@ -41,6 +41,8 @@ PARITY_BITS = 512
 WORDS = [f"p{k}" for k in range(PARITY_BITS // 64)]
 #: Sizes of sets that bands are made for.
 LARGEST = 1 << 40
+#: Slots of the filter of either kind of index entries, at most.
+FILTER = 1 << 25
 
 
 class Bands:
@@ -178,18 +180,37 @@ def _index(bands: Bands):
     return run
 
 
-def _lookups(bands: Bands):
-    """node, comp, home, shingles -> every look-up that a choice of 1 or 2 in a segment takes: key, kind to look in, level of the choice."""
+def _known(index: DataFrame) -> np.ndarray:
+    """A filter of the index's keys, as bits: which slots of either kind have a key; of a bounded size, so that it only leaves out look-ups that meet nothing."""
+    slots = min(FILTER, 1 << max(15, (16 * index.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(slots - 1) + F.col("kind") * slots + 1
+    rows = index.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    out = np.zeros((2 * slots) // 8, np.uint8)
+    for block, bits in rows.collect():  # at most 2 * FILTER bits
+        out[(block - 1) * 4096 : block * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def may_meet(known: np.ndarray, keys: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    slots = len(known) * 4
+    slot = (keys & np.int64(slots - 1)) + kind * slots
+    return (known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _lookups(bands: Bands, known: np.ndarray):
+    """node, comp, home, shingles -> the look-ups that a choice of 1 or 2 in a segment takes and the filter doesn't rule out: key, kind to look in, level of the choice."""
 
     def run(batches):
         for row, s in _each(batches):
             exact, segment, without = neighbourhood(s, bands, not row["home"])
-            m, n = len(exact), 2 * len(exact) + len(without)
+            m = len(exact)
             parts = (m, m, len(without))
-            out = [
-                pa.array(np.full(n, row["node"])), pa.array(np.full(n, row["comp"])), pa.array(np.full(n, row["home"])), pa.array(np.concatenate([np.arange(m), np.arange(m), segment]).astype(np.int64)),
-                pa.array(np.concatenate([exact, exact, without])), pa.array(np.repeat(np.array([0, 1, 0], np.int32), parts)), pa.array(np.repeat(np.array([1, 2, 2], np.int32), parts)),
-            ]
+            key, kind = np.concatenate([exact, exact, without]), np.repeat(np.array([0, 1, 0], np.int32), parts)
+            at = np.concatenate([np.arange(m), np.arange(m), segment]).astype(np.int64)
+            ok = may_meet(known, key, kind)
+            n = int(ok.sum())
+            level = np.repeat(np.array([1, 2, 2], np.int32), parts)
+            out = [pa.array(np.full(n, row["node"])), pa.array(np.full(n, row["comp"])), pa.array(np.full(n, row["home"])), pa.array(at[ok]), pa.array(key[ok]), pa.array(kind[ok]), pa.array(level[ok])]
             yield pa.RecordBatch.from_arrays(out, ["node", "comp", "home", "segment", "key", "kind", "level"])
 
     return run
@@ -260,7 +281,7 @@ def _open_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, sets: Da
     targets = open_.filter("home").join(reached, "key", "left_semi").select("node", "comp").distinct()
     index = tables.table(targets.join(sets, "node").mapInArrow(_index(bands), "key long, kind int, node long, comp long"), "index")
     shape = "node long, comp long, home boolean, segment long, key long, kind int, level int"
-    looks = tables.table(heavy.join(sets, "node").select("node", "comp", "home", "shingles").mapInArrow(_lookups(bands), shape), "looks")
+    looks = tables.table(heavy.join(sets, "node").select("node", "comp", "home", "shingles").mapInArrow(_lookups(bands, _known(index)), shape), "looks")
     met = tables.table(index.groupBy("key", "kind", "comp").agg(F.count("*").alias("own")), "met")
     # look-ups that meet another component's entries; all others cost nothing and find nothing
     hits = looks.join(met.groupBy("key", "kind").agg(F.sum("own").alias("entries")), ["key", "kind"]).join(met, ["key", "kind", "comp"], "left")

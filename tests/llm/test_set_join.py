@@ -133,3 +133,12 @@ def test_a_choice_finds_sets_that_differ_by_less_than_it(spark):
         keys = set_join.keyed(sums, band, np.arange(int(m[0]))).view(np.int64)
         at = segment[k]
         assert keys[at] == without[k] and (np.delete(keys, at) == np.delete(exact, at)).all()
+
+
+def test_the_filter_leaves_out_only_what_meets_nothing(spark):
+    rng = np.random.default_rng(3)
+    keys, kinds = rng.integers(-(2**63), 2**63, 3000), rng.integers(0, 2, 3000).astype(np.int32)
+    index = spark.createDataFrame([(int(k), int(x)) for k, x in zip(keys, kinds, strict=True)], "key long, kind int")
+    known = set_join._known(index)
+    assert set_join.may_meet(known, keys, kinds).all()
+    assert set_join.may_meet(known, rng.integers(-(2**63), 2**63, 3000), kinds).mean() < 0.1
