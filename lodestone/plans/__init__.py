@@ -14,6 +14,7 @@ from lodestone.plans import (  # noqa: F401
     scalar,
     scoring,
     series,
+    smallarea,
     streams,
 )
 from lodestone.plans.common import ORACLE_SQL, QUERIES  # noqa: F401
