@@ -2,6 +2,7 @@
 from lodestone.plans import (  # noqa: F401
     aggregating,
     contrasting,
+    crossval,
     domain,
     evidence,
     joining,
