@@ -3,6 +3,7 @@ from lodestone.plans import (  # noqa: F401
     aggregating,
     contrasting,
     crossval,
+    distances,
     domain,
     evidence,
     joining,
