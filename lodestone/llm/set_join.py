@@ -198,20 +198,17 @@ def may_meet(known: np.ndarray, keys: np.ndarray, kind: np.ndarray) -> np.ndarra
 
 
 def _lookups(bands: Bands, known: np.ndarray):
-    """node, comp, home, shingles -> the look-ups that a choice of 1 or 2 in a segment takes and the filter doesn't rule out: key, kind to look in, level of the choice."""
+    """node, comp, home, shingles -> what a choice of 2 in a segment looks up beyond equal subsets, but for what the filter rules out: key, kind to look in."""
 
     def run(batches):
         for row, s in _each(batches):
             exact, segment, without = neighbourhood(s, bands, not row["home"])
-            m = len(exact)
-            parts = (m, m, len(without))
-            key, kind = np.concatenate([exact, exact, without]), np.repeat(np.array([0, 1, 0], np.int32), parts)
-            at = np.concatenate([np.arange(m), np.arange(m), segment]).astype(np.int64)
+            key, kind = np.concatenate([exact, without]), np.repeat(np.array([1, 0], np.int32), [len(exact), len(without)])
+            at = np.concatenate([np.arange(len(exact)), segment]).astype(np.int64)
             ok = may_meet(known, key, kind)
             n = int(ok.sum())
-            level = np.repeat(np.array([1, 2, 2], np.int32), parts)
-            out = [pa.array(np.full(n, row["node"])), pa.array(np.full(n, row["comp"])), pa.array(np.full(n, row["home"])), pa.array(at[ok]), pa.array(key[ok]), pa.array(kind[ok]), pa.array(level[ok])]
-            yield pa.RecordBatch.from_arrays(out, ["node", "comp", "home", "segment", "key", "kind", "level"])
+            out = [pa.array(np.full(n, row["node"])), pa.array(np.full(n, row["comp"])), pa.array(np.full(n, row["home"])), pa.array(at[ok]), pa.array(key[ok]), pa.array(kind[ok])]
+            yield pa.RecordBatch.from_arrays(out, ["node", "comp", "home", "segment", "key", "kind"])
 
     return run
 
@@ -263,7 +260,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _open_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, bands: Bands, tables: scratch.Tables, emitting: float) -> DataFrame:
     """Pairs (a, b) of different components that the threshold may hold for; a is the larger set."""
     num, den = bands.num, bands.den
-    comp = members.join(found, "node", "left").select("key", "home", "node", F.coalesce("component", "node").alias("comp"))
+    comp = members.join(found, "node", "left").select("key", "home", "segment", "node", F.coalesce("component", "node").alias("comp"))
     comp = tables.table(comp, "placed")
     per = tables.table(comp.groupBy("key", "comp").agg(F.count_if("home").alias("own")), "per")
     keys = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("own").alias("entries")).filter("comps > 1 AND entries > 0").select("key", "entries")
@@ -280,12 +277,15 @@ def _open_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, sets: Da
     reached = open_.join(heavy.select("node", "home"), ["node", "home"], "left_semi").select("key").distinct()
     targets = open_.filter("home").join(reached, "key", "left_semi").select("node", "comp").distinct()
     index = tables.table(targets.join(sets, "node").mapInArrow(_index(bands), "key long, kind int, node long, comp long"), "index")
-    shape = "node long, comp long, home boolean, segment long, key long, kind int, level int"
-    looks = tables.table(heavy.join(sets, "node").select("node", "comp", "home", "shingles").mapInArrow(_lookups(bands, _known(index)), shape), "looks")
+    shape = "node long, comp long, home boolean, segment long, key long, kind int"
+    looks = heavy.join(sets, "node").select("node", "comp", "home", "shingles").mapInArrow(_lookups(bands, _known(index)), shape)
     met = tables.table(index.groupBy("key", "kind", "comp").agg(F.count("*").alias("own")), "met")
     # look-ups that meet another component's entries; all others cost nothing and find nothing
     hits = looks.join(met.groupBy("key", "kind").agg(F.sum("own").alias("entries")), ["key", "kind"]).join(met, ["key", "kind", "comp"], "left")
-    hits = tables.table(hits.withColumn("cost", F.col("entries") - F.coalesce("own", F.lit(0))).filter("cost > 0").drop("entries", "own"), "hits")
+    hits = hits.withColumn("cost", F.col("entries") - F.coalesce("own", F.lit(0))).filter("cost > 0").withColumn("level", F.lit(2))
+    equal = open_.filter("cost > 0").join(heavy.select("node", "home"), ["node", "home"]).withColumn("kind", F.lit(0)).withColumn("level", F.lit(1))
+    columns = ["node", "home", F.col("segment").cast("long").alias("segment"), "key", "kind", "comp", "cost", "level"]
+    hits = tables.table(hits.select(*columns).union(equal.select(*columns)), "hits")
     split = lambda level: F.sum(F.when(F.col("level") == level, F.col("cost")).otherwise(0))
     costs = hits.groupBy("node", "home", "segment").agg(split(1).alias("one"), split(2).alias("two"))
     # a row for each set and scheme, at most as long as the set has segments
@@ -306,7 +306,7 @@ def _grouped(docs: DataFrame, width: int, threshold: tuple[int, int], emitting:
     classes = sketch.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "mark", "row")).alias("first"))
     classes = tables.table(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     nodes = tables.table(classes.select("node", "first", F.col("first.row").alias("row")).join(sketch.drop("id", "mark", "d1", "d2"), "row"), "nodes")
-    of = lambda c, home: nodes.select("node", F.explode(c).alias("key"), F.lit(home).alias("home"))
+    of = lambda c, home: nodes.select("node", F.posexplode(c).alias("segment", "key"), F.lit(home).alias("home"))
     keys = of("home", True).union(of("guest", False))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("home").alias("any")).filter("size > 1 AND any").select("key", "size")
     members = tables.table(keys.join(shared, "key"), "members")
