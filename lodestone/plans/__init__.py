@@ -7,6 +7,7 @@ from lodestone.plans import (  # noqa: F401
     domain,
     evidence,
     joining,
+    lexicon,
     places,
     predicates,
     ranking,
