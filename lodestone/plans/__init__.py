@@ -6,6 +6,7 @@ from lodestone.plans import (  # noqa: F401
     distances,
     domain,
     evidence,
+    files,
     joining,
     lexicon,
     places,
