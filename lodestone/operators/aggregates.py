@@ -47,7 +47,19 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q:
     Weights are summed by distinct value first.
     """
     sums = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    rows = running(with_ranges(sums, [*by, value]), F.col("_w"), [value], "_run", by=by, total="_all")
+    ranged = with_ranges(sums, [*by, value])
+    if not ranged.one_range:  # only the range in which the quantile falls, and those beside it, are ordered
+        each = ranged.groupBy(*by, "_range").agg(F.sum("_w").alias("_s"))
+        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        each = each.withColumn("_upto", F.sum("_s").over(w.orderBy("_range"))).withColumn("_all", F.sum("_s").over(w)).withColumn("_low", F.col("_upto") - F.col("_s"))
+        each = each.withColumn("_hit", ((F.col("_low") <= F.col("_all") * q) & (F.col("_upto") >= F.col("_all") * q)).cast("int"))
+        beside = F.max("_hit").over(w.orderBy("_range").rowsBetween(-1, 1)) == 1
+        near = each.withColumn("_near", beside).filter("_near").select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_range").alias("_of_range"), "_low", "_all")
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_range") == F.col("_of_range")]
+        local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = ranged.join(F.broadcast(near) if not by else near, same).withColumn("_run", F.col("_low") + F.sum("_w").over(local))
+    else:
+        rows = running(ranged, F.col("_w"), [value], "_run", by=by, total="_all")
     rows = rows.withColumn("_p", (F.col("_run") - F.col("_w") / 2) / F.col("_all"))
     low = F.max(F.when(F.col("_p") <= q, F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))))
     high = F.min(F.when(F.col("_p") >= q, F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))))

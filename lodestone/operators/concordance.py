@@ -1,7 +1,7 @@
 """Kendall's tau-b by distributed inversion counting: n log n work, no pair is a row.
 
 Rows become distinct (x, y) with their number.  A pair is discordant if x grows and y falls.  Ranges of the (x, y) order and ranges of the y order deal all pairs:
-those that differ in both ranges are counted by the table of ranges, at most 4 ** BITS numbers; those within a range of (x, y), and those
+those that differ in both ranges are counted by the table of ranges, at most 4 ** RANGE_BITS numbers; those within a range of (x, y), and those
 of one range of y in different ranges of (x, y), are counted in the range's task by merging.
 """
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lodestone.operators.prefix import with_ranges
 
 
+#: At most 2 ** RANGE_BITS ranges of either order.
+RANGE_BITS = 11
+
+
 def falling(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> int:
     """Sum of weight products over pairs whose `first` grows and whose `second` falls (both strictly), by merging halves bit by bit."""
     if len(first) < 2:
@@ -46,8 +50,8 @@ def _counted(first: str):
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: tau_b, n, concordant, discordant, ties_x, ties_y (pairs tied in x, in y); tau_b is null where all pairs are tied in one.  Rows with a null are left out."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    cells = with_ranges(rows.groupBy("x", "y").agg(F.count("*").alias("n")), ["x", "y"]).withColumnRenamed("_range", "rx")
-    ys = with_ranges(cells.select("y").distinct(), ["y"]).withColumnRenamed("_range", "ry")
+    cells = with_ranges(rows.groupBy("x", "y").agg(F.count("*").alias("n")), ["x", "y"], RANGE_BITS).withColumnRenamed("_range", "rx")
+    ys = with_ranges(cells.select("y").distinct(), ["y"], RANGE_BITS).withColumnRenamed("_range", "ry")
     big = lambda c: F.col(c).cast("decimal(38,0)")
     pairs = lambda c: F.coalesce(F.sum(big(c) * (big(c) - 1) / 2).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     # within a range of (x, y)

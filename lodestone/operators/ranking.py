@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from lodestone.operators.prefix import running, with_ranges
+from lodestone.operators.prefix import running, saved, with_ranges
 
 
 def _mid_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -14,6 +15,13 @@ def _mid_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return run.select(*by, value, (F.col("_run") - (F.col("_n") - 1) / 2).alias("_rank"), "_all")
 
 
+def _ranks_of(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """by, _column (place in `values`), _number, _rank, _all of several numeric columns, ordered as one table."""
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)])).alias("_x"))
+    long = long.select(*by, F.col("_x.c").alias("_column"), F.col("_x.v").alias("_number"))
+    return saved(_mid_ranks(long, "_number", [*by, "_column"]), "ranks")
+
+
 def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Average-tie rank over the number of non-null values, in (0, 1]; nulls stay null."""
     return percentile_ranks(df, {value: out}, by)
@@ -23,9 +31,14 @@ def percentile_ranks(df: DataFrame, outs: dict[str, str], by: list[str] | None =
     """percentile_rank of several columns (value -> name of its rank), each ranked on df itself."""
     by = by or []
     done = df
+    numbers = [v for v in outs if isinstance(df.schema[v].dataType, NumericType)]
+    together = _ranks_of(df, numbers, by) if len(numbers) > 1 else None
     for value, out in outs.items():
-        ranked = _mid_ranks(df, value, by).select(*by, value, (F.col("_rank") / F.col("_all")).alias(out))
-        done = done.join(ranked, [*by, value], "left")
+        if together is not None and value in numbers:
+            own = together.filter(F.col("_column") == numbers.index(value)).withColumn(value, F.col("_number").cast(df.schema[value].dataType))
+        else:
+            own = _mid_ranks(df, value, by)
+        done = done.join(own.select(*by, value, (F.col("_rank") / F.col("_all")).alias(out)), [*by, value], "left")
     return done.select(*df.columns, *outs.values())
 
 

@@ -6,7 +6,7 @@ from math import exp, lgamma
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.prefix import running, with_ranges
+from lodestone.operators.prefix import running, saved, with_ranges
 from lodestone.operators.ranking import mid_rank
 
 
@@ -56,10 +56,13 @@ def holm_adjust(df: DataFrame, p: str, key: str, out: str) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Area under the curve from mid-ranks; null without both classes."""
-    r = mid_rank(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), score, "_r", by)
-    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    area = F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("_r"))) - n1 * (n1 + 1) / 2, n1 * n0)
-    return r.groupBy(*(by or [])).agg(area.alias("auroc"), n1.alias("n1"), n0.alias("n0"))
+    by = by or []
+    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(*by, score).agg(F.count("*").alias("_n"), F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
+    run = running(with_ranges(counts, [*by, score]), F.col("_n"), [score], "_run", by=by)
+    n1, n0 = F.coalesce(F.sum("_n1"), F.lit(0)), F.coalesce(F.sum("_n0"), F.lit(0))
+    area = F.try_divide(F.sum(F.col("_n1") * (F.col("_run") - (F.col("_n") - 1) / 2)) - n1 * (n1 + 1) / 2, n1 * n0)
+    return run.groupBy(*by).agg(area.alias("auroc"), n1.alias("n1"), n0.alias("n0"))
 
 
 def sens_at_spec(df: DataFrame, score: str, label: str, spec: float) -> DataFrame:
@@ -71,8 +74,8 @@ def sens_at_spec(df: DataFrame, score: str, label: str, spec: float) -> DataFram
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return mid_rank(mid_rank(both, x, "_x"), y, "_y").agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    both = saved(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_a"), F.col(y).alias("_b")), "pairs")
+    return mid_rank(mid_rank(both, "_a", "_x"), "_b", "_y").agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def hedges_g(df: DataFrame, value: str, label: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from lodestone.sources.shared import shared_dir
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -133,9 +135,7 @@ def run_in_parts(spark: SparkSession, parts: list[DataFrame], build: Callable[[D
     drain is a last part that only moves the watermark on, so that all that waits is given out.  Rows of a micro-batch are written to a folder of its own, so one
     that is run again replaces its rows.  Needs spark.checkpoint.dir outside local mode.
     """
-    from lodestone.streaming.windows import stream_dir
-
-    base = f"{stream_dir(spark)}/parts-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:

@@ -1,12 +1,13 @@
 """Structured Streaming: tumbling windows, sessions and deduplication, each run once over what is there."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import shared_dir
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream over one Parquet table (a file or a folder)."""
@@ -29,18 +30,10 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str) -> Data
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicates(keys)
 
 
-def stream_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (named or f"file://{tempfile.mkdtemp(prefix='stream-')}").rstrip("/")
-
-
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there and returns its result table; state and checkpoints go to the session's checkpoint folder."""
     spark = stream.sparkSession
-    base = f"{stream_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(
         lambda df, epoch: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)

@@ -12,18 +12,30 @@ def _rows(n, seed=3):
     return [(i, r.choice(["a", "b", None]) if i % 3 else "a", r.choice([None, r.randint(-40, 40) * 1.0, r.random()])) for i in range(n)]
 
 
+@pytest.fixture(autouse=True, params=[0, 1 << 20])
+def small(request, monkeypatch):
+    """All by ranges, of about half a dozen rows each; then all in one window."""
+    monkeypatch.setattr(prefix, "SMALL", request.param)
+    monkeypatch.setattr(prefix, "LEAST_BITS", 9)
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     return spark.createDataFrame(_rows(3000), "i long, g string, v double").repartition(5)
 
 
-def test_ranges_follow_the_order_and_keep_equal_keys_together(spark, table):
-    got = prefix.with_ranges(table, ["v"]).select("v", "_range").collect()
+def test_ranges_follow_the_order_and_keep_equal_keys_together(spark, table, small, monkeypatch):
+    if small:
+        assert prefix.with_ranges(table, ["v"]).select("_range").distinct().count() == 1
+        return
+
+    got = prefix.with_ranges(table, ["v"], 9).select("v", "_range").collect()
     got = sorted(got, key=lambda x: (x.v is not None, x.v or 0.0))
     assert [x._range for x in got] == sorted(x._range for x in got)
     assert len({x._range for x in got}) > 100 and len({(x.v, x._range) for x in got}) == len({x.v for x in got})
     assert max(sum(y._range == k for y in got if y.v is not None and y.v != int(y.v)) for k in {x._range for x in got}) < 60
-    again = prefix.with_ranges(table.repartition(2), ["v"]).select("v", "_range").distinct()
+    again = prefix.with_ranges(table.repartition(2), ["v"], 9).select("v", "_range").distinct()
     assert {tuple(x) for x in again.collect()} == {tuple(x) for x in got}
 
 
