@@ -1,6 +1,8 @@
 """Scalar functions as column expressions: text keys, codes, check digits, dates, intervals, rates."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,9 +166,15 @@ def expit(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+#: Abbreviations in names of cities.
+CITY_ABBREVIATIONS = {"st": "saint", "ft": "fort", "mt": "mount", "ste": "sainte"}
+
+
 def city_key(text: Column) -> Column:
-    """Upper case, all but letters to one space."""
-    return F.trim(F.regexp_replace(F.upper(text), "[^A-Z]+", " "))
+    """Plain lower-case letters and digits: marks, apostrophes and full stops off, everything else one space, abbreviations written out."""
+    words = F.split(norm_text(F.regexp_replace(text, "['\u2019`.]", "")), " ")
+    full = F.create_map(*[F.lit(x) for pair in CITY_ABBREVIATIONS.items() for x in pair])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(full, w), w)), " ")
 
 
 def address_key(text: Column) -> Column:
@@ -208,26 +216,101 @@ def period_of_year(year: Column, starts: dict[int, str]) -> Column:
     return out
 
 
-def generic_name(name: Column, city: Column) -> Column:
-    """Whether a facility name is a placeholder, or only its city."""
-    n = norm_text(name)
-    return F.coalesce(n.rlike("^(research site|investigative site|study site|clinical site|local institution|site)( [0-9]+)?$") | (n == norm_text(city)), F.lit(False))
+#: What a placeholder calls its site, beginnings and words of names that are no facility.
+SITE_KINDS = ["investigational", "investigative", "investigator", "research", "study", "trial", "clinical trial", "clinical"]
+BARE_SITE_KINDS = ["clinical research", "study research", "trial research", "study clinical", "trial clinical", "study trial", "trial study", "clinical study"]
+NOTICES = ["for additional information", "all sites listed under"]
+PLACELESS = ["virtual", "online", "decentralized", "decentralised", "proofpilot", "no physical site", "digital research platform"]
+AT_HOME = ["home based", "telemedicine", "telehealth"]
+
+
+def generic_patterns() -> dict[str, str]:
+    """Patterns on a normalised name; each alone makes it generic, but `sponsor`, whose first group must not hold the word clinical."""
+    number = r"(?: (?:number|no|nr))?(?: [a-z]{0,3}\d[a-z0-9]*)*"
+    any_of = "|".join
+    return {
+        "sponsor": rf"^((?:[a-z0-9]+ ){{0,2}}?)(?:{any_of(SITE_KINDS)}) sites?{number}$",
+        "bare": rf"^(?:(?:{any_of(BARE_SITE_KINDS)}) sites?|local institution|sites?|site reference id(?: investigator)?){number}$",
+        "notice": rf"^(?:{any_of(NOTICES)})\b",
+        "contact": r"^contact\b.*\bfor\b.*\blocations?\b",
+        "placeless": rf"\b(?:{any_of(PLACELESS)})\b|\bremote (?:trial|study|site|participation)\b|\b(?:{any_of(AT_HOME)}) (?:study|trial)\b",
+        "homes": r"\b(?:subject|participant|patient)s?(?: s)? (?:own )?(?:home|residence)s?\b",
+    }
+
+
+def generic_name(name: Column, city: Column, state: Column | None = None) -> Column:
+    """Whether a name tells of no facility: a sponsor's placeholder, a notice, a study without a place, or only its city (with its state or country)."""
+    n, p = norm_text(name), generic_patterns()
+    sponsor = n.rlike(p["sponsor"]) & ~F.regexp_extract(n, p["sponsor"], 1).rlike(r"\bclinical\b")
+    place = norm_text(city)
+    with_state = F.concat_ws(" ", place, norm_text(state) if state is not None else F.lit(None).cast("string"))
+    only = (place != "") & ((n == place) | (n == with_state) | (n == F.concat(place, F.lit(" usa"))) | (n == F.concat(with_state, F.lit(" usa"))))
+    found = sponsor
+    for k in ("bare", "notice", "contact", "placeless", "homes"):
+        found = found | n.rlike(p[k])
+    return F.coalesce(found, F.lit(False)) | F.coalesce(only, F.lit(False))
+
+
+#: Words of a rule about wording, and quotation marks.
+RULE_WORDS = ["avoid", "never", "forbidden", "banned", "do not use", "do not say", "do not write", "don't use", "don't say", "product language", "not say", "not write"]
+QUOTES = "\"'`\u201c\u201d\u2018\u2019"
 
 
 def forbidden_hits(text: Column, phrases: list[str]) -> Column:
-    """Phrases that stand in a text outside double quotes, in order, in lower case."""
-    bare = F.regexp_replace(F.lower(text), '"[^"]*"', " ")
-    return F.regexp_extract_all(bare, F.lit(rf"\b({'|'.join(phrases)})\b"), F.lit(1))
+    """(line, term) of each whole-word use of a phrase, lines from 1, terms as they stand.
+
+    Not a use: a term that is itself in quotation marks, or that is all of an item of a list (of `;`, `,`, `and` or `or`) that words of a rule
+    on the line before it introduce.  A longer quotation excuses nothing, nor does a rule word after the term or in another clause of it.
+    """
+    pattern = rf"(?i)\b(?:{'|'.join(re.escape(p) for p in phrases)})\b"
+    rule = rf"(?i)\b(?:{'|'.join(RULE_WORDS)})\b"
+
+    def of_line(line: Column, number: Column) -> Column:
+        between, terms = F.split(line, pattern, -1), F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+
+        def used(term: Column, k: Column) -> Column:
+            before = F.concat(F.array_join(F.transform(F.slice(between, F.lit(1), k), lambda piece, i: F.concat(piece, F.get(terms, i))), ""), F.get(between, k))
+            after = F.substring(line, F.length(before) + F.length(term) + 1, F.length(line))
+            quoted = F.rtrim(before).rlike(f"[{QUOTES}]$") & F.ltrim(after).rlike(f"^[{QUOTES}]")
+            item = F.concat(F.regexp_extract(before, "([^:;,(]*)$", 1), term, F.regexp_extract(after, "^([^:;,).]*)", 1))
+            names = F.transform(F.split(F.trim(item), r"(?i)(?:^|\s+)(?:and|or)\s+"), lambda x: F.lower(F.trim(x)))
+            listed = before.rlike(rule) & F.array_contains(names, F.lower(term))
+            return F.struct(number.alias("line"), term.alias("term"), (~quoted & ~listed).alias("used"))
+
+        return F.filter(F.transform(terms, used), lambda h: h["used"])
+
+    hits = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda line, i: of_line(line, i + 1)))
+    return F.transform(hits, lambda h: F.struct(h["line"].alias("line"), h["term"].alias("term")))
+
+
+#: Words of column names by the kind of personal data that they tell of, and words that are joined to them.
+SENSITIVE = {
+    "geography": ["address", "city", "county", "zip", "postal", "postcode", "street", "lat", "latitude", "lon", "longitude", "state", "nation", "country", "region", "tract", "fips"],
+    "identity": ["name", "surname", "email", "phone", "fax", "ssn", "mrn", "passport"], "date": ["date", "datetime", "dob", "birthday", "timestamp"], "age": ["age"],
+}
+JOINED = ["key", "code", "id", "no", "num", "number", "plus", "of", "at", "first", "last", "full", "middle", "user", "birth", "death", "visit", "order", "ship", "commit", "receipt", "start", "end", "admit", "discharge", "home", "work", "cell", "year", "month", "day", "in", "years", "line", "onset", "collection", "sample"]
+
+
+def name_words(column: str) -> list[str]:
+    """Words of a column's name: parted by other characters, digits and capitals, and run-together ones parted where all their pieces are known words."""
+    known = {w for words in SENSITIVE.values() for w in words} | set(JOINED)
 
+    def parted(word: str) -> list[str] | None:
+        if word in known:
+            return [word]
+        for i in range(len(word) - 1, 1, -1):
+            if word[:i] in known and (rest := parted(word[i:])):
+                return [word[:i], *rest]
+        return None
 
-#: Tokens of column names by the kind of personal data that they tell of.
-SENSITIVE = {"geography": ["address", "city", "county", "zip", "lat", "lon", "nation", "nationkey"], "identity": ["name", "email", "phone", "ssn", "mrn"], "date": ["date", "dob", "birth"], "age": ["age"]}
+    pieces = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", column)
+    return [w for p in pieces for w in (parted(p.lower()) or [p.lower()])]
 
 
 def sensitive_kind(column: str) -> str | None:
-    """The kind of personal data that a column's name tells of."""
-    words = column.lower().replace("orderdate", "order_date").split("_")
-    return next((kind for kind, tokens in SENSITIVE.items() if any(t in words for t in tokens)), None)
+    """The kind of personal data that a column's name tells of, plurals too."""
+    words = name_words(column)
+    return next((kind for kind, tokens in SENSITIVE.items() if any(t in words or f"{t}s" in words for t in tokens)), None)
 
 
 def us_location(country: Column, state: Column, states: list[str], territories: list[str]) -> Column:

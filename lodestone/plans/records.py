@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators import ranking, records
+from lodestone.operators import governance, ranking, records
 from lodestone.plans.common import plan, read
+from lodestone.plans.scalar import _NORM
 
 
 @plan("""SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN rank() OVER (PARTITION BY c_mktsegment, c_nationkey < 20 ORDER BY floor(c_acctbal / 100) DESC) END AS rk FROM customer""")
@@ -141,15 +142,15 @@ def ols_hc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.ols_hc3(p, "p_size", "p_retailprice").select(F.round("slope", 6).alias("slope"), F.round("se", 6).alias("se"), "n")
 
 
-_CITY = "CASE c_custkey % 4 WHEN 0 THEN 'St. Paul,  MN' WHEN 1 THEN 'new  york' WHEN 2 THEN '12 Main St, Suite 4' ELSE '12 main st. #7' END"
+_CITY = "CASE c_custkey % 6 WHEN 0 THEN 'St. Paul,  MN' WHEN 1 THEN 'new  york' WHEN 2 THEN '12 Main St, Suite 4' WHEN 3 THEN 'São Paulo' WHEN 4 THEN 'L''Anse-Mt Ste' ELSE '12 main st. #7' END"
 
 
-@plan(f"""WITH x AS (SELECT c_custkey, {_CITY} AS t FROM customer) SELECT c_custkey, trim(regexp_replace(upper(t), '[^A-Z]+', ' ', 'g')) AS city,
+@plan(f"""WITH x AS (SELECT c_custkey, {_CITY} AS t, CASE c_custkey % 6 WHEN 0 THEN 'saint paul mn' WHEN 1 THEN 'new york' WHEN 2 THEN '12 main saint suite 4' WHEN 3 THEN 'sao paulo' WHEN 4 THEN 'lanse mount sainte' ELSE '12 main saint 7' END AS city FROM customer) SELECT c_custkey, city,
 trim(regexp_replace(regexp_replace(upper(t), '(,| )+(STE|SUITE|UNIT|APT|#).*$', ''), '[^A-Z0-9]+', ' ', 'g')) AS address,
-trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', ' ', 'g')) || '|' AS k FROM x JOIN customer USING (c_custkey)""")
+{_NORM.format(x="t")} || '|' || trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', ' ', 'g')) || '|' AS k FROM x JOIN customer USING (c_custkey)""")
 def place_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     (c,) = read(spark, sf_dir, "customer")
-    t = F.expr(_CITY)
+    t = F.expr(_CITY.replace("L''Anse", "L\\'Anse"))
     return c.select("c_custkey", S.city_key(t).alias("city"), S.address_key(t).alias("address"), S.composite_key(t, F.col("c_mktsegment"), F.lit(None).cast("string")).alias("k"))
 
 
@@ -176,23 +177,44 @@ def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", S.date_year(d).cast("long").alias("y"), F.size(found).cast("long").alias("n"), found[0].cast("timestamp_ntz").alias("first"), S.period_of_year(F.year("o_orderdate"), {1994: "middle", 1997: "new"}).alias("period"))
 
 
-_NOTE = "CASE p_partkey % 4 WHEN 0 THEN 'It will CURE you, a \"cure\" they said' WHEN 1 THEN 'no \"diagnosis of\" here' WHEN 2 THEN 'this treats and cures; guaranteed cure' ELSE p_name END"
+#: Texts and the uses of forbidden phrases in them, told by hand.
+_NOTES = [
+    ('It will CURE you, a "cure" they said', "1:CURE"), ('he said "this cures all, a cure"\nand it treats', "1:cure,2:treats"), ("Avoid (unless proven): cure; treats, diagnosis of and cure", ""),
+    ("never say it treats, it is a cure", "1:treats,1:cure"), ("this cure works, never\rsay `treats`", "1:cure"), ("no diagnosis  of, no cured, no 'diagnosis of'", ""),
+]
+#: Names of sites, their cities, and whether they tell of no facility.
+_SITES = [
+    ("Research Site", "x", True), ("Pfizer Investigational Site", "x", True), ("Duke Clinical Research Site", "x", False), ("Investigational Site Number : 8400001", "x", True), ("Denver, Colorado", "Denver", True),
+    ("Denver Health", "Denver", False), ("Contact Medtronic for Exact Locations", "x", True), ("Contact Lens Institute", "x", False), ("Participants\' homes", "x", True), ("Remote Monitoring Clinic", "x", False),
+]
 
 
-@plan(f"""SELECT p_partkey, array_to_string(regexp_extract_all(regexp_replace(lower({_NOTE}), '"[^"]*"', ' ', 'g'), '\\b(cure|treats|diagnosis of)\\b', 1), ',') AS hits,
-coalesce(regexp_full_match(trim(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g')), '(research site|investigative site|study site|clinical site|local institution|site)( [0-9]+)?') OR n = p_brand, false) AS generic FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'Research Site #' || p_partkey WHEN 1 THEN p_brand ELSE p_name END AS n FROM part)""")
+def _picked(key: str, values: list, duck: bool) -> str:
+    """A value by the key's remainder, as SQL."""
+    text = lambda v: str(v).upper() if isinstance(v, bool) else ("'" + v.replace("\\'", "'").replace("'", "''") + "'" if duck else "'" + v.replace("\\'", "'").replace("\\", "\\\\").replace("'", "\\'") + "'")
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+@plan(f"SELECT p_partkey, {_picked('p_partkey', [n[1] for n in _NOTES], True)} AS hits, {_picked('p_partkey', [x[2] for x in _SITES], True)} AS generic FROM part")
 def text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of forbidden phrases and names of no facility; the SQL holds what a reader finds in the texts."""
     (p,) = read(spark, sf_dir, "part")
-    n = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Research Site #"), F.col("p_partkey"))).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.col("p_name"))
-    hits = S.forbidden_hits(F.expr(_NOTE), ["cure", "treats", "diagnosis of"])
-    return p.select("p_partkey", F.array_join(hits, ",").alias("hits"), S.generic_name(n, F.col("p_brand")).alias("generic"))
+    note, name, city = (F.expr(_picked("p_partkey", [r[i] for r in rows], False)) for rows, i in ((_NOTES, 0), (_SITES, 0), (_SITES, 1)))
+    hits = S.forbidden_hits(note, ["cure", "treats", "diagnosis of"])
+    shown = F.transform(hits, lambda h: F.concat_ws(":", h["line"].cast("string"), h["term"]))
+    return p.select("p_partkey", F.array_join(shown, ",").alias("hits"), S.generic_name(name, city, F.lit("Colorado")).alias("generic"))
+
+
+_REFUSED = "regexp_matches({x}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|[(]?[0-9]{{3}}[)]?[ .-][0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{5}}-[0-9]{{4}}')"
 
 
-@plan("SELECT * FROM (VALUES ('customer', 'c_name', 'identity'), ('customer', 'c_nationkey', 'geography'), ('supplier', 's_name', 'identity'), ('supplier', 's_nationkey', 'geography'), ('orders', 'o_orderdate', 'date')) AS v(\"table\", \"column\", kind)")
+@plan(f"""WITH v AS (SELECT 'text' AS c, text AS x FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'home_phone', CASE WHEN doc_id % 3 = 0 THEN '555-' || (100 + doc_id % 900) || '-1234' END FROM documents UNION ALL SELECT 'birthdate', NULL FROM documents)
+SELECT c AS "column", CASE c WHEN 'home_phone' THEN 'identity' WHEN 'birthdate' THEN 'date' END AS by_name, count(*) FILTER ({_REFUSED.format(x="x")}) AS refused, count(x) AS filled FROM v GROUP BY 1""")
 def sensitive_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["customer", "supplier", "orders"]
-    rows = [(t, c, S.sensitive_kind(c)) for t, df in zip(names, read(spark, sf_dir, *names), strict=True) for c in df.columns]
-    return spark.createDataFrame([r for r in rows if r[2]], "table string, column string, kind string")
+    """Text columns by what their names tell and by how many of their values look personal."""
+    (d,) = read(spark, sf_dir, "documents")
+    phone = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("555-"), (100 + F.col("doc_id") % 900).cast("string"), F.lit("-1234")))
+    return governance.sensitive_columns(d.withColumn("home_phone", phone).withColumn("birthdate", F.lit(None).cast("string")))
 
 
 @plan("""WITH x AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'us ' WHEN 1 THEN 'FR' WHEN 2 THEN 'USA' END AS country, CASE s_suppkey % 3 WHEN 0 THEN 'mn' WHEN 1 THEN 'PR' ELSE 'XX' END AS state FROM supplier)
