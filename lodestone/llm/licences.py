@@ -1,13 +1,14 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
-Licence texts are word templates with a mandatory key phrase.  One inverted index maps each word of
-the key phrases to its postings: template and place in the phrase.  A document's licence words are put
-in the order of their inverse document frequency over the whole corpus, rarest first, and looked up from
-there until every template whose phrase words the document holds has had its RAREST rarest ones.  A place in
-the document minus a posting's place proposes a template's start; starts that all the looked-up words of
-a template propose are kept (postings intersected by relative position), and count when the whole key phrase
-stands there.  As only words of the mandatory phrase are looked up, no notice is lost for other words
-that are missing, moved or edited; these count in the score alone.
+Licence texts are word templates with a mandatory key phrase.  Key phrases may stand with some words replaced: one in every EDITED.  The inverted index
+holds, of each key phrase, the places whose words have the highest inverse document frequency over the whole corpus: two more than may be
+replaced.  A document's licence words are those of the index; their postings are looked up where they stand, and a place in the document less a posting's
+place proposes a start of the template.  Starts that enough of a template's rare words agree on (all but those that may be replaced) are kept, so no notice is
+lost, and no template is tried on a document that lacks them.
+
+A start counts when its key phrase is verified word by word, when no word of denial stands in the DENIED words before the notice (its words before the phrase count to twice as many), and when enough of the template's words
+stand about it where they would (give or take a tenth of its length): NAME_SHARE for phrases of fewer than NAME words, which are names rather than
+grants, and EDITED_SHARE where words of the phrase are replaced.  All other words of a template count in the score alone.
 
 Null and empty texts have no words.  Extra columns are ignored; repeated rows are
 scanned each for themselves, whatever their doc_id.
@@ -90,9 +91,20 @@ TEMPLATES = [
         "for any purpose commercial or non commercial and by any means",
         "free and unencumbered software released into the public domain",
     ),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "eclipse public license"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license version 1 1"),
+    ("artistic-2", "this library is free software you can redistribute it and or modify it under the terms of the artistic license 2 0", "under the terms of the artistic license"),
+    ("eupl", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", "licensed under the eupl version 1 2"),
 ]
-#: How many of a template's rarest key words that a document holds are looked up.
-RAREST = 3
+#: One word in so many of a key phrase may be replaced (shorter ones are names and versions); phrases of fewer than NAME words are names alone; how many words before a notice may deny it;
+#: the shares of a template's words that a name and an edited phrase need.
+EDITED, NAME, DENIED, NAME_SHARE, EDITED_SHARE = 8, 6, 4, 0.6, 0.5
+#: Words that deny what follows.
+DENIALS = ["not", "never", "nor", "neither", "cannot", "isn", "don", "doesn", "won", "wasn", "aren"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -149,61 +161,70 @@ def _starts(phrase: str) -> Column:
     return F.when(F.contains(F.col("s"), F.lit(_phrase(phrase))), at).otherwise(F.array().cast("array<int>"))
 
 
+def allowed(key: str) -> int:
+    """How many words of a key phrase may be replaced."""
+    return len(key.split()) // EDITED
+
+
+def rare_places(key: str, order: list[str]) -> list[int]:
+    """The places of a key phrase that are looked up: those of its rarest words, two more than may be replaced."""
+    words = key.split()
+    return sorted(range(len(words)), key=lambda o: (order.index(words[o]), o))[: allowed(key) + 2]
+
+
 def _index(order: list[str]) -> tuple[Column, Column]:
-    """The inverted index, word to postings (t: template, o: place), and the templates: label, key phrase, its words rarest first, distinct words and number of words before the phrase."""
+    """The inverted index, word to postings (t: template, o: place), and the templates: label, key phrase, distinct words, how many starts must agree, how many words may be replaced."""
     postings: dict[str, list[Column]] = {}
     templates = []
     for t, (label, text, key) in enumerate(TEMPLATES):
-        words, phrase = text.split(), key.split()
+        words, phrase, places = text.split(), key.split(), rare_places(key, order)
         shift = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        for o, w in enumerate(phrase):
-            postings.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")))
-        rare = sorted(set(phrase), key=order.index)
+        for o in places:
+            postings.setdefault(phrase[o], []).append(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")))
         templates.append(F.struct(
-            F.lit(t).alias("t"), F.lit(label).alias("label"), _literals(phrase).alias("key"), _literals(rare).alias("rare"), _literals(sorted(set(words))).alias("words"),
-            F.lit(len(words)).alias("n"), F.lit(shift).alias("shift"),
+            F.lit(label).alias("label"), _literals(phrase).alias("key"), _literals(sorted(set(words))).alias("words"), F.lit(len(words)).alias("n"), F.lit(shift).alias("shift"),
+            F.lit(len(places) - allowed(key)).alias("need"), F.lit(allowed(key)).alias("allowed"), F.lit(NAME_SHARE if len(phrase) < NAME else 0.0).alias("least"),
         ))
     return F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*postings[w]))]), F.array(*templates)
 
 
 def _with_hits(frame: DataFrame, order: list[str]) -> DataFrame:
-    """frame (words, bag: the index words among them, rarest first) with `hits`: label and share of each place where a template's key phrase stands.
+    """frame (words) with `hits`: label and share of each place where a template's key phrase is verified.
 
     Each step is a column of its own, so that it is made once for a row.
     """
     index, templates = _index(order)
-    # a key phrase needs all its words
-    frame = frame.withColumn("open", F.transform(F.filter(templates, lambda t: F.size(F.array_except(t["rare"], F.col("bag"))) == 0), lambda t: t["t"]))
-    some, template = F.size("open") > 0, lambda t: F.get(templates, t)
-    frame = frame.withColumn("looked_up", F.when(some, F.array_distinct(F.flatten(F.transform("open", lambda t: F.slice(template(t)["rare"], 1, RAREST))))))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("looked_up"), x["w"]))
+    looked_up = sorted({key.split()[o] for _, _, key in TEMPLATES for o in rare_places(key, order)}, key=order.index)
+    frame = frame.withColumn("bag", F.array_intersect(_literals(looked_up), F.col("words")))
+    some, template = F.size("bag") > 1, lambda t: F.get(templates, t)
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("bag"), x["w"]))
     frame = frame.withColumn("places", F.when(some, places))
-    proposed = F.transform("places", lambda x: F.transform(index[x["w"]], lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("s"), x["w"].alias("w"))))
-    frame = frame.withColumn("proposed", F.when(some, F.flatten(proposed)))
-
-    def found(t: Column) -> Column:
-        rare = template(t)["rare"]
-
-        def starts(k: int) -> Column:
-            word = F.coalesce(F.get(rare, F.lit(k)), F.get(rare, F.lit(0)))
-            return F.transform(F.filter("proposed", lambda x: (x["t"] == t) & (x["w"] == word)), lambda x: x["s"])
-
-        common = starts(0)
-        for k in range(1, RAREST):
-            common = F.array_intersect(common, starts(k))
-        key, n, shift = (template(t)[c] for c in ("key", "n", "shift"))
-        true = F.filter(common, lambda s: (s >= 0) & (F.slice("words", F.greatest(s + 1, F.lit(1)), F.size(key)) == key))
-
-        def share(s: Column) -> Column:
-            """Share of the template's distinct words that stand where it would, give or take a tenth of its length."""
-            slack = (n / 10).cast("int")
-            first = F.greatest(s - shift - slack, F.lit(0))
-            near = F.slice("words", first + 1, s - shift + n + slack - first)
-            return F.size(F.array_intersect(template(t)["words"], near)) / F.size(template(t)["words"])
-
-        return F.transform(true, lambda s: F.struct(template(t)["label"].alias("label"), share(s).alias("share")))
-
-    return frame.withColumn("hits", F.when(some, F.flatten(F.transform("open", found))))
+    proposed = F.flatten(F.transform("places", lambda x: F.transform(index[x["w"]], lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["o"]).alias("s")))))
+    frame = frame.withColumn("proposed", F.when(some, F.array_sort(F.filter(proposed, lambda x: x["s"] >= 0))))
+    nothing = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("s"), F.lit(0).alias("n"), F.array().cast("array<struct<t:int,s:int>>").alias("met"))
+
+    def agree(acc: Column, x: Column) -> Column:
+        n = F.when((acc["t"] == x["t"]) & (acc["s"] == x["s"]), acc["n"] + 1).otherwise(F.lit(1))
+        met = F.when(n == template(x["t"])["need"], F.concat(acc["met"], F.array(x))).otherwise(acc["met"])
+        return F.struct(x["t"].alias("t"), x["s"].alias("s"), n.alias("n"), met.alias("met"))
+
+    frame = frame.withColumn("met", F.when(some, F.aggregate("proposed", nothing, agree)["met"]))
+
+    def judged(x: Column) -> Column:
+        t, s = template(x["t"]), x["s"]
+        there = F.slice("words", s + 1, F.size(t["key"]))
+        replaced = F.size(F.filter(F.zip_with(there, t["key"], lambda a, b: a != b), lambda off: off)) + F.size(t["key"]) - F.size(there)
+        slack = (t["n"] / 10).cast("int")
+        first = F.greatest(s - t["shift"] - slack, F.lit(0))
+        near = F.slice("words", first + 1, s - t["shift"] + t["n"] + slack - first)
+        share = F.size(F.array_intersect(t["words"], near)) / F.size(t["words"])
+        reach = F.least(t["shift"], F.lit(2 * DENIED)) + DENIED
+        before = F.slice("words", F.greatest(s - reach, F.lit(0)) + 1, F.least(s, reach))
+        least = F.when(replaced > 0, F.greatest(t["least"], F.lit(EDITED_SHARE))).otherwise(t["least"])
+        good = (F.size(there) > 0) & (replaced <= t["allowed"]) & (share >= least) & (F.size(F.array_intersect(before, _literals(DENIALS))) == 0)
+        return F.struct(t["label"].alias("label"), share.alias("share"), good.alias("good"))
+
+    return frame.withColumn("hits", F.when(some, F.filter(F.transform("met", judged), lambda h: h["good"])))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -218,7 +239,7 @@ def scan(docs: DataFrame) -> DataFrame:
     idf = frequencies(spread.select(F.array_intersect(words, _literals(names)).alias("bag")))
     # highest inverse document frequency first, then by the alphabet
     order = sorted(names, key=lambda w: (-idf[w], w))
-    base = spread.withColumn("words", words).withColumn("bag", F.array_intersect(_literals(order), F.col("words")))
+    base = spread.withColumn("words", words)
     starts = F.array().cast("array<int>")
     found_base = []
     for label, phrase in BASE:

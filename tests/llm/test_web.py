@@ -48,21 +48,37 @@ def test_licences_method(spark):
 
 
 def scan_by_force(text):
-    """labels and score by looking for every key phrase at every place."""
+    """labels and score by verifying every key phrase at every place."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     base = base_by_force(text)
     labels, best = set(filter(None, base[4].split(","))), 0.0
     for label, template, key in licences.TEMPLATES:
         t, k = template.split(), key.split()
         shift = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
-        for i in range(len(words) - len(k) + 1):
-            if words[i : i + len(k)] == k:
-                labels.add(label)
-                near = words[max(0, i - shift - len(t) // 10) : i - shift + len(t) + len(t) // 10]
-                best = max(best, len(set(t) & set(near)) / len(set(t)))
+        for i in range(len(words)):
+            there = words[i : i + len(k)]
+            replaced = sum(a != b for a, b in zip(there, k, strict=False)) + len(k) - len(there)
+            if replaced <= len(k) // 8 and not set(words[max(0, i - 4 - min(shift, 8)) : i]) & set(licences.DENIALS):
+                near = words[max(0, i - shift - len(t) // 10) : max(0, i - shift + len(t) + len(t) // 10)]
+                share = len(set(t) & set(near)) / len(set(t))
+                if share >= max(0.6 if len(k) < 6 else 0, 0.5 if replaced else 0):
+                    labels.add(label)
+                    best = max(best, share)
     return ",".join(sorted(labels)), 1.0 if base[1] else best
 
 
+def test_edited_notices_are_found_and_denials_and_mentions_are_not(spark):
+    bsd = next(t for label, t, _ in licences.TEMPLATES if label == "bsd")
+    texts = {
+        1: (bsd.replace("source and binary", "source or binary"), "bsd"), 2: (bsd.replace("source and binary", "source or object"), ""), 3: ("we use redistribution and use in source or binary forms", ""),
+        4: ("We do not use the Mozilla Public License and never under the GNU Lesser General Public License.", ""), 5: ("the terms of the Mozilla Public License", ""), 6: ("This is not released under the terms of the GNU Lesser General Public License", ""),
+        7: ("You may use it under the terms of the GNU Lesser General Public License.", "lgpl"), 8: ("not under the MIT license", "mit"),  # the base phrase stands
+        9: ("licensed under the SIL Open Font License, Version 1.1", "ofl"), 10: ("license " * 20_000, ""), 11: ("the mit mit license license " * 3_000, ""),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licences.scan(docs).collect()} == {i: want for i, (_, want) in texts.items()}
+
+
 def test_licences_against_brute_force(spark):
     """Labels and scores: whole texts, edited and cut ones, phrases with a word moved, several licences in a text, very long texts."""
     rng = random.Random(6)
