@@ -7,7 +7,8 @@ straight through; only the others shuffle on their digest and are counted exactl
 
 A filter has MAX_SLOTS slots at most, so it may be broadcast; more rows are dealt by ranges of their
 hash, each with a filter of its own, so that the share of unique rows that pass doesn't fall with
-the input.  A fuller filter lets more unique rows through to the exact count and changes no
+the input.  Ranges are folders of one table and are tested one after another, each by a job of its own that reads its folder and
+deletes its filter when done, so neither plans nor broadcasts grow with the rows.  A fuller filter lets more unique rows through to the exact count and changes no
 result.  A null text counts as empty; texts are compared after lower-casing A-Z only.
 Of equal texts the largest doc_id stays (a null doc_id only if there is no other); rows
 that repeat text and doc_id stay together, and rows of one doc_id with different texts are judged each for
@@ -16,6 +17,7 @@ themselves.  Other columns are ignored by `duplicates` and kept by `drop_duplica
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import scratch
 
-#: Slots of the filter for each row, and of one filter at most: twice 2**27 slots are 32 MB as bits.
-SLOTS_PER_ROW, MAX_SLOTS = 16, 1 << 27
+#: Slots of the filter for each row, and of one filter at most: twice 2**29 slots are 128 MB as bits.
+SLOTS_PER_ROW, MAX_SLOTS = 16, 1 << 29
 
 
 def _digest(batches):
@@ -39,13 +41,13 @@ def _slots(digest, slots: int, which: int):
     return eight % F.lit(slots)
 
 
-def _tested(rows: DataFrame, n: int) -> DataFrame:
-    """rows (.., digest) with `maybe`: false where no other of them can have the same digest."""
+def _tested(rows: DataFrame, n: int, tables: scratch.Tables) -> tuple[DataFrame, DataFrame]:
+    """rows (.., digest) with `maybe`: false where no other of them can have the same digest; and the filter, to be deleted afterwards."""
     slots = min(MAX_SLOTS, 1 << max(10, (n * SLOTS_PER_ROW - 1).bit_length()))
     marks = rows.select(F.explode(F.array(_slots(F.col("digest"), slots, 0), _slots(F.col("digest"), slots, 1) + slots)).alias("slot"))
     twice = marks.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
     # as bits: rows of 32,768 slots, at most 2 * MAX_SLOTS / 32,768 of them
-    blocks = scratch.table(
+    blocks = tables.table(
         twice.groupBy(F.expr("bitmap_bucket_number(slot)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")), "bloom"
     )
 
@@ -59,7 +61,7 @@ def _tested(rows: DataFrame, n: int) -> DataFrame:
         bit = F.expr("cast(bitmap_bit_position(slot) % 8 as int)")
         return frame.withColumn(f"hit{which}", F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(1) == 1, F.lit(False))).drop(name, f"block{which}", "slot")
 
-    return hit(hit(rows, 0), 1).select("doc_id", "mark", "digest", (F.col("hit0") & F.col("hit1")).alias("maybe"))
+    return hit(hit(rows, 0), 1).select("doc_id", "mark", "digest", (F.col("hit0") & F.col("hit1")).alias("maybe")), blocks
 
 
 def _groups(docs: DataFrame) -> DataFrame:
@@ -70,11 +72,17 @@ def _groups(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(_digest, "doc_id long, mark long, digest binary")
     if ranges > 1:
         rows = rows.withColumn("range", (F.conv(F.hex(F.substring("digest", 20, 6)), 16, 10).cast("long") % ranges).cast("int"))
-    rows = scratch.Tables().table(rows, "digest", "range" if ranges > 1 else None)
-    tested = None
+    tables = scratch.Tables()
+    rows = tables.table(rows, "digest", "range" if ranges > 1 else None)
+    path = f"{scratch.shared_dir(docs.sparkSession)}/tested-{uuid.uuid4().hex}"
+    schema = None
     for k in range(ranges):
-        part = _tested(rows.filter(F.col("range") == k) if ranges > 1 else rows, -(-n // ranges))
-        tested = part if tested is None else tested.union(part)
+        part, blocks = _tested(rows.filter(F.col("range") == k) if ranges > 1 else rows, -(-n // ranges), tables)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+        tables.drop(blocks)
+    tables.drop(rows)
+    tested = docs.sparkSession.read.schema(schema).parquet(path)
     maybe = tested.filter("maybe").select("doc_id", "mark", "digest")
     # a table of its own: a hot digest then meets in a plain join, which Spark splits
     groups = scratch.table(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")

@@ -205,6 +205,17 @@ def test_exact_by_ranges(spark, monkeypatch):
     assert got == {i: (i % 40 + 40, 2) if i % 40 < 20 else (i, 1) for i in range(60)}
 
 
+def test_exact_plans_do_not_grow_with_the_ranges(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i % 40}") for i in range(600)], "doc_id long, text string").repartition(2)
+
+    def shape(slots):
+        monkeypatch.setattr(exact_dedup, "MAX_SLOTS", slots)
+        plan = exact_dedup.duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Scan parquet"), plan.count("BroadcastExchange")
+
+    assert shape(1 << 27) == shape(1 << 11)  # one range, five ranges
+
+
 def test_exact_rows_that_share_an_id(spark):
     docs = spark.createDataFrame([(1, "own text"), (1, "copy"), (5, "Copy"), (None, "copy"), (None, "alone"), (None, None)], "doc_id long, text string")
     assert sorted(map(str, map(tuple, exact_dedup.drop_duplicates(docs).collect()))) == ["(1, 'own text')", "(5, 'Copy')", "(None, 'alone')", "(None, None)"]
