@@ -84,9 +84,11 @@ def upset_counts(df: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame
 
 
 def table_hash(df: DataFrame) -> DataFrame:
-    """Rows and an order-independent sum of row hashes; nulls count by their place."""
-    marked = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in df.columns]
-    return df.select(F.xxhash64(*marked).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("hash"))
+    """Rows and an order-independent sum of row hashes (the first 60 bits of each row's md5); nulls count by their place."""
+    marked = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns]
+    lengths = [F.concat(F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.length(m).cast("string")), F.lit(":"), m) for c, m in zip(df.columns, marked, strict=True)]
+    digits = F.conv(F.substring(F.md5(F.concat_ws(",", *lengths)), 1, 15), 16, 10)
+    return df.select(digits.cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("hash"))
 
 
 def kish_effective_n(weight: Column) -> Column:

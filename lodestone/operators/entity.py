@@ -1,13 +1,11 @@
 """Entity resolution: blocks, similarity, components, constrained clusters."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.prefix import saved
+from lodestone.operators.lexicon import spelled
+from lodestone.sources.shared import saved
 
 
 def block_pairs(df: DataFrame, key: str, block: list[str]) -> DataFrame:
@@ -22,21 +20,21 @@ def anchor_edges(df: DataFrame, key: str, same: list[str]) -> DataFrame:
     return df.join(low, same).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges (a, b) -> node, component (its smallest node): minima spread along edges and labels jump to their label's label."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of any type that has an order -> node, component (its smallest node): minima spread along edges and labels jump to their label's label, until none falls.
+
+    Labels only fall, so the rounds end; a long chain takes as many as the logarithm of its length, about.
+    """
     both = saved(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component"))
-    before = None
-    for _ in range(rounds):
+    labels = saved(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component")), "labels")
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        lower = labels.join(near, "node").select("node", F.least("component", "c").alias("component"))
+        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = saved(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
-        now = labels.agg(F.sum("component"), F.count("*")).first()
-        if now == before:
-            return labels
-        before = now
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+        labels = saved(lower.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        if labels.filter("component <> old").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.select("node", "component")
 
 
 def _common_length(a: str, b: str) -> int:
@@ -66,53 +64,44 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(200.0 * _common_length(p, q) / (len(p) + len(q)) if p or q else 100.0 for p, q in pairs)
 
 
-def fuzzy_edges(df: DataFrame, key: str, name: str, block: list[str], least: float) -> DataFrame:
-    """Pairs of a block whose names agree, with the ratio; edit distance is the filter before the Python function."""
-    x = df.select(F.col(key).alias("a"), F.lower(name).alias("_na"), *block)
-    y = df.select(F.col(key).alias("b"), F.lower(name).alias("_nb"), *block)
-    pairs = x.join(y, block).filter("a < b")
-    sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    a, b = sorted_(F.col("_na")), sorted_(F.col("_nb"))
-    # a ratio of r needs a common subsequence, so an edit distance of at most (1 - r / 100) of both lengths
-    # in hundredths and with a little room, as a pair exactly at the bound must not be lost to rounding
-    near = pairs.filter(F.levenshtein(a, b) * 100 <= (100 - least) * (F.length(a) + F.length(b)) + 1e-6)
+def fuzzy_edges(df: DataFrame, key: str, name: str, block: list[str], least: int) -> DataFrame:
+    """a < b, ratio: pairs of a block whose names, in lower case and with their words sorted, agree to `least` hundredths.
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[["a", "b"]].assign(ratio=[token_sort_ratio(p, q) for p, q in zip(pdf["_na"], pdf["_nb"], strict=True)])
-            yield out[out["ratio"] >= least]
-
-    return near.select("a", "b", "_na", "_nb").mapInPandas(rate, "a long, b long, ratio double")
+    Distinct names of a block meet by their rarest pairs of letters, not each with each; equal names of many rows are compared once.
+    """
+    rows = df.filter(F.col(name).isNotNull()).select(F.col(key).alias("_key"), F.array_join(F.array_sort(F.split(F.lower(name), " ")), " ").alias("_s"), F.struct(*block).alias("_block")).filter("_s <> ''")
+    names = saved(rows.select("_s", "_block").distinct().withColumn("_n", F.monotonically_increasing_id()), "names")
+    close = spelled(names.select(F.col("_n").alias("_q"), F.col("_s").alias("_qs"), "_block"), names.select(F.col("_n").alias("_e"), F.col("_s").alias("_es"), "_block"), least, ["_block"])
+    named = rows.join(names, ["_s", "_block"]).select("_key", "_n")
+    pairs = close.join(named.select(F.col("_key").alias("a"), F.col("_n").alias("_q")), "_q").join(named.select(F.col("_key").alias("b"), F.col("_n").alias("_e")), "_e")
+    return pairs.filter("a < b").select("a", "b", "ratio")
 
 
 def constrained_clusters(nodes: DataFrame, edges: DataFrame, single: str) -> DataFrame:
-    """nodes (id, kind), edges (a, b, conf) -> id, cluster.
+    """nodes (id, kind), edges (a, b, conf) -> id, cluster (its smallest id).
 
-    Edges join clusters from the surest down unless the joined one would hold two nodes of the `single` kind.  Components come
-    first, in Spark; the ordered part runs within each component.
+    Edges join clusters from the surest down (ties by a, then b) unless the joined one would hold two nodes of the `single` kind.  A round takes the edges that are
+    the best of both their clusters: no better one could change either of these first, so each is decided as in the order of all.  Edges between clusters that may
+    not join, or of one cluster, go.  Rounds end when no edge is left; as many are needed as the longest run of clusters each of which waits for the next.
     """
-    part = components(edges)
-    kinds = nodes.join(part, nodes.id == part.node).select("component", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("conf"), "kind")
-    links = edges.join(part, edges.a == part.node).select("component", "a", "b", "conf", F.lit(None).cast("string").alias("kind"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["b"].isna()]
-        root = {int(i): int(i) for i in own["a"]}
-        count = {int(i): int(k == single) for i, k in zip(own["a"], own["kind"], strict=True)}
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for e in pdf[pdf["b"].notna()].sort_values(["conf", "a", "b"], ascending=[False, True, True]).itertuples():
-            x, y = sorted((find(int(e.a)), find(int(e.b))))
-            if x != y and count[x] + count[y] <= 1:
-                root[y] = x
-                count[x] += count[y]
-        return pd.DataFrame({"id": list(root), "cluster": [find(i) for i in root]})
-
-    solved = kinds.union(links).groupBy("component").applyInPandas(solve, "id long, cluster long")
-    alone = nodes.join(part, nodes.id == part.node, "left_anti").select("id", F.col("id").alias("cluster"))
-    return solved.union(alone)
+    clusters = saved(nodes.select("id", F.col("id").alias("cluster"), (F.col("kind") == single).cast("int").alias("n")), "clusters")
+    links = saved(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "conf", "a", "b"), "links")
+    while True:
+        count = clusters.groupBy("cluster").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+        of = lambda c: count.select(F.col("cluster").alias(c), F.col("n").alias(f"n{c}"))  # noqa: B023, E731
+        open_ = links.filter("x <> y").join(of("x"), "x").join(of("y"), "y").filter("nx + ny <= 1")
+        order = F.struct((-F.col("conf")).alias("c"), F.col("a"), F.col("b"))
+        # of the edges between two clusters only the best matters
+        open_ = saved(open_.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(order).alias("o")), "open")
+        if open_.isEmpty():
+            return clusters.select("id", "cluster")
+        best = open_.select(F.explode(F.array("x", "y")).alias("cluster"), "o").groupBy("cluster").agg(F.min("o").alias("o"))
+        # an edge that is the best of two clusters joins them, the larger to the smaller
+        joined = open_.join(best.select(F.col("cluster").alias("x"), "o"), ["x", "o"]).join(best.select(F.col("cluster").alias("y"), "o"), ["y", "o"]).select("x", "y")
+        move = saved(joined, "joined")
+        to = lambda c: move.select(F.col("y").alias(c), F.col("x").alias("_to"))  # noqa: B023, E731
+        clusters = saved(clusters.join(to("cluster"), "cluster", "left").select("id", F.coalesce("_to", "cluster").alias("cluster"), "n"), "clusters")
+        links = open_.select("x", "y", (-F.col("o.c")).alias("conf"), "o.a", "o.b")
+        for c in ("x", "y"):
+            links = links.join(to(c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        links = saved(links.select("x", "y", "conf", "a", "b"), "links")

@@ -91,25 +91,25 @@ def _grams(text: Column) -> Column:
     return F.when(F.length(text) > 1, F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string")))).otherwise(F.array(text))
 
 
-def _spelled(queries: DataFrame, entries: DataFrame, least: int) -> DataFrame:
-    """_q, _e, ratio of pairs whose sorted words agree to `least` hundredths.
+def spelled(queries: DataFrame, entries: DataFrame, least: int, by: list[str] | None = None) -> DataFrame:
+    """queries (_q, _qs), entries (_e, _es) -> _q, _e, ratio of pairs, of equal `by`, whose texts agree to `least` hundredths.
 
     Texts of m and n letters at a distance of d have (m + n) / 2 - 1 - 3 d / 2 pairs of neighbouring letters in common at least: what they have in common loses a pair and gains
     one at every letter that is put in or taken out.  So close ones share one of the rarest few of either, and only these are joined.
     """
-    rest = 100 - least
+    by, rest = by or [], 100 - least
     allowed = lambda n: F.floor(F.lit(4 * rest) * n / (100 + rest))  # noqa: E731  how many pairs of letters a text may lack in a close one, at its shortest
-    q = queries.select("_q", "_qs", F.length("_qs").alias("_ql"), _grams(F.col("_qs")).alias("_g"))
-    e = entries.select("_e", "_es", F.length("_es").alias("_el"), _grams(F.col("_es")).alias("_g"))
+    q = queries.select("_q", "_qs", *by, F.length("_qs").alias("_ql"), _grams(F.col("_qs")).alias("_g"))
+    e = entries.select("_e", "_es", *by, F.length("_es").alias("_el"), _grams(F.col("_es")).alias("_g"))
     count = e.select(F.explode("_g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
     def rarest(side: DataFrame, id_: str, text: str, size: str) -> DataFrame:
-        each = side.select(id_, text, size, F.explode("_g").alias("gram")).join(count, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        listed = each.groupBy(id_, text, size).agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("_g"))
-        return listed.select(id_, text, size, F.explode(F.slice("_g", F.lit(1), (allowed(F.col(size)) + 1).cast("int"))).alias("g")).select(id_, text, size, "g.gram")
+        each = side.select(id_, text, size, *by, F.explode("_g").alias("gram")).join(count, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        listed = each.groupBy(id_, text, size, *by).agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("_g"))
+        return listed.select(id_, text, size, *by, F.explode(F.slice("_g", F.lit(1), (allowed(F.col(size)) + 1).cast("int"))).alias("g")).select(id_, text, size, *by, "g.gram")
 
     near = F.abs(F.col("_ql") - F.col("_el")) * 100 <= (F.col("_ql") + F.col("_el")) * rest
-    pairs = rarest(q, "_q", "_qs", "_ql").join(rarest(e, "_e", "_es", "_el"), "gram").filter(near).select("_q", "_e", "_qs", "_es").distinct()
+    pairs = rarest(q, "_q", "_qs", "_ql").join(rarest(e, "_e", "_es", "_el"), ["gram", *by]).filter(near).select("_q", "_e", "_qs", "_es").distinct()
     return pairs.mapInArrow(_close, "_q long, _e long, ratio double").filter(F.col("ratio") >= least - 1e-9)
 
 
@@ -145,7 +145,7 @@ def search(queries: DataFrame, query: str, text: str, lexicon: DataFrame, id_: s
     inside = rarest(plain_q, "_q").select("_q", F.col("tokens").alias("a"), "token").join(plain_e.select("_e", F.col("tokens").alias("b"), F.explode("tokens").alias("token")), "token")
     around = rarest(plain_e.filter(F.exists("tokens", lambda w: F.length(w) >= 4)), "_e").select("_e", F.col("tokens").alias("a"), "token").join(plain_q.select("_q", F.col("tokens").alias("b"), F.explode("tokens").alias("token")), "token")
     subset = (F.size(F.array_except("a", "b")) == 0) & (2 * F.size("a") >= F.size("b"))
-    close = _spelled(plain_q.filter("sorted <> ''").select("_q", F.col("sorted").alias("_qs")), plain_e.select("_e", F.col("sorted").alias("_es")), least_ratio)
+    close = spelled(plain_q.filter("sorted <> ''").select("_q", F.col("sorted").alias("_qs")), plain_e.select("_e", F.col("sorted").alias("_es")), least_ratio)
     every = found(exact, F.lit(1.0), "exact").union(found(plural, F.lit(1.0), "exact")).union(found(inside.filter(subset), F.lit(0.8), "subset")).union(found(around.filter(subset), F.lit(0.8), "subset"))
     every = every.union(found(close, 0.75 * F.col("ratio") / 100, "spelling"))
     scored = every.groupBy("_q", "_e").agg(F.max(F.struct("share", "how")).alias("s")).join(e.select("_e", "_id", "_term", "_w"), "_e").withColumn("score", F.col("s.share") * F.col("_w")).filter(F.col("score") >= least_score - 1e-12)

@@ -3,11 +3,13 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import expit
+from lodestone.operators.draws import BITS, uniform
 from lodestone.operators.ranking import percentile_ranks
 
 
@@ -49,13 +51,12 @@ def as_of(df: DataFrame, date: str, cutoff: str) -> DataFrame:
 
 
 def rank_intervals(df: DataFrame, key: str, score: str, sd: Column, draws: int, seed: int) -> DataFrame:
-    """Rank quantiles of each key over draws of score + sd x normal noise, the noise a hash of (seed, draw, key).
+    """Rank quantiles of each key over draws of score + sd x normal noise, the noise from the md5 of seed, draw and key.
 
     df holds one row for each ranked key (areas, not records); rows grow by `draws`.
     """
-    grain = float(1 << 30)
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "draw", key), F.lit(1 << 30)) + 0.5) / grain
-    noise = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
+    u = lambda k: (uniform(seed, "draw", key, F.lit(k)) + 0.5) / float(1 << BITS)
+    noise = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * pi * u(2))
     rows = df.select(key, F.col(score).alias("_s"), sd.alias("_sd"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     rows = rows.withColumn("_x", F.col("_s") + F.col("_sd") * noise)
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(F.col("_x").desc_nulls_last(), key)))

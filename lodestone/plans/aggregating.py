@@ -141,7 +141,10 @@ def upset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.upset_counts(e, "user_id", flags)
 
 
-@plan()
+_LINE = ['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']
+
+
+@plan(f"""SELECT count(*) AS rows, sum(('0x' || substr(md5(concat_ws(',', {', '.join(f"coalesce(length({c}::VARCHAR)::VARCHAR, '-') || ':' || coalesce({c}::VARCHAR, 'null')" for c in _LINE)})), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS hash FROM lineitem""")
 def table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     (l,) = read(spark, sf_dir, "lineitem")
     return aggregates.table_hash(l)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import entity, governance, statistics, text
 from lodestone.plans.common import plan, read
+from lodestone.plans.lexicon import _LCS
 from lodestone.plans.scalar import _NORM
 
 
@@ -124,14 +125,23 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.components(edges)
 
 
-@plan()
+@plan(f"""WITH n AS (SELECT p_partkey, p_brand, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS s FROM part),
+x AS (SELECT u.p_partkey AS p, v.p_partkey AS q, string_split(u.s, '') AS a, string_split(v.s, '') AS b FROM n u JOIN n v ON u.p_brand = v.p_brand AND u.p_partkey < v.p_partkey AND abs(length(u.s) - length(v.s)) * 100 <= 15 * (length(u.s) + length(v.s))),
+d AS (SELECT DISTINCT a, b FROM x), r AS (SELECT a, b, 200.0 * {_LCS} / (len(a) + len(b)) AS ratio FROM d) SELECT p AS a, q AS b, round(ratio, 6) AS ratio FROM x JOIN r USING (a, b) WHERE ratio >= 85""")
 def fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one brand and size whose names agree by token-sort ratio."""
+    """Parts of one brand whose names agree by token-sort ratio."""
     (p,) = read(spark, sf_dir, "part")
-    return entity.fuzzy_edges(p, "p_partkey", "p_name", ["p_brand", "p_size"], 90.0)
+    return entity.fuzzy_edges(p, "p_partkey", "p_name", ["p_brand"], 85).withColumn("ratio", F.round("ratio", 6))
 
 
-@plan()
+_CONF = "SELECT a.s_suppkey AS a, b.s_suppkey AS b, 1 / (b.s_suppkey - a.s_suppkey)::DOUBLE AS conf FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND b.s_suppkey - a.s_suppkey < 40"
+
+
+@plan(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY conf DESC, a, b) AS i FROM ({_CONF})), n AS (SELECT list(s_suppkey ORDER BY s_suppkey) AS ids, list((s_suppkey % 10 = 0)::INT ORDER BY s_suppkey) AS singles FROM supplier),
+r AS (SELECT 0::BIGINT AS i, ids AS lab, ids, singles FROM n UNION ALL
+  SELECT e.i, CASE WHEN list_sum(list_transform(lab, lambda l, k: CASE WHEN l IN (lab[list_position(ids, a)], lab[list_position(ids, b)]) THEN singles[k] ELSE 0 END)) <= 1
+    THEN list_transform(lab, lambda l: CASE WHEN l = greatest(lab[list_position(ids, a)], lab[list_position(ids, b)]) THEN least(lab[list_position(ids, a)], lab[list_position(ids, b)]) ELSE l END) ELSE lab END, ids, singles FROM r JOIN e ON e.i = r.i + 1)
+SELECT unnest(ids) AS id, unnest(lab) AS cluster FROM (SELECT ids, lab FROM r ORDER BY i DESC LIMIT 1)""")
 def constrained_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers joined in order of confidence, at most one of a kind in a cluster."""
     (s,) = read(spark, sf_dir, "supplier")

@@ -132,7 +132,11 @@ def phenotype_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, features=_phenotype_features(spark, sf_dir))
 
 
-@plan()
+_U = ["(('0x' || substr(md5('3:' || d || ':' || n_nationkey || ':%d'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656" % k for k in (1, 2)]
+
+
+@plan(f"""WITH a AS ({_AREAS}), x AS (SELECT n_nationkey, d, burden + 5000.0 * sqrt(-2 * ln({_U[0]})) * cos(2 * pi() * ({_U[1]})) AS x FROM a, range(1, 201) AS t(d)),
+r AS (SELECT n_nationkey, row_number() OVER (PARTITION BY d ORDER BY x DESC, n_nationkey) AS r FROM x) SELECT n_nationkey, quantile_cont(r, 0.025) AS rank_low, quantile_cont(r, 0.5) AS rank_median, quantile_cont(r, 0.975) AS rank_high FROM r GROUP BY 1""")
 def mc_rank_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rank_intervals(areas(spark, sf_dir), "n_nationkey", "burden", F.lit(5000.0), 200, 3)
 

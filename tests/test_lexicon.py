@@ -99,7 +99,7 @@ def test_spelling_pairs_by_force(spark):
         return row[-1]
 
     expected = {(i, j) for i, x in enumerate(changed) for j, y in enumerate(base) if 200 * lcs(x, y) >= 88 * (len(x) + len(y))}
-    assert {(r._q, r._e) for r in L._spelled(q, e, 88).collect()} == expected and len(expected) > 60
+    assert {(r._q, r._e) for r in L.spelled(q, e, 88).collect()} == expected and len(expected) > 60
     assert all(L.indel(x, y) == len(x) + len(y) - 2 * lcs(x, y) for x in changed[:20] for y in base[:20])
 
 
