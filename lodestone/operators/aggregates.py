@@ -20,8 +20,8 @@ def sorted_list_text(value: Column, sep: str = "|") -> Column:
 def mode_smallest(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """The most frequent non-null value of each group, ties to the smallest."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.col("_n").desc(), value)
-    return counts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*by, F.col(value).alias(out), F.col("_n").alias("n"))
+    best = F.min(F.struct((-F.col("_n")).alias("_m"), F.col(value)))
+    return counts.groupBy(*by).agg(best.alias("_b")).select(*by, F.col(f"_b.{value}").alias(out), (-F.col("_b._m")).alias("n"))
 
 
 def parent_child_sum(df: DataFrame, key: list[str], is_child: str, amount: str, ident: str) -> DataFrame:

@@ -4,12 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.prefix import running, with_ranges
+
 
 def competition_rank(df: DataFrame, score: str, eligible: Column, by: list[str], out: str) -> DataFrame:
     """1 for the best eligible score of a group, equal scores share the smallest rank; null otherwise."""
     ok = F.coalesce(eligible, F.lit(False)) & F.col(score).isNotNull()
-    w = Window.partitionBy(*by, ok).orderBy(F.col(score).desc_nulls_last())
-    return df.withColumn(out, F.when(ok, F.rank().over(w)))
+    rows = df.withColumn("_ok", ok)
+    counts = rows.filter("_ok").groupBy(*by, score).agg(F.count("*").alias("_n"))
+    above = running(with_ranges(counts, [*by, score]), F.col("_n"), [score], "_run", backward=True, by=by).select(*[F.col(c).alias(f"_of_{c}") for c in [*by, score]], (F.col("_run") - F.col("_n") + 1).alias("_rank"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, score]]
+    return rows.join(above, same, "left").select(*df.columns, F.when(F.col("_ok"), F.col("_rank")).alias(out))
 
 
 def limit_with_record(df: DataFrame, by: list[str], order: list[Column], k: int) -> tuple[DataFrame, DataFrame]:
@@ -66,9 +71,10 @@ def rank_by_basis(df: DataFrame, by: list[str], bases: list[tuple[str, Column]],
     """Rank within a group by the first basis that a row has (larger is better), earlier bases before later ones; ties by key."""
     name = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in bases])
     place = F.coalesce(*[F.when(c.isNotNull(), F.lit(i)) for i, (_, c) in enumerate(bases)])
-    w = Window.partitionBy(*by).orderBy(F.col("_p").asc_nulls_last(), F.col("_v").desc_nulls_last(), key)
-    rows = df.withColumn("basis", name).withColumn("_p", place).withColumn("_v", F.coalesce(*[c.cast("double") for _, c in bases]))
-    return rows.withColumn("rank", F.row_number().over(w)).drop("_p", "_v")
+    rows = df.withColumn("basis", name).withColumn("_p", F.coalesce(place, F.lit(len(bases)))).withColumn("_v", F.coalesce(*[c.cast("double") for _, c in bases]))
+    rows = rows.withColumn("_w", F.coalesce(-F.col("_v"), F.lit(float("inf"))))
+    ranked = running(with_ranges(rows, [*by, "_p", "_w", key]), F.lit(1), ["_p", "_w", key], "rank", by=by)
+    return ranked.select(*df.columns, "basis", F.col("rank").cast("int").alias("rank"))
 
 
 def tie_averaged_overlap(df: DataFrame, chance: str, wanted: DataFrame, key: str) -> DataFrame:
@@ -110,8 +116,8 @@ def still_inactive(df: DataFrame, ident: str, off: str, on: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Area under the precision-recall curve by group: precision at each distinct score times the recall that it adds."""
     at = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_h"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.withColumn("_hits", F.sum("_h").over(w)).withColumn("_all", F.sum("_n").over(w))
+    hits = running(with_ranges(at, [*by, score]), F.col("_h"), [score], "_hits", backward=True, by=by)
+    run = running(hits, F.col("_n"), [score], "_all", backward=True, by=by)
     return run.groupBy(*by).agg(F.try_divide(F.sum(F.col("_h") * F.col("_hits") / F.col("_all")), F.sum("_h")).alias("ap"))
 
 

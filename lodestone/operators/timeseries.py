@@ -152,6 +152,12 @@ def main_rest_window(df: DataFrame, by: list[str], minute: str, resting: Column,
 
 def nearest_event(df: DataFrame, by: str, day: str, events: DataFrame, event_day: str, low: int, high: int) -> DataFrame:
     """Offset of the event day nearest to a row's day among those from `low` to `high` days after it; earlier of equally near ones; null for none."""
+    # events of the windows about a row's day lie in the two cells of the row's window, so a long history meets only what is near
+    width = high - low + 1
+    e = events.select(F.col(by), F.col(event_day).alias("_e")).filter("_e IS NOT NULL").distinct().withColumn("_cell", F.floor(F.col("_e") / width))
+    days = df.select(by, day).distinct()
+    near = days.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor((F.col(day) + low) / width), F.floor((F.col(day) + high) / width)))))
     gap = F.col("_e") - F.col(day)
-    joined = df.join(events.select(F.col(by), F.col(event_day).alias("_e")), by, "left").withColumn("_gap", F.when(gap.between(low, high), gap))
-    return joined.groupBy(by, day).agg(F.min_by("_gap", F.when(F.col("_gap").isNotNull(), F.struct(F.abs("_gap"), "_gap"))).alias("offset"))
+    met = near.join(e, [by, "_cell"]).withColumn("_gap", gap).filter(F.col("_gap").between(low, high))
+    best = met.groupBy(by, day).agg(F.min_by("_gap", F.struct(F.abs("_gap"), "_gap")).alias("offset"))
+    return days.join(best, [by, day], "left")

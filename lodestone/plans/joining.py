@@ -68,10 +68,10 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o.filter("o_totalprice > 300000"), c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_name")
 
 
-@plan("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@plan("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = read(spark, sf_dir, "customer", "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
+    return c.join(o.filter("o_totalprice > 300000"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
 @plan("""SELECT n_nationkey, c_mktsegment, coalesce(n, 0) AS n FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)

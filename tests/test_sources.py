@@ -20,6 +20,23 @@ def test_store_round_trip_and_drift(spark, tmp_path):
         store.read("missing")
 
 
+def test_a_write_that_fails_leaves_the_old_table_and_readers_keep_theirs(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}")
+    write = lambda rows: store.write(spark.createDataFrame(rows, "id int"), "t", "test")
+    write([(1,), (2,)])
+    reader = store.read("t")
+    with pytest.raises(Exception, match="broken"):
+        store.write(spark.range(2).selectExpr("CASE WHEN id = 1 THEN raise_error('broken') ELSE 1 END AS id"), "t", "test")
+    assert store.read("t").count() == 2 and store.notes("t")[0]["rows"] == 2
+    write([(3,)])
+    assert reader.count() == 2 and [r.id for r in store.read("t").collect()] == [3] and store.notes("t")[0]["rows"] == 1
+    write([(4,)])
+    write([(5,)])
+    assert len(list((tmp_path / "table=t" / "source=main").glob("version=*"))) == 3  # the last two and what the failed write left
+    with pytest.raises(FileNotFoundError):
+        store.read("t", source="other")
+
+
 def test_delimited_and_fixed_width(spark, tmp_path):
     (tmp_path / "a.txt").write_text("GEO_ID|E1\n0500000US01001|5\n0400000US01|x\n")
     got = files.read_levels(spark, str(tmp_path / "a.txt"), "GEO_ID", ["0500000US"]).collect()
