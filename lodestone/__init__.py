@@ -1 +1,9 @@
-"""A PySpark-native analytics engine."""
+"""A PySpark-native analytics engine.
+
+Functions that run in Python workers are shipped by value, so executors need no copy of the package on their path.
+"""
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+register_pickle_by_value(sys.modules[__name__])

@@ -17,6 +17,7 @@ from lodestone.plans import (  # noqa: F401
     reshaping,
     scalar,
     scoring,
+    selecting,
     series,
     smallarea,
     streams,
