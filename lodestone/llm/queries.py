@@ -97,6 +97,23 @@ QUERIES = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def jaccard_sql(width: int, per_cent: int, more: str = "") -> str:
+    """Components of documents (unique doc_ids) whose sets of shingles agree to so many hundredths; every pair that shares a shingle is counted."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS p FROM w WHERE len(w) > 0),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + {width - 1}], ' ') AS g FROM placed),
+  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {per_cent} * (x.n + y.n - c)),
+  both_ways AS (FROM links UNION ALL SELECT b, a FROM links),
+  reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON a = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(first, doc_id) AS component_id{more}
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS first FROM reach GROUP BY node) USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": f"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
@@ -123,9 +140,9 @@ WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, '
     UNION ALL SELECT page_id * 2 + 1, url, page_id * 10 + 5, 304, CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE tag END, CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE 'W/' || tag END, 0, true FROM p),
   bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS b FROM records),
   canon AS (SELECT *, regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www[.]|:(80|443)$', '', 'g') || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') ||
-      coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{warc.TRACKING}'))), '&'), ''), '') AS canonical_url FROM bare),
-  fulls AS (SELECT canonical_url, ts, record_id, tag, raw_tag, size FROM canon WHERE status = 200),
-  joined AS (SELECT c.*, f.record_id AS ref, f.tag AS ref_tag, f.size AS ref_size FROM canon c ASOF LEFT JOIN fulls f ON c.canonical_url = f.canonical_url AND c.ts > f.ts),
+      coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{warc.TRACKING}'))), '&'), ''), '') AS canonical_url, ts::HUGEINT * 1000000000000 + record_id AS moment FROM bare),
+  fulls AS (SELECT canonical_url, moment, record_id, tag, raw_tag, size FROM canon WHERE status = 200),
+  joined AS (SELECT c.*, f.record_id AS ref, f.tag AS ref_tag, f.size AS ref_size FROM canon c ASOF LEFT JOIN fulls f ON c.canonical_url = f.canonical_url AND c.moment > f.moment),
   judged AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN ref IS NULL THEN 'missing' WHEN tag = ref_tag THEN 'resolved' ELSE 'validator-mismatch' END AS resolution FROM joined)
 SELECT record_id, canonical_url, ts, resolution, CASE WHEN resolution = 'resolved' THEN ref END AS refers_to,
   (CASE WHEN again THEN 'cache-control=max-age=60;' ELSE '' END) || 'content-length=' || (CASE WHEN resolution = 'resolved' THEN ref_size ELSE size END) ||
@@ -133,16 +150,7 @@ SELECT record_id, canonical_url, ts, resolution, CASE WHEN resolution = 'resolve
 FROM judged""",
     "op9_url_filter": urls.oracle(),
     "op11_importance_resampling": resampling.oracle(),
-    "op12_ngram_jaccard_join": f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-  placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM w WHERE len(w) > 0),
-  s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g FROM placed),
-  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-  common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-  links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
-  both_ways AS (FROM links UNION ALL SELECT b, a FROM links),
-  reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON a = other)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(first, doc_id) AS component_id
-FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS first FROM reach GROUP BY node) USING (doc_id)""",
+    "op2_near_dedup": jaccard_sql(5, 85, ", coalesce(first, doc_id) = doc_id AS kept"),
+    "op12_ngram_jaccard_join": jaccard_sql(3, 90),
     "op13_centroid_clustering": centroids.oracle(),
 }
