@@ -37,6 +37,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
+def ancestors(parents: DataFrame) -> DataFrame:
+    """parents (node, parent) -> node, ancestor: a row for each path upwards, however long.
+
+    Rounds double the paths: those of up to 2 ** k steps go on from the ends of those of just as many, so each is made once and the rounds are the logarithm of the
+    longest.  A node that is its own ancestor is an error.
+    """
+    jump = saved(parents.filter("node IS NOT NULL AND parent IS NOT NULL").select("node", F.col("parent").alias("ancestor")), "paths")
+    found = jump
+    while True:
+        own = found.filter("node = ancestor").limit(5).collect()
+        if own:
+            raise ValueError(f"nodes are their own ancestors: {sorted(r['node'] for r in own)}")
+        ends = jump.select("node", F.col("ancestor").alias("_end"))
+        on = lambda paths: ends.join(paths.select(F.col("node").alias("_end"), "ancestor"), "_end").select("node", "ancestor")  # noqa: B023, E731
+        more, jump = saved(on(found), "paths"), saved(on(jump), "paths")
+        if more.isEmpty():
+            return found
+        found = found.union(more)
+
+
 def _common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)

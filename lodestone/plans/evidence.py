@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators import entity
 from lodestone.plans.common import plan, read
 
 
@@ -65,13 +66,10 @@ def set_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("""WITH RECURSIVE up(node, ancestor) AS (SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey // 4 > 0 UNION ALL SELECT node, ancestor // 4 FROM up WHERE ancestor // 4 > 0)
 SELECT node, ancestor FROM up""")
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ancestors in a parent map, by a recursive query."""
+    """All ancestors in a parent map."""
     (p,) = read(spark, sf_dir, "part")
     parents = p.select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 4").alias("parent")).filter("parent > 0")
-    return spark.sql(
-        "WITH RECURSIVE up(node, ancestor) AS (SELECT node, parent FROM {parents} UNION ALL SELECT up.node, p.parent FROM up JOIN {parents} p ON p.node = up.ancestor) SELECT node, ancestor FROM up",
-        parents=parents,
-    )
+    return entity.ancestors(parents)
 
 
 @plan("""WITH q AS (SELECT o_orderkey, o_orderkey * 3 % 4000 AS k FROM orders), a AS (SELECT p_partkey AS k, p_name AS x FROM part WHERE p_size <= 20),

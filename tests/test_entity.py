@@ -45,3 +45,16 @@ def test_near_names_by_force(spark):
     got = {(r.a, r.b): r.ratio for r in entity.fuzzy_edges(spark.createDataFrame(rows, "k long, n string, g int"), "k", "n", ["g"], 80).collect()}
     want = {(a, b): entity.token_sort_ratio(x, y) for a, x, g in rows for b, y, h in rows if a < b and g == h and x and y and entity.token_sort_ratio(x, y) >= 80}
     assert got == pytest.approx(want) and len(want) > 30
+
+
+def test_ancestors_of_long_chains_forks_and_rings(spark):
+    # a recursive query stops at 100 levels
+    chain = [(i, i + 1) for i in range(150)]
+    got = entity.ancestors(spark.createDataFrame(chain, "node long, parent long")).collect()
+    assert sorted(map(tuple, got)) == [(i, j) for i in range(150) for j in range(i + 1, 151)]
+    # two ways to one ancestor are two rows, as in UNION ALL; nulls lead nowhere
+    fork = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, None), (None, 5)], "node long, parent long")
+    assert sorted(map(tuple, entity.ancestors(fork).collect())) == [(1, 2), (1, 3), (1, 4), (1, 4), (2, 4), (3, 4)]
+    assert entity.ancestors(fork.filter("false")).collect() == []
+    with pytest.raises(ValueError, match="own ancestors"):
+        entity.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1)], "node long, parent long"))
