@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import ascii_words
 from lodestone.operators import entity, governance, statistics, text
 from lodestone.plans.common import plan, read
 from lodestone.plans.lexicon import _LCS
@@ -155,7 +156,7 @@ def constrained_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '(?i)license version [0-9]', ' ', 'g') AS t FROM documents) SELECT doc_id, lower(regexp_extract(t, '(?i)\b(licensed under|released under)\b')) AS mention FROM t WHERE regexp_matches(t, '(?i)\b(licensed under|released under)\b')""")
 def mention_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     (d,) = read(spark, sf_dir, "documents")
-    return text.mentions(d, "doc_id", "text", r"(?i)\b(licensed under|released under)\b", r"(?i)license version [0-9]")
+    return text.mentions(d, "doc_id", "text", ascii_words("(?i)(licensed under|released under)"), r"(?i)license version [0-9]")
 
 
 @plan(f"""WITH lex AS (SELECT {_NORM.format(x="p_type")} AS k, min(p_partkey) AS id, count(DISTINCT p_brand) AS n FROM part WHERE p_size < 10 GROUP BY 1), q AS (SELECT p_partkey, {_NORM.format(x="upper(p_type) || ' !'")} AS k FROM part)

@@ -62,3 +62,14 @@ def test_columns_are_judged_by_names_and_values(spark):
     got = {r.column: (r.by_name, r.refused, r.filled) for r in governance.sensitive_columns(df).collect()}
     assert got == {"note": (None, 1, 2), "contact": (None, 1, 3), "birthdate": ("date", 0, 0)}
     assert governance.sensitive_columns(df.select("age")).collect() == []
+
+
+def test_word_borders_are_those_of_ascii(spark, tmp_path):
+    from lodestone.plans import QUERIES
+
+    df = spark.createDataFrame([(1, "CI\u00d3NBO, model"), (2, "xNBO model"), (3, "\u00e9123-45-6789"), (4, "\u00e9licensed under\u00e9"), (5, None)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda q, c: {r.doc_id: r[c] for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    assert run("phrase_tiers", "acronym") == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert run("pii_scan", "kind") == {1: None, 2: None, 3: "ssn", 4: None, 5: None}
+    assert run("mention_scan", "mention") == {4: "licensed under"}
