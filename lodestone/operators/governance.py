@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import refused_value, sensitive_kind
+from lodestone.functions.scalars import personal_within, sensitive_kind
 
 #: The columns that every written table carries.
 PROVENANCE = ["source_name", "source_record_id", "source_version", "retrieved_at", "source_geographic_resolution", "evidence_type", "evidence_level", "provenance_notes", "data_layer"]
@@ -46,10 +46,10 @@ def count_diff(tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
 
 
 def sensitive_columns(df: DataFrame) -> DataFrame:
-    """column, by_name (the kind that its name tells of), refused (values that look personal), filled: every text column, from one pass."""
+    """column, by_name (the kind that its name tells of), refused (values with something that looks personal, in longer words and numbers too), filled: every text column, from one pass."""
     text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     if not text:
         return df.sparkSession.createDataFrame([], "column string, by_name string, refused long, filled long")
-    one = df.agg(*[F.count_if(refused_value(F.col(c)).isNotNull()).alias(f"r{i}") for i, c in enumerate(text)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(text)])
+    one = df.agg(*[F.count_if(personal_within(F.col(c))).alias(f"r{i}") for i, c in enumerate(text)], *[F.count(c).alias(f"n{i}") for i, c in enumerate(text)])
     rows = [F.struct(F.lit(c).alias("column"), F.lit(sensitive_kind(c)).alias("by_name"), F.col(f"r{i}").alias("refused"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(text)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -64,6 +64,11 @@ def test_columns_are_judged_by_names_and_values(spark):
     assert governance.sensitive_columns(df.select("age")).collect() == []
 
 
+def test_values_within_longer_numbers_count_in_columns(spark):
+    df = spark.createDataFrame([("id 123-45-67890",), ("x2024-01-31y",), ("2024-01-3",), (None,)], "note string")
+    assert [tuple(r) for r in governance.sensitive_columns(df).collect()] == [("note", None, 2, 3)]
+
+
 def test_word_borders_are_those_of_ascii(spark, tmp_path):
     from lodestone.plans import QUERIES
 
