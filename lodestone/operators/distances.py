@@ -1,22 +1,28 @@
 """Sums over all pairs of points by distance class, without writing pairs; the effective size of a correlated spatial sample.
 
-Places become nodes of a tree of cells.  A pair of nodes whose nearest and farthest corners lie in one class is counted at once, from the nodes' numbers and
-sums; others go on as pairs of their children, level by level, each level one join of tables.  Only pairs of small nodes that a class border parts are met place by place, and
-added up where they are made.  Points of one place are one row first.
+Points of one place are one row first.  Places are numbered along a curve that keeps near ones together and dealt, a run of them at a time, to blocks; each pair of blocks
+is a task, so that a place is shuffled once for every block and no pair is.  A task has a tree of boxes over either block: two boxes whose nearest and farthest corners lie in
+one class are counted at once, from their numbers and sums; others go on as pairs of their children.  Only places of small boxes that a class border parts are met one by one.
 """
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.prefix import saved
+from lodestone.operators.prefix import running, saved, with_ranges
 from lodestone.operators.ranking import mid_rank
 
 EARTH_KM = 6371.0088
-#: Levels of the tree, and places of two nodes that are met one by one.
-LEVELS, LEAF = 16, 1024
+#: Halvings of each axis that the curve tells apart, and places of two boxes that are met one by one (the square of a box's places).
+LEVELS, LEAF = 16, 256
+#: Places of a block at most, places of a block of few places, and of a run along the curve.
+BLOCK, FEW, RUN = 1 << 16, 1 << 11, 512
+#: Pairs of boxes and of places that a task looks at together, and steps of squared chords whose class is known beforehand.
+TOGETHER, MET, STEPS = 1 << 14, 1 << 16, 1 << 14
 AXES = "xyz"
 
 
@@ -26,20 +32,109 @@ def on_sphere(lat: Column, lon: Column) -> list[Column]:
     return [(F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z")]
 
 
-def _class(chord: Column, band: float, last: int, sphere: bool) -> Column:
-    d = 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), chord / 2)) if sphere else chord
-    return F.least(F.floor(d / band), F.lit(last)).cast("int")
-
-
-def _cell(level: int) -> Column:
-    """A place's cell at a level, as one number."""
-    shift = LEVELS - level
-    return F.shiftleft(F.shiftright("ix", shift), 40) + F.shiftleft(F.shiftright("iy", shift), 20) + F.shiftright("iz", shift)
-
-
-def _parent(cell: Column) -> Column:
-    part = lambda by: F.shiftright(F.shiftright(cell, by).bitwiseAND((1 << 20) - 1), 1)
-    return F.shiftleft(part(40), 40) + F.shiftleft(part(20), 20) + part(0)
+def _classes(chord: np.ndarray, band: float, last: int, sphere: bool) -> np.ndarray:
+    d = 2 * EARTH_KM * np.arcsin(np.minimum(1.0, chord / 2)) if sphere else chord
+    return np.minimum(np.floor(d / band), last).astype(np.int64)
+
+
+def _curve() -> Column:
+    """A place's cell on the finest level as one number, whose high bits are those of its coarse cells."""
+    bit = lambda a, k: F.shiftleft(F.shiftright(f"i{a}", k).bitwiseAND(1), 3 * k + AXES.index(a))
+    return sum((bit(a, k) for k in range(LEVELS) for a in AXES), F.lit(0).cast("long"))
+
+
+def _tree(at: np.ndarray, w: np.ndarray, leaf: int) -> tuple:
+    """Places (m x 3) and their numbers and sums in the curve's order, filled up to whole leaves by places that count nothing; boxes from the leaves up, four to one."""
+    more = -len(at) % leaf
+    at, w = np.concatenate([at, np.repeat(at[-1:], more, 0)]), np.concatenate([w, np.zeros((more, w.shape[1]))])
+    low, high, sums = (f(v.reshape(len(at) // leaf, leaf, -1), axis=1) for f, v in ((np.min, at), (np.max, at), (np.sum, w)))
+    levels = [(low, high, sums)]
+    while len(low) > 1:
+        cut = np.arange(0, len(low), 4)
+        low, high, sums = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.add.reduceat(sums, cut)
+        levels.append((low, high, sums))
+    return at.reshape(-1, leaf, 3), w.reshape(-1, leaf, w.shape[1]), levels
+
+
+def _block_sums(a: tuple, b: tuple | None, band: float, last: int, sphere: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By class: ordered pairs, and sums of products, over the pairs of two trees' places, or of one's."""
+    one, b = b is None, a if b is None else b
+    (at, aw, au), (bt, bw, bu) = a, b
+    values = (aw.shape[2] - 1) // 2
+    # what is known of a squared chord by its step: the least and the largest class there, with room for rounding
+    top = min(2.0, 2 * math.sin(min(math.pi, last * band / EARTH_KM) / 2)) if sphere else last * band
+    scale = STEPS / ((top * 1.001) ** 2 or 1.0)
+    edge = np.sqrt(np.arange(STEPS + 1) / scale)
+    border = np.array([2 * math.sin(min(math.pi, k * band / EARTH_KM) / 2) if sphere else k * band for k in range(last + 1)])
+    least, most = _classes(edge[:-1] * (1 - 1e-9), band, last, sphere), _classes(edge[1:] * (1 + 1e-9), band, last, sphere)
+    least[-1], most[-1] = _classes(edge[-2:-1] * (1 - 1e-9), band, last, sphere)[0], last
+    step = lambda c: np.minimum(c * scale, STEPS - 1).astype(np.int32)
+    pairs, sums = np.zeros(last + 1, np.int64), np.zeros((last + 1, values))
+
+    def add(kind: np.ndarray, n: np.ndarray, products: list[np.ndarray]) -> None:
+        pairs[:] += np.rint(np.bincount(kind, n, last + 1)).astype(np.int64)
+        for v, x in enumerate(products):
+            sums[:, v] += np.bincount(kind, x, last + 1)
+
+    def by_place(i: np.ndarray, j: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+        chord = np.zeros((len(i), at.shape[1], bt.shape[1]))
+        for k in range(3):
+            gap = at[i, :, k][:, :, None] - bt[j, :, k][:, None, :]
+            gap *= gap
+            chord += gap
+        one_leaf = one & (i == j)
+        x, y, times = aw[i][:, :, : 1 + values], bw[j][:, :, : 1 + values], np.where(one_leaf, 1.0, 2.0)
+        two = far == near + 1
+        if two.all():  # a border parts the places of each pair of leaves: sums on its nearer side, the rest is beyond
+            low, high = (((border[far] * f) ** 2)[:, None, None] for f in (1 - 1e-9, 1 + 1e-9))
+            nearer = chord < low
+            unsure = np.nonzero((chord < high) & ~nearer)
+            nearer[unsure] = _classes(np.sqrt(chord[unsure]), band, last, sphere) <= near[unsure[0]]
+            inner = ((nearer.astype(np.float64) @ y) * x).sum(1) * times[:, None]
+            outer = y.sum(1) * x.sum(1) * times[:, None] - inner
+            add(np.concatenate([near, far]), np.concatenate([inner[:, 0], outer[:, 0]]), list(np.concatenate([inner[:, 1:], outer[:, 1:]]).T))
+        else:
+            chord = chord.ravel()
+            known = step(chord)
+            kind = least[known]
+            unsure = np.flatnonzero(kind != most[known])
+            kind[unsure] = _classes(np.sqrt(chord[unsure]), band, last, sphere)
+            product = lambda c: ((x[:, :, c] * times[:, None])[:, :, None] * y[:, None, :, c]).ravel()
+            add(kind, product(0), [product(1 + v) for v in range(values)])
+        same = aw[i[one_leaf]].reshape(-1, aw.shape[2]).sum(0)  # a point is no pair with itself
+        pairs[0] -= round(same[0])
+        sums[0] -= same[1 + values :]
+
+    top_level = max(len(au), len(bu)) - 1
+    level_of = lambda u, k: u[min(k, len(u) - 1)]
+    todo = [(top_level, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        level, i, j = todo.pop()
+        if len(i) > TOGETHER:
+            todo += [(level, i[:TOGETHER], j[:TOGETHER]), (level, i[TOGETHER:], j[TOGETHER:])]
+            continue
+        (al, ah, an), (bl, bh, bn) = level_of(au, level), level_of(bu, level)
+        al, ah, bl, bh = al[i], ah[i], bl[j], bh[j]
+        near, far = (np.maximum(np.maximum(al - bh, bl - ah), 0.0) ** 2).sum(1), (np.maximum(ah - bl, bh - al) ** 2).sum(1)
+        kind, farthest = least[step(near)], most[step(far)]
+        done = kind == farthest
+        p, q = an[i[done]], bn[j[done]]
+        same = one & (i[done] == j[done])
+        add(kind[done], np.where(same, p[:, 0] * (p[:, 0] - 1), 2 * p[:, 0] * q[:, 0]), [np.where(same, p[:, 1 + v] ** 2 - p[:, 1 + values + v], 2 * p[:, 1 + v] * q[:, 1 + v]) for v in range(values)])
+        i, j, kind, farthest = i[~done], j[~done], kind[~done], farthest[~done]
+        if level == 0:
+            for two in (True, False):
+                at_once = np.flatnonzero((farthest == kind + 1) == two)
+                for k in range(0, len(at_once), MET // LEAF + 1):
+                    few = at_once[k : k + MET // LEAF + 1]
+                    by_place(i[few], j[few], kind[few], farthest[few])
+        elif len(i):
+            child = lambda u, x: (4 * x[:, None] + np.arange(4), len(u[level - 1][0])) if level < len(u) else (np.stack([x, *[x + 1] * 3], 1), 1)  # noqa: B023, E731
+            (ci, ni), (cj, nj) = child(au, i), child(bu, j)
+            ci, cj = np.repeat(ci, 4, 1).ravel(), np.tile(cj, (1, 4)).ravel()
+            ok = (ci < ni) & (cj < nj) & ((ci <= cj) if one else True)
+            todo.append((level - 1, ci[ok], cj[ok]))
+    return pairs, sums
 
 
 def pair_sums(points: DataFrame, values: list[str], band: float, longest: float, sphere: bool) -> DataFrame:
@@ -48,63 +143,42 @@ def pair_sums(points: DataFrame, values: list[str], band: float, longest: float,
     Class k holds distances from k * band to less than (k + 1) * band; beyond `longest` there is one class.  With `sphere` x, y, z are unit vectors and distances
     kilometres along the earth.  Classes without pairs have no row; points with a null are left out.
     """
-    last = int(longest // band)
+    last, leaf = int(longest // band), math.isqrt(LEAF)
     ok = F.lit(True)
     for c in [*AXES, *values]:
         ok = ok & F.col(c).isNotNull()
-    places = points.filter(ok).groupBy(*AXES).agg(F.count("*").alias("n"), *[F.sum(F.col(v).cast("double")).alias(f"s_{v}") for v in values], *[F.sum(F.pow(F.col(v).cast("double"), F.lit(2))).alias(f"q_{v}") for v in values])
+    sums = [f"{k}_{v}" for k in "sq" for v in values]
+    square = {"s": lambda v: F.col(v).cast("double"), "q": lambda v: F.pow(F.col(v).cast("double"), F.lit(2))}
+    places = points.filter(ok).groupBy(*[F.col(a).cast("double").alias(a) for a in AXES]).agg(F.count("*").cast("double").alias("n"), *[F.sum(square[c[0]](c[2:])).alias(c) for c in sums])
     places = saved(places, "places")
-    low = places.agg(*[F.min(a).alias(f"l{a}") for a in AXES], F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("side")).first()
-    if low["side"] is None:
-        return points.sparkSession.createDataFrame([], "class int, pairs long, " + ", ".join(f"s_{v} double" for v in values))
+    low = places.agg(F.count("*").alias("m"), *[F.min(a).alias(f"l{a}") for a in AXES], F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("side")).first()
+    shape = "class int, pairs long, " + ", ".join(f"s_{v} double" for v in values)
+    if not low["m"]:
+        return points.sparkSession.createDataFrame([], shape)
     side = (low["side"] or 1.0) * (1 + 1e-9)
     at = lambda a: F.floor((F.col(a) - F.lit(low[f"l{a}"])) / side * (1 << LEVELS)).cast("long").alias(f"i{a}")
-    places = saved(places.select("*", *[at(a) for a in AXES]), "places")
-    sums = [f"{k}_{v}" for v in values for k in "sq"]
-
-    def nodes(level: int, x: str) -> DataFrame:
-        stats = [F.count("*").alias("m"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums]] + [f(a).alias(f"{k}{a}") for a in AXES for k, f in (("l", F.min), ("h", F.max))]
-        out = places.groupBy(_cell(level).alias("cell")).agg(*stats)
-        return out.select(*[F.col(c).alias(f"{x}_{c}") for c in out.columns])
-
-    def met(pairs: DataFrame, level: int) -> DataFrame:
-        """Pairs (a_cell <= b_cell) with what both nodes have, the classes of their nearest and farthest corners."""
-        both = pairs.join(nodes(level, "a"), "a_cell").join(nodes(level, "b"), "b_cell")
-        gap = lambda a: F.greatest(F.col(f"a_l{a}") - F.col(f"b_h{a}"), F.col(f"b_l{a}") - F.col(f"a_h{a}"), F.lit(0.0))
-        span = lambda a: F.greatest(F.col(f"a_h{a}") - F.col(f"b_l{a}"), F.col(f"b_h{a}") - F.col(f"a_l{a}"))
-        length = lambda f: F.sqrt(sum(F.pow(f(a), F.lit(2)) for a in AXES))
-        near, far = length(gap) * (1 - 1e-12), length(span) * (1 + 1e-12)
-        return both.withColumn("near", _class(near, band, last, sphere)).withColumn("far", _class(far, band, last, sphere))
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        same = F.col("a_cell") == F.col("b_cell")
-        count = F.when(same, F.col("a_n") * (F.col("a_n") - 1)).otherwise(2 * F.col("a_n") * F.col("b_n"))
-        product = lambda v: F.when(same, F.col(f"a_s_{v}") * F.col(f"a_s_{v}") - F.col(f"a_q_{v}")).otherwise(2 * F.col(f"a_s_{v}") * F.col(f"b_s_{v}"))
-        return pairs.groupBy(F.col("near").alias("class")).agg(F.sum(count).alias("pairs"), *[F.sum(product(v)).alias(f"s_{v}") for v in values])
-
-    def by_place(pairs: DataFrame, level: int) -> DataFrame:
-        side_ = lambda x: places.select(_cell(level).alias(f"{x}_cell"), *[F.col(c).alias(f"{x}_{c}") for c in (*AXES, "n", *sums)])
-        both = pairs.select("a_cell", "b_cell").join(side_("a"), "a_cell").join(side_("b"), "b_cell")
-        here = F.struct(*[f"a_{a}" for a in AXES]), F.struct(*[f"b_{a}" for a in AXES])
-        both = both.filter((F.col("a_cell") < F.col("b_cell")) | (here[0] <= here[1]))
-        same = (F.col("a_cell") == F.col("b_cell")) & (here[0] == here[1])
-        chord = F.sqrt(sum(F.pow(F.col(f"a_{a}") - F.col(f"b_{a}"), F.lit(2)) for a in AXES))
-        count = F.when(same, F.col("a_n") * (F.col("a_n") - 1)).otherwise(2 * F.col("a_n") * F.col("b_n"))
-        product = lambda v: F.when(same, F.col(f"a_s_{v}") * F.col(f"a_s_{v}") - F.col(f"a_q_{v}")).otherwise(2 * F.col(f"a_s_{v}") * F.col(f"b_s_{v}"))
-        return both.groupBy(_class(chord, band, last, sphere).alias("class")).agg(F.sum(count).alias("pairs"), *[F.sum(product(v)).alias(f"s_{v}") for v in values])
-
-    found, open_ = None, points.sparkSession.createDataFrame([(0, 0)], "a_cell long, b_cell long")
-    for level in range(LEVELS + 1):
-        pairs = saved(met(open_, level), "pairs")
-        small = (F.col("a_m") * F.col("b_m") <= LEAF) if level < LEVELS else F.lit(True)
-        done = F.col("near") == F.col("far")
-        parts = whole(pairs.filter(done)).union(by_place(pairs.filter(~done & small), level))
-        found = saved(parts if found is None else found.union(parts), "found")
-        rest = pairs.filter(~done & ~small).select("a_cell", "b_cell")
-        if rest.isEmpty():
-            break
-        child = lambda x: places.select(_cell(level + 1).alias(f"{x}_child")).distinct().withColumn(f"{x}_cell", _parent(F.col(f"{x}_child")))  # noqa: B023, E731
-        open_ = rest.join(child("a"), "a_cell").join(child("b"), "b_cell").filter("a_cell < b_cell OR a_child <= b_child").select(F.least("a_child", "b_child").alias("a_cell"), F.greatest("a_child", "b_child").alias("b_cell"))
+    placed = places.select("*", *[at(a) for a in AXES]).select("*", _curve().alias("_m"))
+    order = ["_m", *AXES]
+    numbered = running(with_ranges(placed, order), F.lit(1), order, "_i")
+    blocks = max(-(-low["m"] // BLOCK), min(16, -(-low["m"] // FEW)))
+    block = F.shiftright(F.col("_i") - 1, RUN.bit_length() - 1) % blocks
+    dealt = saved(numbered.select(block.cast("int").alias("_b"), "_i", *AXES, "n", *sums), "blocks")
+    met = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_task", F.least("_b", "_c") * blocks + F.greatest("_b", "_c")).drop("_c")
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        b = table.column("_b").to_numpy()
+        numbers = np.stack([table.column(c).to_numpy() for c in (*AXES, "n", *sums)], 1)
+        trees = [_tree(numbers[b == k, :3], numbers[b == k, 3:], leaf) for k in np.unique(b)]
+        task = table.column("_task")[0].as_py()
+        if task // blocks != task % blocks and len(trees) < 2:
+            trees = []
+        pairs, total = _block_sums(trees[0], trees[1] if len(trees) > 1 else None, band, last, sphere) if trees else (np.zeros(last + 1, np.int64), np.zeros((last + 1, len(values))))
+        kinds = np.flatnonzero(pairs)
+        return pa.table({"class": pa.array(kinds.astype(np.int32)), "pairs": pa.array(pairs[kinds]), **{f"s_{v}": pa.array(total[kinds, k]) for k, v in enumerate(values)}})
+
+    # a pair of blocks is a group; more partitions than groups, so that few share one
+    found = met.repartition(2 * blocks * (blocks + 1), "_task").groupBy("_task").applyInArrow(summed, shape)
     return found.groupBy("class").agg(F.sum("pairs").alias("pairs"), *[F.sum(f"s_{v}").alias(f"s_{v}") for v in values]).filter("pairs > 0")
 
 

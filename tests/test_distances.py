@@ -35,6 +35,19 @@ def test_pair_sums_by_force(spark, monkeypatch, leaf, levels):
     assert got == brute(points, 4.0, 14.0, plane)
 
 
+@pytest.mark.parametrize(("leaf", "band"), [(16, 4.0), (256, 25.0)])
+def test_pair_sums_over_blocks_write_no_pairs(spark, monkeypatch, leaf, band):
+    for name, value in (("LEAF", leaf), ("BLOCK", 64), ("FEW", 16), ("RUN", 4)):
+        monkeypatch.setattr(D, name, value)
+    written, save = [], D.saved
+    monkeypatch.setattr(D, "saved", lambda df, name: written.append(save(df, name)) or written[-1])
+    rng = random.Random(7)
+    points = [(float(rng.randrange(40)), float(rng.randrange(30)), 0.0, rng.gauss(0, 1)) for _ in range(400)]  # whole numbers: many distances are borders
+    got = {r["class"]: (r.pairs, r.s_v) for r in D.pair_sums(spark.createDataFrame(points, "x double, y double, z double, v double"), ["v"], band, 40.0, False).collect()}
+    assert got == brute(points, band, 40.0, plane)
+    assert sum(w.count() for w in written) <= 2 * len(points)
+
+
 def test_pair_sums_of_one_place_and_of_nothing(spark):
     one = spark.createDataFrame([(1.0, 2.0, 3.0, 2.0)] * 3, "x double, y double, z double, v double")
     assert [tuple(r) for r in D.pair_sums(one, ["v"], 1.0, 5.0, False).collect()] == [(0, 6, 24.0)]
