@@ -142,9 +142,8 @@ j AS (SELECT c_custkey, s_suppkey, {KM.format(a="a", b="b")} AS km FROM a, b)
 SELECT c_custkey, s_suppkey, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(km, 6), s_suppkey) AS rn FROM j WHERE km <= 300) WHERE rn = 1""")
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read(spark, sf_dir, "customer", "supplier")
-    pairs = joins.radius_join(points(c, "c_custkey", "a"), points(s, "s_suppkey", "b"), ("alat", "alon"), ("blat", "blon"), 300.0)
-    best = pairs.groupBy("c_custkey").agg(F.min(F.struct(F.round("km", 6).alias("r"), F.col("s_suppkey"), F.col("km"))).alias("b"))
-    return best.select("c_custkey", "b.s_suppkey", F.round("b.km", 4).alias("km"))
+    best = joins.nearest_join(points(c, "c_custkey", "a"), points(s, "s_suppkey", "b"), ("alat", "alon"), ("blat", "blon"), "s_suppkey", 300.0)
+    return best.select("c_custkey", "s_suppkey", F.round("km", 4).alias("km"))
 
 
 @plan(f"""WITH a AS (SELECT n_nationkey, {LAT.format(k="n_nationkey")} AS alat, {LON.format(k="n_nationkey")} AS alon FROM nation),
