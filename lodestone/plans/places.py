@@ -93,10 +93,7 @@ def co_located(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, count(x) AS n, round(coalesce(sum(c_acctbal), 0), 2) AS population FROM s LEFT JOIN p ON pow(sx - x, 2) + pow(sy - y, 2) <= 25 GROUP BY 1""")
 def population_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read(spark, sf_dir, "customer", "supplier")
-    around = F.sequence(F.lit(-1), F.lit(1))
     p = c.select("c_acctbal", F.expr("(c_custkey * 37 % 1000) / 10.0").cast("double").alias("x"), F.expr("(c_custkey * 53 % 970) / 10.0").cast("double").alias("y"))
-    p = p.withColumn("cx", F.floor(F.col("x") / 5)).withColumn("cy", F.floor(F.col("y") / 5))
-    t = s.select("s_suppkey", F.expr("(s_suppkey * 41 % 1000) / 10.0").cast("double").alias("sx"), F.expr("(s_suppkey * 59 % 970) / 10.0").cast("double").alias("sy"))
-    u = t.withColumn("cx", F.explode(F.transform(around, lambda o: F.floor(F.col("sx") / 5) + o))).withColumn("cy", F.explode(F.transform(around, lambda o: F.floor(F.col("sy") / 5) + o)))
-    near = u.join(p, ["cx", "cy"]).filter("pow(sx - x, 2) + pow(sy - y, 2) <= 25").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("b"))
-    return t.join(near, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("b", F.lit(0.0)), 2).alias("population"))
+    t = s.select("s_suppkey", F.expr("(s_suppkey * 41 % 1000) / 10.0").cast("double").alias("x"), F.expr("(s_suppkey * 59 % 970) / 10.0").cast("double").alias("y"))
+    out = places.within(p, "c_acctbal", t, "s_suppkey", 5.0)
+    return out.select("s_suppkey", "n", F.round("population", 2).alias("population"))

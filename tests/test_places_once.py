@@ -1,7 +1,7 @@
 """Rows of one place are met once, however many there are."""
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins
+from lodestone.operators import joins, places, polygons
 
 
 def met(monkeypatch, name):
@@ -17,3 +17,26 @@ def test_nearest_rows_of_places_that_many_share(spark, monkeypatch):
     b = spark.range(40).select((F.col("id") + 5).alias("s"), (F.col("id") % 2 * 10.0 + 0.1).alias("blat"), F.lit(0.0).alias("blon"))
     got = {r.id: r.s for r in joins.nearest_join(a, b, ("alat", "alon"), ("blat", "blon"), "s", 50.0).collect()}
     assert got == {i: 5 + i % 3 for i in range(60) if i % 3 < 2} and sizes == [(3, 2)]
+
+
+def test_points_of_places_that_many_share_are_counted_in_full(spark):
+    p = spark.range(90).select((F.col("id") % 3 * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(2.0).alias("w"))
+    s = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 50.0, 0.0), (4, None, 0.0)], "s long, x double, y double")
+    assert {r.s: (r.n, r.population) for r in places.within(p, "w", s, "s", 1.0).collect()} == {1: (60, 120.0), 2: (60, 120.0), 3: (0, 0.0), 4: (0, 0.0)}
+
+
+def test_near_is_of_a_row_and_its_place(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (1, 9.0, 0.0), (2, 0.0, 0.0), (3, None, 0.0)], "k long, x double, y double")
+    near = places.near_any(p, "k", p.filter("k = 2").select("x", "y"), 1.0)
+    assert near.columns == ["k", "x", "y", "near"]
+    assert sorted((r.k, r.x or -1.0, r.near) for r in near.collect()) == [(1, -1.0, True), (1, 9.0, False), (2, -1.0, True), (3, -1.0, False)]
+
+
+def test_points_of_one_place_are_judged_once(spark, monkeypatch):
+    sizes, real = [], polygons.meeting
+    monkeypatch.setattr(polygons, "meeting", lambda a, b, *rest: sizes.append(a.count()) or real(a, b, *rest))
+    square = F.array(F.array(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))])))
+    p = spark.range(60).select("id", (F.col("id") % 3 * 3.2 + 1).alias("x"), F.lit(2.0).alias("y"))
+    got = {r.id: (r.name, r.method) for r in polygons.points_in_polygons(p, "id", spark.range(1).select(F.lit(7).alias("name"), square.alias("parts")), "name", 0.5).collect()}
+    assert got == {i: [(7, "inside"), (7, "snapped"), (None, "none")][i % 3] for i in range(60)}
+    assert sizes == [3]
