@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.prefix import running, with_ranges
+from lodestone.operators.prefix import running, saved, with_ranges
 
 #: Random numbers have so many bits: twelve hexadecimal digits.
 BITS = 48
 #: Rows that a task ranks at a border, about.
 AT_BORDER = 4096
+#: Tasks among which draws are dealt.
+TASKS = 192
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -81,8 +83,10 @@ def cluster_weights(clusters: DataFrame, cluster: str, draws: int, seed: int, st
     by = strata or []
     order = with_ranges(clusters.select(*by, cluster), [*by, cluster])
     numbered = running(order, F.lit(1), [cluster], "_i", by=by, total="_k").select(*by, cluster, (F.col("_i") - 1).alias("_i"), "_k")
-    taken = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(*by, "draw", F.pmod(uniform(seed, "draw", *by, "_i"), F.col("_k")).alias("_i"))
-    return taken.groupBy(*by, "draw", "_i").agg(F.count("*").alias("weight")).join(numbered, [*by, "_i"]).select(*by, cluster, "draw", "weight")
+    # few clusters are numbered in one task: draws are made where the numbers were dealt anew
+    numbered = saved(numbered, "clusters")
+    taken = numbered.repartition(TASKS, *by, cluster).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(*by, "draw", F.pmod(uniform(seed, "draw", *by, "_i"), F.col("_k")).alias("_i"))
+    return taken.repartition(TASKS, *by, "draw", "_i").groupBy(*by, "draw", "_i").agg(F.count("*").alias("weight")).join(numbered, [*by, "_i"]).select(*by, cluster, "draw", "weight")
 
 
 def interval(drawn: DataFrame, level: float = 0.95) -> DataFrame:
