@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import compact_key, norm_text, singular_key
+from lodestone.sources.shared import saved
 
 #: Up to so many terms go to every task; a larger lexicon is joined by shuffle.
 FEW = 100_000
@@ -122,16 +123,16 @@ def search(queries: DataFrame, query: str, text: str, lexicon: DataFrame, id_: s
 
     Entries are found by keys: their exact key, the rarest word of whichever is the subset, the rarest pairs of letters.  Nothing is scored against all entries.
     """
-    q = queries.filter(F.length(F.trim(text)) > 0).select(F.col(query).cast("long").alias("_q"), F.col(text).alias("_t"))
-    e = lexicon.select(F.col(id_).alias("_id"), F.col(term).alias("_term"), F.col(weight).cast("double").alias("_w")).filter(F.length(norm_text(F.col("_term"))) > 0)
-    e = e.groupBy("_id", "_term").agg(F.max("_w").alias("_w"))
+    q = queries.select(F.col(query).cast("long").alias("_q"), F.col(text).alias("_t"))
+    e = lexicon.select(F.col(id_).alias("_id"), F.col(term).alias("_term"), F.col(weight).cast("double").alias("_w")).groupBy("_id", "_term").agg(F.max("_w").alias("_w"))
     number = F.xxhash64("_id", "_term")
 
     def keyed(df: DataFrame, t: str) -> DataFrame:
         kept = F.filter(F.array_distinct(F.split(singular_key(F.col(t)), " ")), lambda w: w != "")
         return df.withColumn("compact", compact_key(F.col(t))).withColumn("singular", singular_key(F.col(t))).withColumn("acronym", is_acronym(F.col(t))).withColumn("tokens", kept).withColumn("sorted", F.array_join(F.array_sort(F.filter(F.split(norm_text(F.col(t)), " "), lambda w: w != "")), " "))
 
-    q, e = keyed(q, "_t"), keyed(e.withColumn("_e", number), "_term")
+    # keys are made once for each text and written; filters on them would else be worked out for every row that a grouping above has yet to gather
+    q, e = saved(keyed(q, "_t"), "queries").filter(F.length(F.trim("_t")) > 0), saved(keyed(e.withColumn("_e", number), "_term"), "entries").filter("sorted <> ''")
     plain_q, plain_e = q.filter("NOT acronym AND size(tokens) > 0"), e.filter("NOT acronym")
     found = lambda df, score, how: df.select("_q", "_e", (score * F.lit(1.0)).alias("share"), F.lit(how).alias("how"))
     exact = q.select("_q", "compact").filter("compact <> ''").join(e.select("_e", "compact"), "compact")

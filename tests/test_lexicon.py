@@ -113,3 +113,12 @@ def test_normalised_tells_matched_from_ambiguous_partial_and_unknown(spark):
 def test_acronyms(spark):
     df = spark.createDataFrame([(t,) for t in ("POTS", "hEDS", "ME/CFS", "Flu", "ME CFS", "LONGNAME", " AB ", "")], "t string")
     assert [r.a for r in df.select(L.is_acronym(F.col("t")).alias("a")).collect()] == [True, True, True, False, False, False, True, False]
+
+
+def test_search_makes_its_keys_once_for_each_text(spark):
+    """Else filters on keys are worked out for every row below the grouping of queries and entries."""
+    queries = spark.createDataFrame([(k, "long covid" if k % 2 else "flu") for k in range(8)], "q long, t string").groupBy("t").agg(F.min("q").alias("q"))
+    entries = spark.createDataFrame(ENTRIES * 3, "id int, term string, w double").groupBy("id", "term").agg(F.max("w").alias("w"))
+    found = L.search(queries, "q", "t", entries, "id", "term", "w")
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.q, r.id, r.score) for r in found.collect()} == {(1, 2, 1.0), (1, 7, 0.9), (0, 6, 1.0)}
