@@ -62,3 +62,13 @@ def test_without_a_drain_what_waits_is_not_given_out(spark):
     build = lambda s: stateful.resting_mask(s, "user", "at", "id", F.col("on"), "90 minutes")
     out = stateful.run_in_parts(spark, [event(spark, rows[:3]), event(spark, rows[3:])], build).collect()
     assert sorted(r.row_id for r in out) == [0, 1, 2, 3]  # the watermark stands at half past three
+
+
+def test_participants_share_a_group_and_keep_their_own_state(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "SHARDS", 1)
+    big = 1 << 60  # not exact as a float, with a null beside it
+    rows = [(big + u, 60 * (3 * m + u), 1.0, None if (u, m) == (1, 3) else big + 100 * u + m, u == m % 7) for u in range(5) for m in range(40)]
+    build = lambda s: stateful.resting_mask(s, "user", "at", "id", F.col("on"), "2 minutes")
+    out = stateful.run_in_parts(spark, [event(spark, rows)], build, event(spark, DRAIN)).filter("user IS NOT NULL").collect()
+    expected = timeseries.resting_mask(event(spark, rows), "user", "at", F.col("on")).collect()
+    assert sorted((r.user, r.row_id or 0, r.resting) for r in out) == sorted((r.user, r.id or 0, r.resting) for r in expected)
