@@ -153,9 +153,8 @@ SELECT n_nationkey, count(DISTINCT l_partkey) AS n_parts FROM pool JOIN lineitem
 def pool_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s, l = read(spark, sf_dir, "nation", "supplier", "lineitem")
     near = joins.radius_join(points(n, "n_nationkey", "a"), points(s, "s_suppkey", "b"), ("alat", "alon"), ("blat", "blon"), 800.0).select("n_nationkey", "s_suppkey")
-    pool = near.union(s.select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")).distinct()
-    items = l.select("l_suppkey", "l_partkey").distinct()
-    return pool.join(items, pool.s_suppkey == items.l_suppkey).groupBy("n_nationkey").agg(F.countDistinct("l_partkey").alias("n_parts"))
+    own = s.select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey").join(n.select("n_nationkey"), "n_nationkey", "left_semi")
+    return joins.distinct_by_pool(near.union(own.select("n_nationkey", "s_suppkey")), "n_nationkey", "s_suppkey", l, "l_suppkey", "l_partkey", "n_parts")
 
 
 @plan(f"""WITH p AS (SELECT n_nationkey, {LAT.format(k="n_nationkey")} AS alat, {LON.format(k="n_nationkey")} AS alon, n_nationkey * 1.0 AS v FROM nation),

@@ -1,4 +1,6 @@
 """Rows of one place are met once, however many there are."""
+import random
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import joins, places, polygons
@@ -40,3 +42,18 @@ def test_points_of_one_place_are_judged_once(spark, monkeypatch):
     got = {r.id: (r.name, r.method) for r in polygons.points_in_polygons(p, "id", spark.range(1).select(F.lit(7).alias("name"), square.alias("parts")), "name", 0.5).collect()}
     assert got == {i: [(7, "inside"), (7, "snapped"), (None, "none")][i % 3] for i in range(60)}
     assert sizes == [3]
+
+
+def test_items_of_pools_are_counted_once_whatever_the_groups(spark):
+    rng = random.Random(3)
+    pool = [(rng.choice([-70, -1, 0, 5, 63, 64, 127, 1000]), rng.randrange(12)) for _ in range(60)] + [(None, 3), (7, None)]
+    items = [(rng.randrange(14), rng.choice([None, *range(9)])) for _ in range(80)] + [(99, None), (None, 1)]
+    groups = spark.createDataFrame([*pool, (8, 99)], "g int, m int")
+    found = joins.distinct_by_pool(groups, "g", "m", spark.createDataFrame(items, "m int, i int"), "m", "i", "n")
+    met = {}
+    for g, m in [*pool, (8, 99)]:
+        for n, i in items:
+            if g is not None and m is not None and m == n:
+                met.setdefault(g, set()).update(set() if i is None else {i})
+    assert {r.g: r.n for r in found.collect()} == {g: len(s) for g, s in met.items()} and 63 in met and met[8] == set()
+    assert found.schema["g"].dataType.simpleString() == "int" and found.schema["n"].dataType.simpleString() == "bigint"
