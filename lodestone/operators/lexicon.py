@@ -59,6 +59,15 @@ def longest_spans(found: DataFrame, key: str, id_: str) -> DataFrame:
     return listed.select(key, F.explode(kept).alias("_t")).select(key, "_t.start", "_t.end", F.col("_t.id").alias(id_))
 
 
+def spans(docs: DataFrame, key: str, text: str, lexicon: DataFrame, term: str, id_: str) -> DataFrame:
+    """longest_spans of all matches: key, start, end, id.
+
+    Of terms with the same words only the smallest id can stay, so only that one is looked for.
+    """
+    same = lexicon.select(F.array_join(words(F.col(term)), " ").alias(term), id_).filter(F.col(term) != "").groupBy(term).agg(F.min(id_).alias(id_))
+    return longest_spans(matches(docs, key, text, same, term, id_), key, id_)
+
+
 def is_acronym(text: Column) -> Column:
     """At most seven characters without a space, at least two of them capitals."""
     t = F.trim(text)

@@ -24,7 +24,7 @@ def lexicon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lexicon.words(F.col("text"))
     phrase = lambda a, n: F.when(F.size(w) >= a + n - 1, F.struct((F.col("item_id") * 10 + a).alias("term_id"), F.array_join(F.slice(w, a, n), " ").alias("term")))
     terms = b.select(F.explode(F.array(*[phrase(a, n) for a, n in _PHRASES])).alias("t")).filter("t IS NOT NULL").select("t.*")
-    return lexicon.longest_spans(lexicon.matches(d, "doc_id", "text", terms, "term", "term_id"), "doc_id", "term_id")
+    return lexicon.spans(d, "doc_id", "text", terms, "term", "term_id")
 
 
 _Q = """SELECT min(p_partkey) AS q, t FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || 's!' WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 2 THEN substr(p_name, 1, 1) || substr(p_name, 3)

@@ -122,3 +122,12 @@ def test_search_makes_its_keys_once_for_each_text(spark):
     found = L.search(queries, "q", "t", entries, "id", "term", "w")
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.q, r.id, r.score) for r in found.collect()} == {(1, 2, 1.0), (1, 7, 0.9), (0, 6, 1.0)}
+
+
+def test_spans_look_for_terms_of_the_same_words_once(spark, monkeypatch):
+    looked, real = [], L.matches
+    monkeypatch.setattr(L, "matches", lambda docs, key, text, lexicon, *rest: looked.append(lexicon.count()) or real(docs, key, text, lexicon, *rest))
+    terms = [("the", k) for k in range(9, 4, -1)] + [("THE!", 3), ("of the", 8), ("of  the", 7), ("", 1), (None, 2)]
+    docs = [(1, "the end of the the"), (2, None), (3, "of")]
+    got = {tuple(r) for r in L.spans(spark.createDataFrame(docs, "k int, t string"), "k", "t", spark.createDataFrame(terms, "term string, id int"), "term", "id").collect()}
+    assert got == brute_spans(brute_matches(docs, terms)) == {(1, 0, 1, 3), (1, 2, 4, 7), (1, 4, 5, 3)} and looked == [2]
