@@ -1,8 +1,8 @@
 """Repeated stratified cross-validation of logistic models, imputed and scaled within each training part.
 
-All models (one for each repeat and fold) are fitted at once: a pass over the rows gives each model's gradient and Gram matrix, added up in the tasks, and
-the driver solves equations of as many unknowns as there are features.  What reaches the driver is repeats x folds x features squared numbers,
-whatever the number of rows.  Nothing of a row is used in the model that scores it.
+All models (one for each repeat and fold) are fitted at once, and with a lasso all strengths of its ladder too: a pass over the rows gives each one's gradient
+and Gram matrix, added up in the tasks, and the driver solves equations of as many unknowns as there are features.  What reaches the driver is
+repeats x folds x strengths x features squared numbers; strengths grow with the logarithm of the rows.  Nothing of a row is used in the model that scores it.
 """
 from __future__ import annotations
 
@@ -85,7 +85,7 @@ def _summed(rows: DataFrame, each, models: int) -> np.ndarray:
 
 def _outside(batch: pa.RecordBatch, folds: int) -> np.ndarray:
     """Rows by models (repeat x fold): whether the row trains the model."""
-    own = np.array(batch.column("folds").to_pylist())
+    own = batch.column("folds").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     return (own[:, :, None] != np.arange(folds)[None, None, :]).reshape(len(own), -1)
 
 
@@ -110,28 +110,35 @@ def _prepared(rows: DataFrame, features: list[str], folds: int, repeats: int) ->
     return median, mean, np.where(spread > 1e-12, spread, 1.0)
 
 
-def _derivatives(rows: DataFrame, features: list[str], label: str, folds: int, median, mean, spread, beta: np.ndarray):
-    """Loss, gradient and Hessian of each model's training rows at its coefficients."""
+def _derivatives(rows: DataFrame, features: list[str], label: str, folds: int, median, mean, spread, of: np.ndarray, beta: np.ndarray):
+    """Loss, gradient and Hessian of the training rows of each problem's model (of) at the problem's coefficients."""
     p = len(features) + 1
 
     def each(batch):
         x, out = _matrix(batch, features), _outside(batch, folds)
         y = batch.column(label).cast(pa.float64()).to_numpy(zero_copy_only=False)
-        got = []
-        for m in range(len(beta)):
+        got = np.zeros((len(of), 1 + p + p * p))
+        for m in np.unique(of):
             z, t = _scaled(x[out[:, m]], median[m], mean[m], spread[m]), y[out[:, m]]
-            eta = np.clip(z @ beta[m], -FAR, FAR)
-            mu = 1 / (1 + np.exp(-eta))
-            got.append(np.concatenate([[(np.logaddexp(0, eta) - t * eta).sum()], z.T @ (mu - t), (z.T @ (z * (mu * (1 - mu))[:, None])).ravel()]))
-        return np.stack(got)
+            for i in np.flatnonzero(of == m):
+                eta = np.clip(z @ beta[i], -FAR, FAR)
+                e = np.exp(-eta)
+                mu = 1 / (1 + e)
+                got[i] = np.concatenate([[(np.log1p(e) + (1 - t) * eta).sum()], z.T @ (mu - t), (z.T @ (z * (mu * (1 - mu))[:, None])).ravel()])
+        return got
 
     s = _summed(rows, each, len(beta))
     return s[:, 0], s[:, 1 : p + 1], s[:, p + 1 :].reshape(-1, p, p)
 
 
 def descend(gram: np.ndarray, gradient: np.ndarray, beta: np.ndarray, penalty: np.ndarray, sweeps: int = 2000, tolerance: float = 1e-12) -> np.ndarray:
-    """The least of gradient.(b - beta) + (b - beta).gram.(b - beta) / 2 + sum of penalty |b|, coordinate by coordinate."""
+    """The least of gradient.(b - beta) + (b - beta).gram.(b - beta) / 2 + sum of penalty |b|, coordinate by coordinate.
+
+    After each sweep b goes to the least point for its signs, or towards it until one coordinate is 0: features that are nearly the same would take
+    thousands of sweeps.
+    """
     b = beta.copy()
+    cost = lambda b: (gradient + gram @ (b - beta) / 2) @ (b - beta) + penalty @ abs(b)
     for _ in range(sweeps):
         moved = 0.0
         for j in range(len(b)):
@@ -144,35 +151,51 @@ def descend(gram: np.ndarray, gradient: np.ndarray, beta: np.ndarray, penalty: n
             moved, b[j] = max(moved, abs(new - b[j])), new
         if moved < tolerance:
             break
+        on = np.flatnonzero(b)
+        try:
+            way = -np.linalg.solve(gram[np.ix_(on, on)], (gradient + gram @ (b - beta) + penalty * np.sign(b))[on])
+        except np.linalg.LinAlgError:
+            continue
+        ends = (penalty[on] > 0) & (np.sign(b[on] + way) != np.sign(b[on]))
+        share = np.where(ends, -b[on] / np.where(ends, way, 1), 1.0)
+        least = share.min(initial=1.0)
+        there = b.copy()
+        there[on] += least * way
+        there[on[ends & (share == least)]] = 0.0
+        if cost(there) <= cost(b) + 1e-12 * max(1, abs(cost(b))):  # not where the equations have no single answer
+            b = there
     return b
 
 
-def _solved(rows, features, label, folds, prepared, beta, objective_of, step_of, open_, most: int) -> np.ndarray:
-    """Newton's steps of the open models, halved where a model's objective grows."""
-    before, full, t = None, None, np.ones(len(beta))
+def _solved(derivatives, of: np.ndarray, beta: np.ndarray, objective_of, step_of, most: int, needed=None) -> np.ndarray:
+    """Newton's steps of each problem (of: its model), halved where its objective grows; a pass serves all that are open and, by needed(beta, open), still of use."""
+    beta, before, full = beta.copy(), beta.copy(), beta.copy()
+    value, t, open_ = np.full(len(of), np.inf), np.ones(len(of)), np.ones(len(of), bool)
     for _ in range(most):
-        loss, gradient, hessian = _derivatives(rows, features, label, folds, *prepared, beta)
-        value = np.array([loss[m] + objective_of(m, beta[m]) for m in range(len(beta))])
-        if before is not None:
-            worse = open_ & (value > before[0] + 1e-10 * np.maximum(1, abs(before[0]))) & (t > 1e-4)
-            if worse.any():
-                t = np.where(worse, t / 2, t)
-                beta = np.where(open_[:, None], before[1] + t[:, None] * (full - before[1]), beta)
-                continue
-            open_ = open_ & (np.abs(beta - before[1]).max(1) > 1e-9)
+        at = np.flatnonzero(open_)
+        for i, loss, gradient, hessian in zip(at, *derivatives(of[at], beta[at])):
+            now = loss + objective_of(i, beta[i])
+            if now > value[i] + 1e-10 * max(1, abs(value[i])) and t[i] > 1e-4:
+                t[i] /= 2
+                beta[i] = before[i] + t[i] * (full[i] - before[i])
+            elif np.isfinite(value[i]) and np.abs(beta[i] - before[i]).max() <= 1e-9:
+                open_[i] = False
+            else:
+                before[i], value[i], t[i] = beta[i], now, 1.0
+                full[i] = step_of(i, hessian, gradient, beta[i])
+                beta[i] = full[i]
+        if needed:
+            open_ &= needed(beta, open_)
         if not open_.any():
             break
-        before, t = (value, beta.copy()), np.ones(len(beta))
-        full = np.array([step_of(m, hessian[m], gradient[m], beta[m]) if open_[m] else beta[m] for m in range(len(beta))])
-        beta = full.copy()
     return beta
 
 
-def fit(dealt: DataFrame, features: list[str], label: str, folds: int, c: float = 1.0, most_features: int | None = None, halvings: int = 12, most: int = 60) -> Models:
+def fit(dealt: DataFrame, features: list[str], label: str, folds: int, c: float = 1.0, most_features: int | None = None, halvings: int | None = None, most: int = 60) -> Models:
     """dealt (folds, label 0/1, features) -> a model for each repeat and fold; features may be null.
 
     Without most_features a ridge penalty |b|^2 / (2 c) on all but the constant.  With it a lasso penalty |b| / c, the constant's too, with the largest c on
-    c, c / 2, c / 4, .. that leaves at most so many features.
+    c, c / 2, c / 4, .. that leaves at most so many features; halvings: that many values of c at most, else as many as it takes.
     """
     rows = saved(dealt.select("folds", F.col(label).cast("double").alias(label), *[F.col(f).cast("double").alias(f) for f in features]), "folds")
     repeats = rows.agg(F.max(F.size("folds"))).first()[0]
@@ -180,20 +203,23 @@ def fit(dealt: DataFrame, features: list[str], label: str, folds: int, c: float
         raise ValueError("no labelled rows")
     prepared = _prepared(rows, features, folds, repeats)
     n, p = repeats * folds, len(features) + 1
-    beta, every = np.zeros((n, p)), np.ones(n, bool)
+    tiny, none = 1e-12 * np.eye(p), np.zeros((n, p))
+    derivatives = lambda of, beta: _derivatives(rows, features, label, folds, *prepared, of, beta)
     if most_features is None:
         ridge = np.diag([0.0] + [1 / c] * (p - 1))
-        beta = _solved(rows, features, label, folds, prepared, beta, lambda m, b: b @ ridge @ b / 2, lambda m, h, g, b: b - np.linalg.solve(h + ridge + 1e-12 * np.eye(p), g + ridge @ b), every, most)
+        beta = _solved(derivatives, np.arange(n), none, lambda i, b: b @ ridge @ b / 2, lambda i, h, g, b: b - np.linalg.solve(h + ridge + tiny, g + ridge @ b), most)
         return Models(features, folds, *prepared, beta, np.full(n, c))
-    strength, open_ = np.full(n, c), every
-    for k in range(halvings):
-        strength = np.where(open_, c * 0.5**k, strength)
-        lasso = lambda m: np.full(p, 1 / strength[m])
-        beta = _solved(rows, features, label, folds, prepared, beta, lambda m, b: (lasso(m) * abs(b)).sum(), lambda m, h, g, b: descend(h + 1e-12 * np.eye(p), g, b, lasso(m)), open_, most)
-        open_ = (beta[:, 1:] != 0).sum(1) > most_features
-        if not open_.any():
-            break
-    return Models(features, folds, *prepared, beta, strength)
+    # features are centred, so what a constant alone leaves of their slopes doesn't depend on it: a penalty above the largest leaves no feature
+    steepest = np.abs(derivatives(np.arange(n), none)[1][:, 1:]).max(initial=0.0)
+    ladder = 2 + max(0, int(np.ceil(np.log2(max(1.0, c * steepest)))))
+    strength = c * 0.5 ** np.arange(min(ladder, halvings or ladder))
+    k = len(strength)
+    few = lambda beta: (beta[:, 1:] != 0).sum(1).reshape(n, k) <= most_features
+    at_least = lambda beta, open_: ~np.logical_or.accumulate(few(beta) & ~open_.reshape(n, k), axis=1).ravel()  # noqa: E731  stronger than one that will do
+    lasso = lambda i: np.full(p, 1 / strength[i % k])
+    beta = _solved(derivatives, np.repeat(np.arange(n), k), np.repeat(none, k, axis=0), lambda i, b: (lasso(i) * abs(b)).sum(), lambda i, h, g, b: descend(h + tiny, g, b, lasso(i)), most, at_least)
+    at = np.where(few(beta).any(1), few(beta).argmax(1), k - 1)
+    return Models(features, folds, *prepared, beta.reshape(n, k, p)[np.arange(n), at], strength[at])
 
 
 def out_of_fold(dealt: DataFrame, key: str, models: Models) -> DataFrame:

@@ -44,7 +44,7 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = read(spark, sf_dir, "documents", "labels")
     words = F.size(F.split("text", r"\s+"))
     share = lambda p: F.length(F.regexp_replace("text", p, "")) / F.greatest(F.length("text"), F.lit(1))
-    measures = {"length": F.log1p(F.col("n_chars").cast("double")), "words": F.log1p(words), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"), "stops": share("[^.]"), "spaces": share(r"\S")}
+    measures = {"length": F.log1p(F.col("n_chars").cast("double")), "words": F.log1p(words), "digits": share("[^0-9]+"), "capitals": share("[^A-Z]+"), "stops": share("[^.]+"), "spaces": share(r"\S+")}
     rows = d.select("doc_id", *[e.alias(n) for n, e in measures.items()]).join(l, "doc_id")
     _, models = crossval.cross_validated(rows, "doc_id", "quality", list(measures), 3, 1, 32, most_features=2)
     kept = [(m // 3, m % 3, f, float(models.beta[m, j + 1]), float(models.c[m])) for m in range(len(models.beta)) for j, f in enumerate(models.features) if models.beta[m, j + 1]]

@@ -116,3 +116,43 @@ def test_a_feature_without_values_counts_as_nothing(spark):
     assert np.allclose(models.beta[:, 1], 0) and np.allclose(models.beta[:, 3], 0) and scores.count() == 60
     with pytest.raises(ValueError, match="no labelled rows"):
         C.cross_validated(frame(spark, []), "k", "y", FEATURES, 3, 1, 9)
+
+
+def near_twins(n=240):
+    """Two features that are nearly the same, a label that turns on their difference, and one of noise."""
+    rng = random.Random(7)
+    out = []
+    for k in range(n):
+        a, d = rng.gauss(0, 1), rng.gauss(0, 0.05)
+        out.append((k, int(rng.random() < 1 / (1 + np.exp(-60 * d))), a, a + d, rng.gauss(0, 1)))
+    return out
+
+
+def test_near_twins_are_solved_exactly_in_few_sweeps():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=20_000)
+    z = np.column_stack([np.ones(len(a)), a, a + 0.01 * rng.normal(size=len(a)), rng.normal(size=len(a))])
+    gram, penalty = z.T @ z / 4, np.full(4, 0.3)
+    gradient = -gram @ np.array([0.1, -8.0, 9.0, 0.0])
+    b = C.descend(gram, gradient, np.zeros(4), penalty, sweeps=30)
+    slope = gradient + gram @ b
+    on = b != 0
+    assert on[1] and on[2] and abs(slope + penalty * np.sign(b))[on].max() < 1e-6 and (abs(slope[~on]) <= penalty[~on] + 1e-6).all()
+
+
+def test_all_strengths_share_few_passes_and_each_model_takes_the_largest_that_will_do(spark, monkeypatch):
+    rows, passes, real = near_twins(), [], C._derivatives
+    monkeypatch.setattr(C, "_derivatives", lambda *a: passes.append(1) or real(*a))
+    _, models = C.cross_validated(frame(spark, rows), "k", "y", FEATURES, 2, 1, 4, c=8.0, most_features=1)
+    assert len(passes) <= 20
+    own, y = dealt(rows, 2, 1, 4), np.array([r[1] for r in rows])
+    for f in range(2):
+        train = np.array([own[row[0], 0] != f for row in rows])
+        z = prepared(rows, train)
+        assert models.beta[f] == pytest.approx(lasso(z[train], y[train], models.c[f]), abs=1e-5) and (models.beta[f, 1:] != 0).sum() <= 1
+        assert (abs(lasso(z[train], y[train], 2 * models.c[f])[1:]) > 1e-7).sum() > 1
+
+
+def test_the_ladder_goes_on_until_few_features_are_left(spark):
+    _, models = C.cross_validated(frame(spark, near_twins()), "k", "y", FEATURES, 2, 1, 4, c=2.0**14, most_features=0)
+    assert (models.beta[:, 1:] == 0).all() and (models.c < 1).all()
